@@ -1,0 +1,43 @@
+"""Enrichment with a user-supplied function, failures kept per row."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def enrich(df: DataFrame, fn: Callable[[dict], str], max_rows: int | None = None) -> DataFrame:
+    """Add ``output, status, error``; one failing row never stops the rest.
+
+    ``fn`` gets a row as a dict and returns text. ``max_rows`` is the user's
+    cap on the rows to process.
+    """
+    columns = df.columns
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            outputs, errors = [], []
+            for row in batch.to_dict("records"):
+                try:
+                    outputs.append(fn(row))
+                    errors.append(None)
+                except Exception as err:  # noqa: BLE001 - any failure belongs to its row
+                    outputs.append(None)
+                    errors.append(str(err))
+            status = ["failed" if e is not None else "succeeded" for e in errors]
+            yield batch.assign(output=outputs, status=status, error=errors)[[*columns, "output", "status", "error"]]
+
+    source = df.limit(max_rows) if max_rows is not None else df
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    return source.mapInPandas(run, f"{fields}, output string, status string, error string")
+
+
+def enrich_summary(enriched: DataFrame) -> DataFrame:
+    return enriched.agg(
+        F.count(F.lit(1)).alias("total"),
+        F.count_if(F.col("status") == "succeeded").alias("succeeded"),
+        F.count_if(F.col("status") == "failed").alias("failed"),
+    )

@@ -1,0 +1,210 @@
+"""Job cards and job details out of stored HTML pages.
+
+HTML has no built-in reader, so pages go through a standard-library parser in
+Arrow batches; Spark partitions the pages and everything after extraction is
+built-in. Selectors are arguments: a selector is a tag, a class or both
+("a.card__link"), and ``>`` separates a parent from its direct child.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from html.parser import HTMLParser
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from jobtide import fixed
+from jobtide.functions.text import JS_SPACES
+
+# Where the fields of a result card and of a detail page stand.
+CARD_SELECTORS = {
+    "card": ["li>div.base-card", "li>div.job-search-card"],
+    "id_attribute": "data-entity-urn",
+    "title": ".base-search-card__title",
+    "company": ".base-search-card__subtitle",
+    "location": ".job-search-card__location",
+    "posted_at": "time",
+    "url": "a.base-card__full-link",
+}
+DETAIL_SELECTORS = {
+    "description": [".description__text", ".show-more-less-html__markup"],
+    "criteria": ".description__job-criteria-item",
+    "label": ".description__job-criteria-subheader",
+    "value": ".description__job-criteria-text",
+    "applicants": ".num-applicants__caption",
+}
+
+_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+# Start tags that close an open element of the same kind.
+_SELF_CLOSING = {"li": {"ul", "ol"}, "p": {"div", "article", "section", "body"}, "dt": {"dl"}, "dd": {"dl"}}
+
+
+class _Node:
+    __slots__ = ("tag", "attrs", "children", "parent")
+
+    def __init__(self, tag: str, attrs: dict, parent: _Node | None):
+        self.tag, self.attrs, self.parent = tag, attrs, parent
+        self.children: list = []
+
+    def walk(self) -> Iterator[_Node]:
+        stack = [c for c in reversed(self.children) if isinstance(c, _Node)]
+        while stack:
+            node = stack.pop()
+            yield node
+            stack.extend(c for c in reversed(node.children) if isinstance(c, _Node))
+
+    def text(self) -> str:
+        parts, stack = [], list(reversed(self.children))
+        while stack:
+            item = stack.pop()
+            if isinstance(item, _Node):
+                stack.extend(reversed(item.children))
+            else:
+                parts.append(item)
+        return "".join(parts).strip(JS_SPACES)
+
+    def matches(self, selector: str) -> bool:
+        parent, _, own = selector.rpartition(">")
+        tag, _, cls = own.partition(".")
+        if tag and self.tag != tag:
+            return False
+        if cls and cls not in (self.attrs.get("class") or "").split():
+            return False
+        return not parent or (self.parent is not None and self.parent.matches(parent))
+
+    def first(self, selector: str) -> _Node | None:
+        return next((n for n in self.walk() if n.matches(selector)), None)
+
+    def first_text(self, selector: str) -> str:
+        node = self.first(selector)
+        return node.text() if node else ""
+
+
+class _Tree(HTMLParser):
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.root = self.at = _Node("", {}, None)
+
+    def handle_starttag(self, tag, attrs):
+        bounds = _SELF_CLOSING.get(tag)
+        if bounds is not None:
+            node = self.at
+            while node.parent is not None and node.tag not in bounds and node.tag != tag:
+                node = node.parent
+            if node.tag == tag:
+                self.at = node.parent
+        # The first of a repeated attribute counts.
+        found: dict = {}
+        for name, value in attrs:
+            found.setdefault(name, value)
+        child = _Node(tag, found, self.at)
+        self.at.children.append(child)
+        if tag not in _VOID:
+            self.at = child
+
+    def handle_endtag(self, tag):
+        node = self.at
+        while node.parent is not None and node.tag != tag:
+            node = node.parent
+        if node.parent is not None:
+            self.at = node.parent
+
+    def handle_data(self, data):
+        self.at.children.append(data)
+
+
+def _parse(html: str | None) -> _Node:
+    tree = _Tree()
+    tree.feed(html or "")
+    tree.close()
+    return tree.root
+
+
+def _attr(node: _Node | None, name: str) -> str | None:
+    return node.attrs.get(name) if node else None
+
+
+def _cut(url: str | None) -> str | None:
+    return url.split("?")[0] if url is not None else None
+
+
+def _card(node: _Node, s: dict) -> dict:
+    job_id = (node.attrs.get(s["id_attribute"]) or "").split(":")[-1]
+    company = node.first(s["company"])
+    url = _cut(_attr(node.first(s["url"]), "href"))
+    return {
+        "job_id": job_id,
+        "title": node.first_text(s["title"]),
+        "company": company.text() if company else "",
+        "company_url": _cut(_attr(company.first("a") if company else None, "href")),
+        "location": node.first_text(s["location"]),
+        "posted_at": _attr(node.first(s["posted_at"]), "datetime"),
+        "url": url if url is not None else f"{fixed.JOB_VIEW_URL}{job_id}/",
+    }
+
+
+CARD_SCHEMA = (
+    "page_id long, n_cards int, pos int, job_id string, title string, company string, company_url string, "
+    "location string, posted_at string, url string"
+)
+
+
+def extract_job_cards(pages: DataFrame, selectors: dict = CARD_SELECTORS) -> DataFrame:
+    """One row per card of every page (page_id, html), ``pos`` from 0.
+
+    ``n_cards`` is the number of cards on the page; a page without cards gives
+    one row with NULL ``pos`` so that it stays visible.
+    """
+    names = [part.strip().split(" ")[0] for part in CARD_SCHEMA.split(",")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for page_id, html in zip(batch["page_id"], batch["html"]):
+                cards = [n for n in _parse(html).walk() if any(n.matches(s) for s in selectors["card"])]
+                if not cards:
+                    rows.append({"page_id": page_id, "n_cards": 0})
+                for pos, node in enumerate(cards):
+                    rows.append({"page_id": page_id, "n_cards": len(cards), "pos": pos, **_card(node, selectors)})
+            frame = pd.DataFrame(rows, columns=names)
+            yield frame.astype({"n_cards": "Int32", "pos": "Int32"})
+
+    return pages.select("page_id", "html").mapInPandas(run, CARD_SCHEMA)
+
+
+DETAIL_SCHEMA = "page_id long, description string, criteria map<string,string>, applicants string"
+
+
+def extract_job_details(pages: DataFrame, selectors: dict = DETAIL_SELECTORS) -> DataFrame:
+    """Description, criteria as columns and applicants text of detail pages."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for page_id, html in zip(batch["page_id"], batch["html"]):
+                root = _parse(html)
+                description = next((t for t in (root.first_text(s) for s in selectors["description"]) if t), "")
+                criteria = {}
+                for item in (n for n in root.walk() if n.matches(selectors["criteria"])):
+                    label = item.first_text(selectors["label"])
+                    if label:
+                        criteria[label] = item.first_text(selectors["value"])
+                rows.append((page_id, description, criteria, root.first_text(selectors["applicants"]) or None))
+            yield pd.DataFrame(rows, columns=["page_id", "description", "criteria", "applicants"])
+
+    details = pages.select("page_id", "html").mapInPandas(run, DETAIL_SCHEMA)
+
+    def criterion(name: str):
+        return F.try_element_at("criteria", F.lit(name))
+
+    return details.select(
+        "page_id",
+        "description",
+        criterion("Seniority level").alias("seniority_level"),
+        criterion("Employment type").alias("employment_type"),
+        criterion("Job function").alias("job_function"),
+        criterion("Industries").alias("industries"),
+        "applicants",
+    )
