@@ -29,13 +29,13 @@ def parse_applicants(value: Column) -> Column:
 def years_in_text(text: Column | str) -> Column:
     """"3-5" -> (3,5); "8+" -> (8,NULL); "10" -> (10,10); otherwise NULLs."""
     text = jtrim(text)
+    pattern = r"^(\d+)\s*(?:-\s*(\d+)|(\+))?$"
 
-    def group(pattern: str, index: int) -> Column:
-        return F.nullif(F.regexp_extract(text, pattern, index), F.lit("")).cast("double")
+    def group(index: int) -> Column:
+        return F.nullif(F.regexp_extract(text, pattern, index), F.lit(""))
 
-    span, plus, single = r"^(\d+)\s*-\s*(\d+)$", r"^(\d+)\s*\+$", r"^(\d+)$"
-    low = F.coalesce(group(span, 1), group(plus, 1), group(single, 1))
-    high = F.coalesce(group(span, 2), group(single, 1))
+    low = group(1).cast("double")
+    high = F.coalesce(group(2).cast("double"), F.when(group(3).isNull(), low))
     return F.struct(low.alias("min"), high.alias("max"))
 
 

@@ -17,9 +17,13 @@ def canonical_skill(text: Column | str, aliases: dict[str, str] = fixed.SKILL_AL
 
 
 def normalize_skill(text: Column | str, aliases: dict[str, str] = fixed.SKILL_ALIASES) -> Column:
-    """Struct of display name and lookup key."""
-    name = canonical_skill(text, aliases)
-    return F.struct(name.alias("name"), norm_key(name).alias("normalized_name"))
+    """Struct of display name and lookup key (the key of the canonical name)."""
+    key = norm_key(text)
+    alias_keys = {alias: " ".join(name.lower().split()) for alias, name in aliases.items()}
+    return F.struct(
+        canonical_skill(text, aliases).alias("name"),
+        F.coalesce(lookup(alias_keys, key), key).alias("normalized_name"),
+    )
 
 
 def normalize_role(text: Column | str, aliases: dict[str, str] = fixed.ROLE_ALIASES) -> Column:

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from jobtide.session import ship_package
+
 
 def enrich(df: DataFrame, fn: Callable[[dict], str], max_rows: int | None = None) -> DataFrame:
     """Add ``output, status, error``; one failing row never stops the rest.
@@ -30,6 +32,7 @@ def enrich(df: DataFrame, fn: Callable[[dict], str], max_rows: int | None = None
             status = ["failed" if e is not None else "succeeded" for e in errors]
             yield batch.assign(output=outputs, status=status, error=errors)[[*columns, "output", "status", "error"]]
 
+    ship_package(df.sparkSession)
     source = df.limit(max_rows) if max_rows is not None else df
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
     return source.mapInPandas(run, f"{fields}, output string, status string, error string")

@@ -2,42 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobtide.operators import daily, project, upsert
 from jobtide.operators.health import apply_health, market_health, upsert_market_row
 from jobtide.operators.taxonomy import queue_novel
-from jobtide.session import shared_dir
 from jobtide.sources import tables
-from jobtide.sources.documents import (
-    classify_documents,
-    document_statuses,
-    ingest_summary,
-    parse_documents,
-    read_analysis_dir,
-    reject_invalid,
-)
-
-
-def stage_documents(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(accepted documents, statuses), both read back from staged tables.
-
-    The parsed documents are written once to the shared folder; the ten
-    projections read only their own columns of it, and a lost executor costs
-    no second parse of the source.
-    """
-    spark = files.sparkSession
-    path = f"{shared_dir(spark)}/staged-{uuid.uuid4().hex}"
-    classified = classify_documents(files)
-    parse_documents(classified).write.parquet(f"{path}/parsed")
-    skipped = classified.filter("status <> 'ok'").select("file", "job_id", "status", "error")
-    skipped.write.parquet(f"{path}/skipped")
-    parsed = spark.read.parquet(f"{path}/parsed")
-    accepted, _ = reject_invalid(parsed)
-    return accepted, document_statuses(spark.read.parquet(f"{path}/skipped"), parsed)
+from jobtide.sources.documents import accepted, ingest_summary, read_analysis_dir, stage_documents, statuses
 
 
 def canon_of(state: dict[str, DataFrame]) -> DataFrame:
@@ -98,10 +70,10 @@ def apply_documents(state: dict[str, DataFrame], docs: DataFrame, now: Column) -
 def ingest_files(files: DataFrame, base: str, now: Column, batch_id: int = -1) -> DataFrame:
     """Bring the state at ``base`` up to date; returns the status per file."""
     spark = files.sparkSession
-    docs, statuses = stage_documents(files)
-    state = apply_documents(tables.read_state(spark, base), docs, now)
+    staged = stage_documents(files)
+    state = apply_documents(tables.read_state(spark, base), accepted(staged), now)
     tables.write_state(spark, base, state, batch_id)
-    return statuses
+    return statuses(staged)
 
 
 def snapshot_frames(state: dict[str, DataFrame], day: str) -> dict[str, DataFrame]:
@@ -139,6 +111,6 @@ def aggregate(spark: SparkSession, base: str, day: str) -> None:
 
 def run_daily(spark: SparkSession, source_dir: str, base: str, day: str, now: str) -> DataFrame:
     """Ingest a folder, publish the date; returns total, succeeded, failed."""
-    statuses = ingest_files(read_analysis_dir(spark, source_dir), base, F.lit(now).cast("timestamp_ntz"))
+    files = ingest_files(read_analysis_dir(spark, source_dir), base, F.lit(now).cast("timestamp_ntz"))
     aggregate(spark, base, day)
-    return ingest_summary(statuses)
+    return ingest_summary(files)

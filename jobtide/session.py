@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -40,3 +42,18 @@ def shared_dir(spark: SparkSession) -> str:
         path = tempfile.mkdtemp(prefix="jobtide-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers, once per application."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    folder = tempfile.mkdtemp(prefix="jobtide-code-")
+    archive = shutil.make_archive(os.path.join(folder, "jobtide"), "zip", root, "jobtide")
+    spark.sparkContext.addPyFile(archive)
+    _SHIPPED.add(app)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from jobtide import fixed
 from jobtide.functions import clean, names
 from jobtide.functions import variants as V
 from jobtide.functions.text import first_defined, nullify_literal_null
+from jobtide.session import shared_dir
 
 
 def read_analysis_dir(spark: SparkSession, path: str) -> DataFrame:
@@ -56,30 +59,27 @@ def _document_schema() -> str:
 
 
 def classify_documents(files: DataFrame) -> DataFrame:
-    """Add ``job_id, status, error``; a bad file never affects another."""
+    """Add ``sections, job_id, status, error``; a bad file never affects another."""
     # Repeated object keys keep the last value, see session.SETTINGS.
     files.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     # Parsed as the only element of an array: text after the document is an error.
     wrapped = F.try_parse_json(F.concat(F.lit("["), F.col("raw"), F.lit("]")))
-    job_id = F.try_variant_get("wrapped", "$[0].job_metadata.job_id", "variant")
-    valid = F.try_variant_get("wrapped", "$[0]", "variant").isNotNull()
-    alone = F.try_variant_get("wrapped", "$[1]", "variant").isNull()
+    alone = (
+        F.try_variant_get("wrapped", "$[0]", "variant").isNotNull()
+        & F.try_variant_get("wrapped", "$[1]", "variant").isNull()
+    )
+    id_value = F.try_variant_get("wrapped", "$[0].job_metadata.job_id", "variant")
+    usable = F.col("alone") & F.coalesce(V.truthy(F.col("id_value")), F.lit(False))
+    status = F.when(~F.col("alone"), "skipped_invalid_json").when(~usable, "skipped_invalid_structure").otherwise("ok")
+    error = F.when(F.col("status") == "skipped_invalid_json", "Invalid JSON").when(
+        F.col("status") == "skipped_invalid_structure", fixed.MISSING_JOB_ID
+    )
     return (
         files.withColumn("wrapped", wrapped)
-        .withColumn("id_value", F.when(valid & alone, job_id))
-        .withColumn("job_id", F.when(V.truthy(F.col("id_value")), V.text(F.col("id_value"))))
-        .withColumn(
-            "status",
-            F.when(~(valid & alone) | F.col("wrapped").isNull(), "skipped_invalid_json")
-            .when(F.col("job_id").isNull(), "skipped_invalid_structure")
-            .otherwise("ok"),
-        )
-        .withColumn(
-            "error",
-            F.when(F.col("status") == "skipped_invalid_json", "Invalid JSON")
-            .when(F.col("status") == "skipped_invalid_structure", fixed.MISSING_JOB_ID),
-        )
-        .drop("wrapped", "id_value")
+        .withColumns({"alone": alone, "id_value": id_value, "sections": F.from_json("raw", _document_schema())})
+        .withColumns({"job_id": F.when(usable, V.text(F.col("id_value"))), "status": status})
+        .withColumn("error", error)
+        .select("file", "raw", "sections", "job_id", "status", "error")
     )
 
 
@@ -241,56 +241,61 @@ def _violations() -> Column:
 
 
 def parse_documents(classified: DataFrame) -> DataFrame:
-    """All sections of the usable documents as fixed structs and arrays.
+    """All sections of the documents as fixed structs and arrays, final status.
 
-    One narrow pass over the raw text. Write the result to a staged Parquet
-    table: every projection then reads only its own columns.
+    One narrow pass without a filter. A filter on the status would be pushed
+    below the projections and parse a text once per reference to it, so write
+    the result to a staged table and filter that: the stored status is then a
+    pushed filter, and every projection reads only its own columns.
     """
+    fits = F.size("violations") == 0
+    rejected = (F.col("status") == "ok") & ~fits
+    reason = F.concat(F.lit("Value does not fit: "), F.array_join("violations", ", "))
     return (
-        classified.filter(F.col("status") == "ok")
-        .withColumn("sections", F.from_json("raw", _document_schema()))
-        .withColumn("skill_entries", _skill_entries(F.col("sections.skills")))
+        classified.withColumns({"skill_entries": _skill_entries(F.col("sections.skills")), "priorities": _priorities()})
         .withColumn("flat_skills", _flat_skills(F.col("skill_entries")))
-        .withColumn("priorities", _priorities())
+        .withColumns({"job": _job(), "role": _role(), "skills": _first_by_key(F.col("flat_skills"), F.col("priorities"))})
+        .withColumn("violations", _violations())
         .select(
             "file",
             "raw",
             "job_id",
-            _job().alias("job"),
-            _first_by_key(F.col("flat_skills"), F.col("priorities")).alias("skills"),
+            "job",
+            "skills",
             _texts(F.col("sections.capabilities")).alias("capabilities"),
-            _role().alias("role"),
+            "role",
             _attributes().alias("attributes"),
             _lifecycle().alias("lifecycle"),
+            F.when(rejected, "error").otherwise(F.col("status")).alias("status"),
+            F.when(rejected, reason).otherwise(F.col("error")).alias("error"),
         )
-        .withColumn("violations", _violations())
     )
 
 
-def reject_invalid(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected): a document with any violation leaves no row behind."""
-    clean_rows = F.size("violations") == 0
-    accepted = parsed.filter(clean_rows).drop("violations")
-    rejected = parsed.filter(~clean_rows).select(
-        "file",
-        F.lit("error").alias("status"),
-        F.concat(F.lit("Value does not fit: "), F.array_join("violations", ", ")).alias("error"),
-    )
-    return accepted, rejected
+def stage_documents(files: DataFrame) -> DataFrame:
+    """Parsed documents, written once to the shared folder and read back.
+
+    A lost executor costs no second parse of the source.
+    """
+    spark = files.sparkSession
+    path = f"{shared_dir(spark)}/staged-{uuid.uuid4().hex}"
+    parse_documents(classify_documents(files)).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def accepted(staged: DataFrame) -> DataFrame:
+    """Documents whose rows may enter the tables; a rejected one leaves none."""
+    return staged.filter(F.col("status") == "ok")
 
 
-def document_statuses(classified: DataFrame, parsed: DataFrame) -> DataFrame:
+def statuses(staged: DataFrame) -> DataFrame:
     """One row per file: ``file, status, error``."""
-    _, rejected = reject_invalid(parsed)
-    accepted, _ = reject_invalid(parsed)
-    ok = accepted.select("file", F.lit("ok").alias("status"), F.lit(None).cast("string").alias("error"))
-    skipped = classified.filter(F.col("status") != "ok").select("file", "status", "error")
-    return ok.unionByName(rejected).unionByName(skipped)
+    return staged.select("file", "status", "error")
 
 
-def ingest_summary(statuses: DataFrame) -> DataFrame:
+def ingest_summary(files: DataFrame) -> DataFrame:
     succeeded = F.count_if(F.col("status") == "ok")
     total = F.count(F.lit(1))
-    return statuses.agg(
+    return files.agg(
         total.alias("total"), succeeded.alias("succeeded"), (total - succeeded).alias("failed")
     )

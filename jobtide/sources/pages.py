@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from jobtide import fixed
 from jobtide.functions.text import JS_SPACES
+from jobtide.session import ship_package
 
 # Where the fields of a result card and of a detail page stand.
 CARD_SELECTORS = {
@@ -171,6 +172,7 @@ def extract_job_cards(pages: DataFrame, selectors: dict = CARD_SELECTORS) -> Dat
             frame = pd.DataFrame(rows, columns=names)
             yield frame.astype({"n_cards": "Int32", "pos": "Int32"})
 
+    ship_package(pages.sparkSession)
     return pages.select("page_id", "html").mapInPandas(run, CARD_SCHEMA)
 
 
@@ -194,6 +196,7 @@ def extract_job_details(pages: DataFrame, selectors: dict = DETAIL_SELECTORS) ->
                 rows.append((page_id, description, criteria, root.first_text(selectors["applicants"]) or None))
             yield pd.DataFrame(rows, columns=["page_id", "description", "criteria", "applicants"])
 
+    ship_package(pages.sparkSession)
     details = pages.select("page_id", "html").mapInPandas(run, DETAIL_SCHEMA)
 
     def criterion(name: str):

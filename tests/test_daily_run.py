@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from jobtide.plans import daily as plan
 from jobtide.sources import tables
-from jobtide.sources.documents import read_analysis_dir
+from jobtide.sources.documents import read_analysis_dir, stage_documents
 
 DOCS = {
     "a.json": {
@@ -57,8 +57,8 @@ def run(spark, tmp_path_factory):
 def test_statuses(spark, run, rows):
     source, _, summary = run
     assert tuple(summary) == (8, 3, 5)
-    _, statuses = plan.stage_documents(read_analysis_dir(spark, source))
-    assert rows(statuses.select("file", "status"), "file") == [
+    staged = stage_documents(read_analysis_dir(spark, source))
+    assert rows(staged.select("file", "status"), "file") == [
         ("a.json", "ok"),
         ("b.json", "skipped_invalid_json"),
         ("c.json", "skipped_invalid_structure"),
