@@ -38,7 +38,7 @@ def bucket_status(score: Column | str) -> Column:
 
 def share(part: Column, total: Column) -> Column:
     """Percentage of a total, 0 when the total is 0."""
-    return F.when(total > 0, part / total * 100).otherwise(F.lit(0.0))
+    return F.coalesce(F.try_divide(part, total) * 100, F.lit(0.0))
 
 
 def minmax(value: Column, series: Column, window: WindowSpec) -> Column:

@@ -4,38 +4,40 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from jobtide.session import ship_package
 
 
+ADDED = ("output", "status", "error")
+
+
 def enrich(df: DataFrame, fn: Callable[[dict], str], max_rows: int | None = None) -> DataFrame:
     """Add ``output, status, error``; one failing row never stops the rest.
 
     ``fn`` gets a row as a dict and returns text. ``max_rows`` is the user's
     cap on the rows to process.
     """
-    columns = df.columns
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def attempt(row: dict) -> tuple[str | None, str, str | None]:
+        try:
+            return fn(row), "succeeded", None
+        except Exception as err:  # noqa: BLE001 - any failure belongs to its row
+            return None, "failed", str(err)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            outputs, errors = [], []
-            for row in batch.to_dict("records"):
-                try:
-                    outputs.append(fn(row))
-                    errors.append(None)
-                except Exception as err:  # noqa: BLE001 - any failure belongs to its row
-                    outputs.append(None)
-                    errors.append(str(err))
-            status = ["failed" if e is not None else "succeeded" for e in errors]
-            yield batch.assign(output=outputs, status=status, error=errors)[[*columns, "output", "status", "error"]]
+            results = [attempt(row) for row in batch.to_pylist()]
+            added = [pa.array([r[i] for r in results], pa.string()) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, *ADDED])
 
     ship_package(df.sparkSession)
     source = df.limit(max_rows) if max_rows is not None else df
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return source.mapInPandas(run, f"{fields}, output string, status string, error string")
+    schema = T.StructType([*df.schema.fields, *[T.StructField(name, T.StringType()) for name in ADDED]])
+    return source.mapInArrow(run, schema)
 
 
 def enrich_summary(enriched: DataFrame) -> DataFrame:

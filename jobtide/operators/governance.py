@@ -134,8 +134,9 @@ def apply_resolutions(queue: DataFrame, decisions: DataFrame, now: Column) -> tu
 def judge_role_merges(roles: DataFrame, merges: DataFrame) -> DataFrame:
     """Merges (seq, source_id, target_id) with an ``error_code``.
 
-    A merge that touches a role an earlier merge of the batch has moved or
-    extended collides: it would build a chain. It can be sent again later.
+    A merge collides when an earlier request of the batch, valid on its own,
+    moves its source or target or merges into its source: together they would
+    build a chain. It can be sent again with the next batch.
     """
     source = roles.select(
         F.col("id").alias("source_id"), F.col("merged_into_id").alias("source_merged"), F.lit(True).alias("source_found")

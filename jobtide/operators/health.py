@@ -21,10 +21,14 @@ def market_health(
     diversity = role_metrics.groupBy("metric_date").agg(F.count(F.lit(1)).alias("roles"))
     accessible = entry_mid_share(job_roles, labels).scalar()
     past = so_far()
-    # A date with roles but no market row still counts in the diversity series.
-    days = market.withColumn("in_market", F.lit(True)).join(diversity, "metric_date", "full")
-    growth = market.select("metric_date", round2(trend_pct("total_jobs", None, 7)).alias("growth"))
-    parts = days.join(growth, "metric_date", "left").select(
+    # Growth looks at market rows only. A date with roles but no market row
+    # still counts in the diversity series, hence the full join afterwards.
+    grown = market.select(
+        "metric_date", "total_jobs", "unique_companies", "average_applicants",
+        F.lit(True).alias("in_market"),
+        round2(trend_pct("total_jobs", None, 7)).alias("growth"),
+    )
+    parts = grown.join(diversity, "metric_date", "full").select(
         "metric_date",
         "in_market",
         F.count("in_market").over(past).alias("snapshots"),

@@ -43,31 +43,41 @@ def _education(value: Column) -> Column:
     return F.when(F.size(kept) > 0, kept)
 
 
+def _fields(raw: str, names: list[str]) -> Column:
+    """Fields of a JSON object as VARIANT; all NULL when the text is no object."""
+    schema = ", ".join(f"{name} variant" for name in names)
+    is_object = jtrim(raw).startswith("{")
+    return F.from_json(F.when(is_object, F.col(raw)).otherwise(F.lit("{}")), schema)
+
+
 def validate_profiles(df: DataFrame, raw: str = "raw") -> DataFrame:
     """Add ``profile`` (nine typed fields), ``dropped_fields`` and ``enrichment_status``.
 
-    A field of the wrong shape or out of range becomes NULL and is listed.
+    ``raw`` is JSON text. A field of the wrong shape or out of range becomes
+    NULL and is listed.
     """
-    value = F.col(raw)
-    coerced: dict[str, Column] = {f: _list_or_null(V.get(value, f)) for f in LIST_FIELDS}
-    seniority = blank_to_null(V.string(V.get(value, "seniority_level")))
+    value = F.col("_fields")
+    coerced: dict[str, Column] = {f: _list_or_null(value[f]) for f in LIST_FIELDS}
+    seniority = blank_to_null(V.string(value["seniority_level"]))
     coerced["seniority_level"] = F.when(seniority.isin(fixed.SENIORITY_LEVELS), seniority)
-    years = _number_or_null(V.get(value, "years_of_experience"))
+    years = _number_or_null(value["years_of_experience"])
     coerced["years_of_experience"] = F.when(years.between(0, 80), years)
-    coerced["education"] = _education(V.get(value, "education"))
-    coerced["location"] = blank_to_null(V.string(V.get(value, "location")))
+    coerced["education"] = _education(value["education"])
+    coerced["location"] = blank_to_null(V.string(value["location"]))
     dropped = F.array_compact(
         F.array(
             *[
-                F.when(~V.is_nullish(V.get(value, f)) & F.col("profile")[f].isNull(), F.lit(f))
+                F.when(~V.is_nullish(value[f]) & F.col("profile")[f].isNull(), F.lit(f))
                 for f in FIELDS
             ]
         )
     )
     return (
-        df.withColumn("profile", F.struct(*[coerced[f].alias(f) for f in FIELDS]))
+        df.withColumn("_fields", _fields(raw, FIELDS))
+        .withColumn("profile", F.struct(*[coerced[f].alias(f) for f in FIELDS]))
         .withColumn("dropped_fields", dropped)
         .withColumn("enrichment_status", F.when(F.size("dropped_fields") == 0, "complete").otherwise("partial"))
+        .drop("_fields")
     )
 
 
@@ -106,20 +116,26 @@ def profile_details(profiles: DataFrame, resumes: DataFrame) -> DataFrame:
 
 
 def validate_search_queries(df: DataFrame, raw: str = "raw", caps: dict[str, int] = fixed.QUERY_CAPS) -> DataFrame:
-    """Add the three query lists, ``dropped_fields`` and ``generation_status``."""
-    value = F.col(raw)
+    """Add the three query lists, ``dropped_fields`` and ``generation_status``.
+
+    ``raw`` is JSON text.
+    """
+    value = F.col("_fields")
     notes = []
     lists = {}
     for name, cap in caps.items():
-        field = V.get(value, name)
+        field = value[name]
         lists[name] = F.slice(F.array_distinct(_clean_texts(field)), 1, cap)
         given = ~V.is_nullish(field)
         invalid = F.size(_clean_texts(field)) != F.size(V.array(field))
         notes.append(
             F.when(given & ~V.is_array(field), F.lit(name)).when(given & invalid, F.lit(f"{name} (some entries invalid)"))
         )
-    return df.withColumns(lists).withColumn("dropped_fields", F.array_compact(F.array(*notes))).withColumn(
-        "generation_status", F.when(F.size("dropped_fields") == 0, "complete").otherwise("partial")
+    return (
+        df.withColumn("_fields", _fields(raw, list(caps)))
+        .withColumns({**lists, "dropped_fields": F.array_compact(F.array(*notes))})
+        .withColumn("generation_status", F.when(F.size("dropped_fields") == 0, "complete").otherwise("partial"))
+        .drop("_fields")
     )
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -150,6 +150,10 @@ CARD_SCHEMA = (
     "page_id long, n_cards int, pos int, job_id string, title string, company string, company_url string, "
     "location string, posted_at string, url string"
 )
+_CARD_BATCH = pa.schema(
+    [("page_id", pa.int64()), ("n_cards", pa.int32()), ("pos", pa.int32())]
+    + [(f, pa.string()) for f in ("job_id", "title", "company", "company_url", "location", "posted_at", "url")]
+)
 
 
 def extract_job_cards(pages: DataFrame, selectors: dict = CARD_SELECTORS) -> DataFrame:
@@ -158,46 +162,53 @@ def extract_job_cards(pages: DataFrame, selectors: dict = CARD_SELECTORS) -> Dat
     ``n_cards`` is the number of cards on the page; a page without cards gives
     one row with NULL ``pos`` so that it stays visible.
     """
-    names = [part.strip().split(" ")[0] for part in CARD_SCHEMA.split(",")]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for page_id, html in zip(batch["page_id"], batch["html"]):
-                cards = [n for n in _parse(html).walk() if any(n.matches(s) for s in selectors["card"])]
-                if not cards:
-                    rows.append({"page_id": page_id, "n_cards": 0})
-                for pos, node in enumerate(cards):
-                    rows.append({"page_id": page_id, "n_cards": len(cards), "pos": pos, **_card(node, selectors)})
-            frame = pd.DataFrame(rows, columns=names)
-            yield frame.astype({"n_cards": "Int32", "pos": "Int32"})
+            for page in batch.to_pylist():
+                cards = [n for n in _parse(page["html"]).walk() if any(n.matches(s) for s in selectors["card"])]
+                base = {"page_id": page["page_id"], "n_cards": len(cards)}
+                rows += [{**base, "pos": pos, **_card(node, selectors)} for pos, node in enumerate(cards)] or [base]
+            yield pa.RecordBatch.from_pylist(rows, schema=_CARD_BATCH)
 
     ship_package(pages.sparkSession)
-    return pages.select("page_id", "html").mapInPandas(run, CARD_SCHEMA)
+    return pages.select("page_id", "html").mapInArrow(run, CARD_SCHEMA)
 
 
 DETAIL_SCHEMA = "page_id long, description string, criteria map<string,string>, applicants string"
+_DETAIL_BATCH = pa.schema(
+    [("page_id", pa.int64()), ("description", pa.string()), ("criteria", pa.map_(pa.string(), pa.string())), ("applicants", pa.string())]
+)
+
+
+def _details(page: dict, selectors: dict) -> dict:
+    root = _parse(page["html"])
+    texts = (root.first_text(s) for s in selectors["description"])
+    criteria: dict[str, str] = {}
+    for item in root.walk():
+        if item.matches(selectors["criteria"]):
+            label = item.first_text(selectors["label"])
+            if label:
+                criteria[label] = item.first_text(selectors["value"])
+    return {
+        "page_id": page["page_id"],
+        "description": next((t for t in texts if t), ""),
+        "criteria": list(criteria.items()),
+        "applicants": root.first_text(selectors["applicants"]) or None,
+    }
 
 
 def extract_job_details(pages: DataFrame, selectors: dict = DETAIL_SELECTORS) -> DataFrame:
     """Description, criteria as columns and applicants text of detail pages."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for page_id, html in zip(batch["page_id"], batch["html"]):
-                root = _parse(html)
-                description = next((t for t in (root.first_text(s) for s in selectors["description"]) if t), "")
-                criteria = {}
-                for item in (n for n in root.walk() if n.matches(selectors["criteria"])):
-                    label = item.first_text(selectors["label"])
-                    if label:
-                        criteria[label] = item.first_text(selectors["value"])
-                rows.append((page_id, description, criteria, root.first_text(selectors["applicants"]) or None))
-            yield pd.DataFrame(rows, columns=["page_id", "description", "criteria", "applicants"])
+            rows = [_details(page, selectors) for page in batch.to_pylist()]
+            yield pa.RecordBatch.from_pylist(rows, schema=_DETAIL_BATCH)
 
     ship_package(pages.sparkSession)
-    details = pages.select("page_id", "html").mapInPandas(run, DETAIL_SCHEMA)
+    details = pages.select("page_id", "html").mapInArrow(run, DETAIL_SCHEMA)
 
     def criterion(name: str):
         return F.try_element_at("criteria", F.lit(name))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,35 +15,47 @@ FIELDS = {
     "seniorityLevel": "seniority_level", "employmentType": "employment_type",
     "jobFunction": "job_function", "industries": "industries", "applicants": "applicants",
 }
-SCHEMA = T.StructType([T.StructField(f, T.StringType()) for f in (*FIELDS, "_corrupt_record")])
+SCHEMA = T.StructType([T.StructField(f, T.StringType()) for f in FIELDS])
 FAILURES = "dataset string, error string"
 
 
+def _parsed(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
+    """(item, position, corrupt): one row per posting of a dataset."""
+    rows = spark.read.text(path, wholetext=multi_line).filter(F.trim("value") != "")
+    place = [
+        F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("row")
+    ]
+    corrupt = F.try_parse_json("value").isNull().alias("corrupt")
+    if multi_line:
+        items = rows.select(F.from_json("value", T.ArrayType(SCHEMA)).alias("items"), *place, corrupt)
+        return items.select(
+            F.posexplode_outer("items").alias("pos", "item"), "file_path", "file_block_start", "row", "corrupt"
+        ).select("item", F.struct("file_path", "file_block_start", "row", "pos").alias("position"), "corrupt")
+    item = F.from_json("value", SCHEMA).alias("item")
+    return rows.select(item, F.struct(*place, F.lit(0).alias("pos")).alias("position"), corrupt)
+
+
 def read_datasets(spark: SparkSession, paths: list[str], multi_line: bool = False) -> tuple[DataFrame, DataFrame]:
     """(postings, failures) of several JSON datasets, each path read once.
 
-    A missing dataset, or one holding broken JSON, is left out as a whole and
+    A dataset is JSON lines, or with ``multi_line`` one JSON array per file. A
+    missing dataset, or one holding broken JSON, is left out as a whole and
     reported. ``dataset_no`` and ``position`` give the reading order.
     """
     frames, failures = [], []
     for number, path in enumerate(dict.fromkeys(p.strip() for p in paths if p.strip())):
         try:
-            frame = spark.read.schema(SCHEMA).option("columnNameOfCorruptRecord", "_corrupt_record").json(
-                path, multiLine=multi_line
-            )
+            frame = _parsed(spark, path, multi_line)
         except AnalysisException as err:
             failures.append((path, err.getCondition() or "unreadable"))
             continue
-        place = F.struct(
-            F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("row")
-        )
         frames.append(
             frame.select(
-                *[F.col(k).alias(v) for k, v in FIELDS.items()],
+                *[F.col(f"item.{k}").alias(v) for k, v in FIELDS.items()],
                 F.lit(path).alias("dataset"),
                 F.lit(number).alias("dataset_no"),
-                place.alias("position"),
-                F.col("_corrupt_record").isNotNull().alias("corrupt"),
+                "position",
+                "corrupt",
             )
         )
     missing = spark.createDataFrame(failures, FAILURES)
@@ -49,9 +63,7 @@ def read_datasets(spark: SparkSession, paths: list[str], multi_line: bool = Fals
         names = [*FIELDS.values(), "dataset"]
         empty = spark.createDataFrame([], ", ".join(f"{n} string" for n in names) + ", dataset_no int, position string")
         return empty, missing
-    rows = frames[0]
-    for frame in frames[1:]:
-        rows = rows.unionByName(frame)
+    rows = reduce(DataFrame.unionByName, frames)
     broken = rows.groupBy("dataset").agg(F.bool_or("corrupt").alias("corrupt")).filter("corrupt").select("dataset")
     good = rows.join(broken, "dataset", "left_anti").drop("corrupt")
     return good, missing.unionByName(broken.withColumn("error", F.lit("broken JSON")))

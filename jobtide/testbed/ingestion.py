@@ -53,7 +53,7 @@ def staged(s, d):
     if key not in _STAGED:
         path = f"{shared_dir(s)}/testbed-{uuid.uuid4().hex}"
         # The test table is one small file; spread it as a folder of documents would be.
-        docs = portable(s, d, DOCS).select("file", "raw").repartition("file")
+        docs = portable(s, d, DOCS).select("file", "raw").repartition(s.sparkContext.defaultParallelism, "file")
         D.parse_documents(D.classify_documents(docs)).write.parquet(path)
         _STAGED[key] = path
     return s.read.parquet(_STAGED[key])

@@ -46,7 +46,7 @@ _TERMINAL = "('completed', 'completed_with_errors', 'failed')"
 
 
 def _profiles(s, d):
-    return profiles.validate_profiles(portable(s, d, PROFILES).withColumn("v", F.try_parse_json("raw")), "v")
+    return profiles.validate_profiles(portable(s, d, PROFILES))
 
 
 def _table(s, d):
@@ -55,8 +55,7 @@ def _table(s, d):
 
 
 def _configs(s, d):
-    rows = portable(s, d, QUERY_OUTPUT).withColumn("v", F.try_parse_json("raw"))
-    return profiles.validate_search_queries(rows, "v")
+    return profiles.validate_search_queries(portable(s, d, QUERY_OUTPUT))
 
 
 def _joined(s, d):
