@@ -8,7 +8,6 @@ decisions with an ``error_code``.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from jobtide import fixed
@@ -18,11 +17,15 @@ from jobtide.operators.taxonomy import active_canon
 
 def _first_of_item(decisions: DataFrame) -> DataFrame:
     """Refuse further decisions on an item that an earlier one has resolved."""
-    accepted = F.count_if(F.col("error_code").isNull()).over(
-        W.partitionBy("queue_item_id").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
-    )
-    return decisions.withColumn(
-        "error_code", F.when(F.col("error_code").isNull() & (accepted > 0), "not_pending").otherwise(F.col("error_code"))
+    # The winner is a minimum per item, combined before the shuffle; a window
+    # would bring all decisions on one item into one task.
+    good = decisions.filter("error_code IS NULL")
+    winners = good.groupBy("queue_item_id").agg(F.min("seq").alias("_first_seq"))
+    late = F.col("error_code").isNull() & (F.col("seq") > F.col("_first_seq"))
+    return (
+        decisions.join(winners, "queue_item_id", "left")
+        .withColumn("error_code", F.when(late, "not_pending").otherwise(F.col("error_code")))
+        .drop("_first_seq")
     )
 
 

@@ -19,7 +19,6 @@ from jobtide import fixed
 from jobtide.functions.names import capability_rule
 from jobtide.functions.text import blank_to_null, norm_key, nullify_literal_null
 from jobtide.operators.firsts import first_per_key
-from jobtide.operators.upsert import missing_rows
 
 
 def follow_merges(roles: DataFrame, max_hops: int = fixed.MAX_MERGE_HOPS) -> DataFrame:
@@ -49,7 +48,7 @@ def follow_merges(roles: DataFrame, max_hops: int = fixed.MAX_MERGE_HOPS) -> Dat
     for _ in range(max_hops):
         moving = F.col("next").isNotNull() & ~F.col("lost")
         found = F.col("step_id").isNotNull()
-        walk = walk.join(step, F.when(moving, F.col("next")) == F.col("step_id"), "left").select(
+        walk = walk.join(step, _spread(F.when(moving, F.col("next")), ["id"]) == F.col("step_id"), "left").select(
             "id",
             F.when(moving & found, F.col("step_id")).otherwise(F.col("at")).alias("at"),
             F.when(moving & found, F.col("step_next")).otherwise(F.col("next")).alias("next"),
@@ -68,6 +67,14 @@ def follow_merges(roles: DataFrame, max_hops: int = fixed.MAX_MERGE_HOPS) -> Dat
     return active.unionByName(merged)
 
 
+def _spread(key: Column, columns: list[str]) -> Column:
+    """A key that is never NULL: a NULL becomes one of many keys without a match.
+
+    In an outer join all NULL keys would gather in one shuffle partition.
+    """
+    return F.coalesce(key, F.concat(F.lit("\x00"), F.xxhash64(*columns).cast("string")))
+
+
 def active_canon(canon: DataFrame) -> DataFrame:
     """Canonical rows with ``final_id, final_name, error`` after role merges."""
     roles = canon.filter("dimension = 'role'")
@@ -104,30 +111,31 @@ def resolve_taxonomy(
     known = active_canon(canon)
     raw, dimension = F.col("raw_value"), F.col("dimension")
     exact = known.select(
-        "dimension", F.col("normalized_name").alias("normalized_value"),
+        "dimension", F.col("normalized_name").alias("_key"),
         F.col("final_id").alias("exact_id"), F.col("final_name").alias("exact_name"),
         F.col("error").alias("exact_error"), F.lit(True).alias("is_exact"),
     )
     targets = known.select("dimension", F.col("id").alias("canonical_id"), "final_id", "final_name", "error")
     by_alias = aliases.join(targets, ["dimension", "canonical_id"], "left").select(
-        "dimension", F.col("normalized_alias_text").alias("normalized_value"),
+        "dimension", F.col("normalized_alias_text").alias("_key"),
         F.col("final_id").alias("alias_id"), F.col("final_name").alias("alias_name"),
         F.when(F.col("error").isNotNull(), F.col("error"))
         .when(F.col("final_id").isNull(), "alias_target_missing").alias("alias_error"),
         F.lit(True).alias("is_alias"),
     )
     by_rule = known.filter("dimension = 'capability'").select(
-        F.col("normalized_name").alias("rule_key"), F.col("final_id").alias("rule_id"), F.col("final_name").alias("rule_name")
+        F.col("normalized_name").alias("_rule_key"), F.col("final_id").alias("rule_id"), F.col("final_name").alias("rule_name")
     )
     rule = F.when((dimension == "capability") & ~F.col("is_dropped"), capability_rule(raw, rules))
     joined = (
         values.withColumn("is_dropped", _dropped(raw))
         .withColumn("normalized_value", F.when(~F.col("is_dropped"), norm_key(raw)))
         .withColumn("rule_label", rule)
-        .withColumn("rule_key", norm_key("rule_label"))
-        .join(exact, ["dimension", "normalized_value"], "left")
-        .join(by_alias, ["dimension", "normalized_value"], "left")
-        .join(by_rule, "rule_key", "left")
+        .withColumn("_key", _spread(F.col("normalized_value"), values.columns))
+        .withColumn("_rule_key", _spread(norm_key("rule_label"), values.columns))
+        .join(exact, ["dimension", "_key"], "left")
+        .join(by_alias, ["dimension", "_key"], "left")
+        .join(by_rule, "_rule_key", "left")
     )
     method = (
         F.when(F.col("is_dropped"), "dropped_null_like")
@@ -194,7 +202,7 @@ def review_candidates(resolved: DataFrame, queue: DataFrame, order: list[str]) -
     """New pending rows: one per (dimension, key), none already pending."""
     keys = ["dimension", "normalized_raw_value"]
     rows = first_per_key(review_rows(resolved), keys, order)
-    return missing_rows(queue.filter("status = 'pending'"), rows, keys)
+    return rows.join(queue.filter("status = 'pending'").select(*keys), keys, "left_anti").select(*rows.columns)
 
 
 def novel_values(
@@ -208,6 +216,8 @@ def novel_values(
     needs, and nothing earlier has its own key.
     """
     order = F.struct("file", "pos")
+    # A text seen again changes nothing: only its first sighting goes on.
+    sightings = first_per_key(sightings, ["dimension", "raw_value"], ["file", "pos"])
     resolved = resolve_taxonomy(sightings, canon, aliases, rules, strict=False)
     created = F.coalesce(
         F.when(F.col("dimension") == "capability", norm_key(capability_rule("raw_value", rules))), norm_key("raw_value")
