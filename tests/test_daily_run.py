@@ -138,11 +138,11 @@ def test_second_run_is_idempotent_and_keeps_first_sighting(spark, run, rows):
 def test_failed_publish_leaves_tables_unchanged(spark, run):
     base = run[1]
     state = tables.read_state(spark, base)
-    before = tables.read_metrics(spark, base, "daily_market_metrics").collect()
+    before = tables.read_metrics(spark, base, "daily_market_metrics").orderBy("metric_date").collect()
     broken = plan.snapshot_frames({**state, "roles": state["roles"].limit(0)}, "2024-01-05")
     with pytest.raises(Exception, match="actual role without a roles row"):
         tables.publish_snapshot(spark, base, broken, "2024-01-05")
-    assert tables.read_metrics(spark, base, "daily_market_metrics").collect() == before
+    assert tables.read_metrics(spark, base, "daily_market_metrics").orderBy("metric_date").collect() == before
 
 
 def test_empty_frame_clears_the_date(spark, run):
