@@ -18,10 +18,10 @@ DICTIONARY_BYTES = 128 << 10
 #: Texts wanted for a dictionary; about four times as many are drawn, by a hash of their text.
 SAMPLE_TEXTS = 400
 #: Characters compressed at a time: every piece of a long text meets the dictionary afresh.
-PIECE = 2048
+PIECE = 1024
 #: Relative margin between the two smallest sizes under which a decision is not reliable.
 MARGIN = 0.02
-LEVEL = 1
+LEVEL = 9
 
 
 def learn(docs: DataFrame, text: str, lang: str, sample_texts: int = SAMPLE_TEXTS, size: int = DICTIONARY_BYTES) -> dict[str, bytes]:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobtide.llm import language_id, sharding, simhash_anchors, warc_zip
+from jobtide.llm import language_id, sharding, simhash_anchors, toxicity, warc_zip
 from jobtide.llm.byte_bpe import Vocabulary
 from jobtide.llm.common import fold, table
 
@@ -37,6 +37,12 @@ def op6_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (fold("doc_id", 5) == 0).alias("held_out"))
+    field = toxicity.fit(*toxicity.labelled_sample(docs.filter("NOT held_out"), table(spark, sf_dir, "labels")))
+    return toxicity.tag(docs, field, "text", F.col("doc_id"), F.col("held_out")).drop("spans")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (fold("doc_id", 3) == 1).alias("held_out"))
     dictionaries = language_id.learn(docs.filter("NOT held_out"), "text", "lang")
@@ -48,6 +54,7 @@ QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_simhash_anchors": op3_simhash_anchors,
     "op6_virtual_slots": op6_virtual_slots,
+    "op7_toxicity_crf": op7_toxicity_crf,
     "op10_language_id": op10_language_id,
 }
 SQL: dict[str, str] = {}
