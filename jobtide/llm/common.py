@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from jobtide.session import shared_dir, ship_package
 
@@ -22,6 +23,11 @@ def utf8(column: str):
     return F.coalesce(F.col(column), F.lit("")).cast("binary")
 
 
+def extended(schema: StructType, columns: str) -> StructType:
+    """The schema with further columns, given as in a table definition."""
+    return StructType([*schema.fields, *StructType.fromDDL(columns).fields])
+
+
 def fold(column: str, parts: int):
     """crc32 of the id as text, modulo ``parts``; a null id counts as empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(parts))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobtide.llm import language_id, sharding, simhash_anchors, toxicity, warc_zip
+from jobtide.llm import language_id, sharding, simhash_anchors, suffix_dedup, toxicity, warc_zip
 from jobtide.llm.byte_bpe import Vocabulary
 from jobtide.llm.common import fold, table
 
@@ -30,6 +30,14 @@ def op3_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_suffix_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), "text", F.col("doc_id"))
+    return found.select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op6_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = sharding.shard_documents(table(spark, sf_dir, "documents"))
     return rows.select(
@@ -53,6 +61,7 @@ QUERIES = {
     "op1_warc_zip": op1_warc_zip,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_simhash_anchors": op3_simhash_anchors,
+    "op5_suffix_sort": op5_suffix_sort,
     "op6_virtual_slots": op6_virtual_slots,
     "op7_toxicity_crf": op7_toxicity_crf,
     "op10_language_id": op10_language_id,

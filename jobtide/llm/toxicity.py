@@ -19,19 +19,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobtide.llm.common import prepare
+from jobtide.llm.common import extended, prepare
 
 WORD = re.compile(r"[^\W\d_]+")
-PREFIXES = (3, 4, 5, 6)
+PREFIXES = (4, 5, 6)
 #: Bounds of the labelled sample: toxic texts, clean texts, and characters of a text that may be drawn.
 TOXIC_TEXTS, CLEAN_TEXTS, SAMPLE_CHARS = 1500, 6000, 6_000
 #: Words of a training sequence, and the share of sequences kept that have no word like a toxic one: one in so many.
-SEQUENCE, SPARE = 40, 8
+SEQUENCE, SPARE = 30, 10
 #: A feature marks toxic tokens from this log-likelihood ratio and this share of toxic texts on.
 ASSOCIATION, PURITY = 30.0, 0.98
 #: Texts that a feature must occur in to get a weight.
 FEATURE_TEXTS = 4
-ROUNDS, RATE, PENALTY = 80, 0.4, 1e-3
+ROUNDS, RATE, PENALTY = 50, 0.5, 3e-4
 #: Tokens whose marginals are computed at once, and tokens of context where a longer text is cut.
 BLOCK_TOKENS, CONTEXT = 400_000, 200
 REMEMBERED = 500_000
@@ -78,9 +78,9 @@ def _scan(first: np.ndarray, change: np.ndarray, state: np.ndarray, starts: np.n
 
 
 def forward_backward(score: np.ndarray, change: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Marginal of the toxic state (n) and of each pair of states (n, 2, 2; zero at chain starts)."""
+    """Marginals of the toxic state (n), and the expected number of each change of state (2, 2)."""
     if not len(score):
-        return np.zeros(0), np.zeros((0, 2, 2))
+        return np.zeros(0), np.zeros((2, 2))
     half = np.clip(score, -60, 60) / 2
     state = np.exp(np.stack([-half, half], axis=1))
     factors = np.exp(change)
@@ -90,16 +90,15 @@ def forward_backward(score: np.ndarray, change: np.ndarray, starts: np.ndarray)
     ends = np.append(starts[1:], True)
     beta = _scan(ones, factors.T, state[::-1], ends[::-1])[::-1]
     message = np.ones_like(beta)
-    inner = ~ends
-    message[inner] = (beta[1:] @ factors.T)[inner[:-1]]
+    inner = np.flatnonzero(~starts)
+    follow = beta[inner]
+    for i in range(2):
+        message[inner - 1, i] = follow[:, 0] * factors[i, 0] + follow[:, 1] * factors[i, 1]
     marginal = alpha * message
-    marginal /= marginal.sum(axis=1, keepdims=True)
-    pairs = np.zeros((len(score), 2, 2))
-    inside = np.flatnonzero(~starts)
-    if len(inside):
-        p = alpha[inside - 1][:, :, None] * factors[None] * (state * message)[inside][:, None, :]
-        pairs[inside] = p / p.sum(axis=(1, 2), keepdims=True)
-    return marginal[:, 1], pairs
+    marginal = marginal[:, 1] / marginal.sum(axis=1)
+    before, after = alpha[inner - 1], (state * message)[inner]
+    pairs = np.stack([before[:, i] * factors[i, j] * after[:, j] for i in range(2) for j in range(2)])
+    return marginal, (pairs / pairs.sum(axis=0)).sum(axis=1).reshape(2, 2)
 
 
 @dataclass(frozen=True)
@@ -178,7 +177,7 @@ def fit(texts: list[str], toxic: list[int]) -> Field:
         error = np.bincount(tokens, y - marginal, len(distinct))
         slope = np.bincount(active.ravel(), np.repeat(error, columns), none + 2)
         slope[none], slope[-1] = 0, error.sum()
-        slope = np.concatenate([slope / len(words) - PENALTY * w, ((seen - pair.sum(axis=0)) / len(words)).ravel()])
+        slope = np.concatenate([slope / len(words) - PENALTY * w, ((seen - pair) / len(words)).ravel()])
         moments[0] = 0.9 * moments[0] + 0.1 * slope
         moments[1] = 0.99 * moments[1] + 0.01 * slope**2
         move = RATE * (moments[0] / (1 - 0.9**step)) / (np.sqrt(moments[1] / (1 - 0.99**step)) + 1e-6)
@@ -271,9 +270,6 @@ def spans(text: str, marginal: np.ndarray, threshold: float = 0.5) -> list[dict]
     return found
 
 
-SPANS = "array<struct<start: int, end: int, score: double>>"
-
-
 def tag(docs: DataFrame, field: Field, text: str, *keep: Column) -> DataFrame:
     """The columns ``keep``, score, predicted and spans, row by row over whole texts.
 
@@ -283,7 +279,7 @@ def tag(docs: DataFrame, field: Field, text: str, *keep: Column) -> DataFrame:
     spark = docs.sparkSession
     prepare(spark)
     rows = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_tagged"))
-    schema = rows.drop("_tagged").schema.add("score", "double").add("predicted", "int").add("spans", SPANS)
+    schema = extended(rows.drop("_tagged").schema, "score double, predicted int, spans array<struct<start: int, end: int, score: double>>")
     shared = spark.sparkContext.broadcast(field)
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
