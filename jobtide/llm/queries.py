@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobtide.llm import language_id, sharding, simhash_anchors, suffix_dedup, toxicity, warc_zip
+from jobtide.llm import fingerprints, language_id, sharding, simhash_anchors, suffix_dedup, toxicity, warc_zip
 from jobtide.llm.byte_bpe import Vocabulary
 from jobtide.llm.common import fold, table
 
@@ -30,6 +30,11 @@ def op3_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_simhash_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
+    return found.withColumns({c: fingerprints.as_hex(c) for c in ("fingerprint", "edited_fingerprint")})
+
+
 def op5_suffix_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), "text", F.col("doc_id"))
     return found.select(
@@ -61,6 +66,7 @@ QUERIES = {
     "op1_warc_zip": op1_warc_zip,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_simhash_anchors": op3_simhash_anchors,
+    "op4_simhash_blocks": op4_simhash_blocks,
     "op5_suffix_sort": op5_suffix_sort,
     "op6_virtual_slots": op6_virtual_slots,
     "op7_toxicity_crf": op7_toxicity_crf,
