@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobtide.llm import fingerprints, language_id, sharding, simhash_anchors, suffix_dedup, toxicity, warc_zip
+from jobtide.llm import embedding_dedup, fingerprints, language_id, sharding, simhash_anchors, suffix_dedup, toxicity, warc_zip
 from jobtide.llm.byte_bpe import Vocabulary
 from jobtide.llm.common import fold, table
 
@@ -56,6 +56,10 @@ def op7_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.tag(docs, field, "text", F.col("doc_id"), F.col("held_out")).drop("spans")
 
 
+def op9_itq_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.embedding_components(table(spark, sf_dir, "embeddings"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (fold("doc_id", 3) == 1).alias("held_out"))
     dictionaries = language_id.learn(docs.filter("NOT held_out"), "text", "lang")
@@ -70,6 +74,7 @@ QUERIES = {
     "op5_suffix_sort": op5_suffix_sort,
     "op6_virtual_slots": op6_virtual_slots,
     "op7_toxicity_crf": op7_toxicity_crf,
+    "op9_itq_embeddings": op9_itq_embeddings,
     "op10_language_id": op10_language_id,
 }
 SQL: dict[str, str] = {}
