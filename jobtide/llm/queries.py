@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobtide.llm import embedding_dedup, fingerprints, language_id, sharding, simhash_anchors, suffix_dedup, toxicity, warc_zip
+from jobtide.llm import embedding_dedup, fingerprints, language_id, mixing, sharding, simhash_anchors, suffix_dedup, toxicity, warc_zip
 from jobtide.llm.byte_bpe import Vocabulary
 from jobtide.llm.common import fold, table
 
@@ -56,6 +56,15 @@ def op7_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.tag(docs, field, "text", F.col("doc_id"), F.col("held_out")).drop("spans")
 
 
+def op8_raking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select(
+        "doc_id", F.col("_tokens").cast("long").alias("n_tokens"), F.col("_source").alias("source_group"), F.col("_lang").alias("lang_group"),
+        F.col("_topic").alias("topic"), F.round("_weight", 6).alias("weight"), F.round("_probability", 6).alias("probability"),
+        F.col("_sampled").alias("sampled"),
+    )
+
+
 def op9_itq_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.embedding_components(table(spark, sf_dir, "embeddings"))
 
@@ -74,7 +83,8 @@ QUERIES = {
     "op5_suffix_sort": op5_suffix_sort,
     "op6_virtual_slots": op6_virtual_slots,
     "op7_toxicity_crf": op7_toxicity_crf,
+    "op8_raking": op8_raking,
     "op9_itq_embeddings": op9_itq_embeddings,
     "op10_language_id": op10_language_id,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op8_raking": mixing.mixing_sql()}
