@@ -17,7 +17,7 @@ from itertools import combinations, islice
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobtide.llm.common import cell_pairs, group_starts, merge_labels, prepare, staged, utf8, whole_groups
@@ -138,7 +138,7 @@ def anchors_of(values: np.ndarray, bits: int, t: int) -> tuple[np.ndarray, np.nd
 
 
 def replicate(distinct: DataFrame, threshold: int, n_blocks: int) -> DataFrame:
-    """(anchor, home, fp, more) for every anchor of every row of ``distinct`` (fp long, more binary)."""
+    """(anchor, home, node, fp, more) for every anchor of every row of ``distinct`` (node, fp long, more binary)."""
     t, blocks = threshold // n_blocks, _blocks(n_blocks)
 
     def apply(batches):
@@ -151,19 +151,20 @@ def replicate(distinct: DataFrame, threshold: int, n_blocks: int) -> DataFrame:
                     rows, anchor, home = anchors_of(values, bits, t)
                     take = pa.array(rows)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(anchor | (k << 40)), pa.array(home), part.column("fp").take(take), part.column("more").take(take)],
-                        names=["anchor", "home", "fp", "more"],
+                        [pa.array(anchor | (k << 40)), pa.array(home), *(part.column(c).take(take) for c in ("node", "fp", "more"))],
+                        names=["anchor", "home", "node", "fp", "more"],
                     )
 
-    return distinct.select("fp", "more").mapInArrow(apply, "anchor long, home boolean, fp long, more binary")
+    kind = distinct.schema["node"].dataType.simpleString()
+    return distinct.select("node", "fp", "more").mapInArrow(apply, f"anchor long, home boolean, node {kind}, fp long, more binary")
 
 
 def link(distinct: DataFrame, threshold: int, n_blocks: int, agree: Callable | None = None, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """Links (a, b) that connect all rows of ``distinct`` (fp long, more binary) within ``threshold`` bits.
+    """Links (a, b) between nodes that connect all rows of ``distinct`` (node, fp long, more binary) within ``threshold`` bits.
 
     A link may pass through others: every anchor gives the spanning forest of its pairs, so that a dense group of k
     fingerprints costs k - 1 rows. ``agree(more_a, more_b)`` may refuse pairs by their other bytes, given as
-    matrices of one row per pair. ``fp`` must be unique.
+    matrices of one row per pair. ``node`` is a unique long or binary key.
     """
     n = prepare(distinct.sparkSession)
     rows = replicate(distinct, threshold, n_blocks)
@@ -172,36 +173,38 @@ def link(distinct: DataFrame, threshold: int, n_blocks: int, agree: Callable | N
         rows.groupBy("anchor").count().filter(F.col("count") > cell_rows)
         .select("anchor", F.ceil(F.col("count") / cell_rows).cast("int").alias("k")), "anchors"
     )
-    c = F.pmod(F.xxhash64("fp"), F.col("k")).cast("int")
+    c = F.pmod(F.xxhash64("node"), F.col("k")).cast("int")
     others = F.sequence(F.lit(0), F.col("k") - 1)
     piece = lambda home, i, j: F.struct(home.alias("home"), i.alias("i"), j.alias("j"))
     members = F.transform(others, lambda x: piece(F.lit(False), x, c))
     homes = F.transform(F.when(F.col("home"), others).otherwise(F.array().cast("array<int>")), lambda x: piece(F.lit(True), c, x))
     pieces = F.when(F.col("k").isNull(), F.array(piece(F.col("home"), F.lit(0), F.lit(0)))).otherwise(F.concat(members, homes))
-    cells = rows.join(crowded, "anchor", "left").select("anchor", "fp", "more", F.inline(pieces))
+    cells = rows.join(crowded, "anchor", "left").select("anchor", "node", "fp", "more", F.inline(pieces))
     keys = ["anchor", "i", "j"]
+    kind = distinct.schema["node"].dataType.simpleString()
 
     def compare(batches):
         for rows in whole_groups(batches, keys):
             starts = group_starts(rows, keys)
             sizes = np.diff(np.append(starts, rows.num_rows))
-            fp = rows["fp"].to_numpy()
+            fp, nodes = rows["fp"].to_numpy(), rows["node"].combine_chunks()
+            number = nodes.dictionary_encode().indices.to_numpy()
             more = None
             if agree:
                 more = np.frombuffer(b"".join(rows["more"].to_pylist()), np.uint8).reshape(rows.num_rows, -1)
             homes = np.flatnonzero(rows["home"].to_numpy())
             labels = np.arange(rows.num_rows)
             for a, b in cell_pairs(homes, starts, sizes):
-                near = (np.bitwise_count(fp[a] ^ fp[b]) <= threshold) & (fp[a] != fp[b])
+                near = (np.bitwise_count(fp[a] ^ fp[b]) <= threshold) & (number[a] != number[b])
                 a, b = a[near], b[near]
                 if agree and len(a):
                     same = agree(more[a], more[b])
                     a, b = a[same], b[same]
                 merge_labels(labels, a, b)
-            linked = np.flatnonzero(fp[labels] != fp)
-            yield pa.RecordBatch.from_arrays([pa.array(fp[labels[linked]]), pa.array(fp[linked])], names=["a", "b"])
+            linked = np.flatnonzero(number[labels] != number)
+            yield pa.RecordBatch.from_arrays([nodes.take(pa.array(labels[linked])), nodes.take(pa.array(linked))], names=["a", "b"])
 
-    return cells.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(compare, "a long, b long").distinct()
+    return cells.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(compare, f"a {kind}, b {kind}").distinct()
 
 
 def as_long(column: str) -> Column:
@@ -220,9 +223,43 @@ def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     rows = fingerprints(docs, text, {"bits": lambda x: shingle_simhash(x, words)}, F.col(doc_id).alias("doc_id"))
     prints = staged(rows.select("doc_id", as_long("bits").alias("fp")), "prints")
     distinct = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
-    roots = components(link(distinct.select("fp", F.lit(None).cast("binary").alias("more")), threshold, 3))
+    roots = components(link(distinct.select(F.col("fp").alias("node"), "fp", F.lit(None).cast("binary").alias("more")), threshold, 3))
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     named = staged(named, "named")
     smallest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     labels = named.join(smallest, "root").select("fp", "component_id")
     return prints.join(labels, "fp").select("doc_id", "fp", "component_id")
+
+
+#: Near copies: words of a shingle, bytes of its sketch, and the bits of the sketch in which near copies may differ. Shingle
+#: sets of Jaccard similarity J have a cosine of about 2J / (1 + J); at 0.8 the angle is 0.152 of a half turn, 38.8 of
+#: 256 bits, and the limit lies half a standard deviation above.
+SHINGLE_WORDS, SKETCH_BYTES, SKETCH_BITS = 5, 32, 42
+#: Word fingerprints of near copies differ in at most so many bits; blocks of 16 bits, one of which differs in at most one.
+WORD_BITS, WORD_BLOCKS = 7, 4
+
+
+def similar_sketches(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the shingle sketches of pairs are those of near copies."""
+    return np.bitwise_count(a ^ b).sum(axis=1) <= SKETCH_BITS
+
+
+def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` without near copies: of each group of texts of about 0.8 or more the row with the smallest id stays.
+
+    Candidates are found by fingerprints of the words, which one edit hardly changes, through anchors; a pair is linked
+    if the sketches of its five-word shingles agree. Equal texts, null and empty ones as well, are one group; so are
+    blank texts. Of rows that tie on id and text one stays; null ids come last. Other columns stay as they are.
+    """
+    key, rank = F.unhex(F.md5(utf8(text))), F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1))
+    methods = {"bits": word_simhash, "more": lambda x: shingle_simhash(x, SHINGLE_WORDS, SKETCH_BYTES)}
+    rows = docs.select(key.alias("node"), rank.alias("rank"), F.col(text).alias("text"))
+    found = fingerprints(rows, "text", methods, F.col("node"), F.col("rank"))
+    prints = staged(found.select("node", "rank", as_long("bits").alias("fp"), "more"), "prints")
+    distinct = staged(prints.groupBy("node").agg(F.min("rank").alias("rank"), F.first("fp").alias("fp"), F.first("more").alias("more")), "distinct")
+    roots = components(link(distinct, WORD_BITS, WORD_BLOCKS, similar_sketches))
+    grouped = distinct.select("node", "rank").join(roots, "node", "left").select(F.struct("rank", "node").alias("row"), F.coalesce("root", "node").alias("root"))
+    kept = grouped.groupBy("root").agg(F.min("row").alias("row")).select("row.node", "row.rank")
+    whole = docs.select(key.alias("node"), rank.alias("rank"), F.struct("*").alias("doc"))
+    first = F.row_number().over(Window.partitionBy("node", "rank").orderBy(F.lit(0)))
+    return whole.join(kept, ["node", "rank"]).withColumn("nth", first).filter("nth = 1").select("doc.*")

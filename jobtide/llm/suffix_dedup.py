@@ -281,17 +281,17 @@ def covered(runs: list[dict], size: int, length: int) -> list[tuple[int, int]]:
 
 
 def remove_repeats(docs: DataFrame, text: str, *keep: Column, length: int = LENGTH) -> DataFrame:
-    """The columns ``keep``, n_bytes, spans (start, end) and kept (the remaining bytes), row by row.
+    """The columns ``keep``, n_bytes, spans (start, end), kept (the remaining bytes) and kept_text, row by row.
 
     Every byte of a string of ``length`` bytes that starts at another place of any row goes. Null texts are empty;
     texts shorter than ``length`` keep everything; rows with equal texts of at least ``length`` bytes keep nothing,
-    whether their ids differ or not. An empty table gives no rows.
+    whether their ids differ or not. kept_text leaves out characters that lost some of their bytes. An empty table gives no rows.
     """
     found = repeated_windows(docs, text, length)
     rows = keyed(docs, text, *keep)
     names = [c for c in rows.columns if c not in ("data", "k1", "k2")]
     joined = rows.join(found, ["k1", "k2"], "left").select(*names, "data", "runs", "copies")
-    schema = extended(joined.select(*names).schema, "n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
+    schema = extended(joined.select(*names).schema, "n_bytes long, spans array<struct<start: long, end: long>>, kept binary, kept_text string")
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def apply(batches):
@@ -304,7 +304,7 @@ def remove_repeats(docs: DataFrame, text: str, *keep: Column, length: int = LENG
                 ]
                 kept = [b"".join(d[a:b] for a, b in zip([0, *(e for _, e in s)], [*(a for a, _ in s), len(d)])) for d, s in zip(data, spans)]
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[: len(names)], pa.array(map(len, data), pa.int64()), pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], kind), pa.array(kept, pa.binary())],
+                    [*part.columns[: len(names)], pa.array(map(len, data), pa.int64()), pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], kind), pa.array(kept, pa.binary()), pa.array([k.decode(errors="ignore") for k in kept])],
                     names=schema.names,
                 )
 
