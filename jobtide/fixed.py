@@ -27,9 +27,6 @@ SKILL_ALIASES = {
     "llms": "LLM",
 }
 
-# The alias rows a new taxonomy starts with; all but "llms".
-SEED_ALIASES = [(alias, name.lower()) for alias, name in SKILL_ALIASES.items() if alias != "llms"]
-
 # Role aliases.
 ROLE_ALIASES = {
     "genai engineer": "Generative AI Engineer",

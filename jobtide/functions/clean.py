@@ -40,8 +40,11 @@ def years_in_text(text: Column | str) -> Column:
 
 
 def parse_years(value: Column) -> Column:
+    """Years of a number or text; an array of one element reads as the text of that element."""
     num = V.number(value)
-    parsed = years_in_text(V.string(value))
+    only = F.when(V.is_array(value) & (F.size(V.array(value)) == 1), F.try_variant_get(value, "$[0]", "variant"))
+    scalar = F.when(V.is_string(only) | V.is_number(only), V.text(only))
+    parsed = years_in_text(F.coalesce(V.string(value), scalar))
     return F.struct(
         F.coalesce(num, parsed["min"]).alias("min"),
         F.coalesce(num, parsed["max"]).alias("max"),

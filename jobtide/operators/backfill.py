@@ -15,9 +15,6 @@ from pyspark.sql import functions as F
 from jobtide.functions.scoring import share, so_far
 from jobtide.operators.daily import as_of
 
-# A per-date frame of this many rows (over 100 years) is broadcast on purpose.
-MAX_BROADCAST_DAYS = 40_000
-
 
 def _days(start: str | dt.date, end: str | dt.date) -> tuple[dt.date, dt.date, int]:
     start, end = (d if isinstance(d, dt.date) else dt.date.fromisoformat(d) for d in (start, end))
@@ -105,8 +102,6 @@ def backfill_dimension(
         F.explode(F.sequence("day", "until")).alias("metric_date"), dim, "job_count", *flags
     )
     totals = _total_per_day(jobs, start, end)
-    if n_days <= MAX_BROADCAST_DAYS:
-        totals = F.broadcast(totals)
     return dense.join(totals, "metric_date").select(
         "metric_date", dim, "job_count",
         share(F.col("job_count"), F.col("total_jobs")).alias("demand_percentage"),

@@ -9,19 +9,19 @@ UPDATABLE = [
     "status", "search_configuration_id", "jobs_scraped", "jobs_analyzed",
     "jobs_processed_successfully", "error_message",
 ]
+SCRAPER_UPDATABLE = ["status", "actor_input", "dataset_id", "result_count", "error_message", "started_at"]
 
 
-def apply_run_updates(runs: DataFrame, updates: DataFrame) -> DataFrame:
+def apply_run_updates(runs: DataFrame, updates: DataFrame, fields: list[str] = UPDATABLE) -> DataFrame:
     """Latest given value per field; fields that are not given stay.
 
-    ``updates``: id, at (order), completed (boolean) and any UPDATABLE field.
+    ``updates``: id, at (order), completed (boolean) and any of ``fields``.
     An update without a single field fails the query.
     """
-    given = [c for c in UPDATABLE if c in updates.columns]
+    given = [c for c in fields if c in updates.columns]
     empty = F.coalesce(*[F.col(c).cast("string") for c in given], F.when(F.col("completed"), "x")).isNull()
-    checked = updates.withColumn(
-        "id", F.when(empty, F.raise_error(F.lit("No fields provided to update."))).otherwise(F.col("id"))
-    )
+    refused = F.raise_error(F.lit("No fields provided to update.")).cast("boolean")
+    checked = updates.filter(F.when(empty, refused).otherwise(F.lit(True)))
     latest = checked.groupBy("id").agg(
         *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("at"))).alias(f"new_{c}") for c in given],
         F.max(F.when(F.col("completed"), F.col("at"))).alias("new_completed_at"),

@@ -170,8 +170,9 @@ def resolve_taxonomy(
         )
     )
     if strict:
-        failed = F.raise_error(F.concat_ws(": ", F.lit("taxonomy"), "error", "dimension", "raw_value"))
-        resolved = resolved.withColumn("error", F.when(F.col("error").isNotNull(), failed))
+        # In a filter, which stays in the plan whatever columns are asked for.
+        failed = F.raise_error(F.concat_ws(": ", F.lit("taxonomy"), "error", "dimension", "raw_value")).cast("boolean")
+        resolved = resolved.filter(F.when(F.col("error").isNotNull(), failed).otherwise(F.lit(True)))
     return resolved
 
 
@@ -255,19 +256,3 @@ def queue_novel(
     }
     rows = rows.withColumns({k: v for k, v in extra.items() if k in queue.columns})
     return queue.unionByName(rows.select(*queue.columns))
-
-
-def seed_aliases(skills: DataFrame, seed: list[tuple[str, str]] = fixed.SEED_ALIASES) -> DataFrame:
-    """Alias rows for a new taxonomy; fails unless every target exists."""
-    spark = skills.sparkSession
-    table = spark.createDataFrame(seed, "alias_text string, target string")
-    targets = skills.select(F.col("normalized_name").alias("target"), F.col("normalized_name").alias("canonical_id"))
-    joined = table.join(targets, "target", "left")
-    missing = F.raise_error(F.concat(F.lit("seed alias without a canonical skill: "), "alias_text"))
-    return joined.select(
-        F.lit("skill").alias("dimension"),
-        "alias_text",
-        norm_key("alias_text").alias("normalized_alias_text"),
-        F.when(F.col("canonical_id").isNull(), missing).otherwise(F.col("canonical_id")).alias("canonical_id"),
-        F.lit("seed").alias("source"),
-    )

@@ -67,12 +67,12 @@ def apply_documents(state: dict[str, DataFrame], docs: DataFrame, now: Column) -
     }
 
 
-def ingest_files(files: DataFrame, base: str, now: Column, batch_id: int = -1) -> DataFrame:
+def ingest_files(files: DataFrame, base: str, now: Column, stream: str = "", batch_id: int = -1) -> DataFrame:
     """Bring the state at ``base`` up to date; returns the status per file."""
     spark = files.sparkSession
     staged = stage_documents(files)
     state = apply_documents(tables.read_state(spark, base), accepted(staged), now)
-    tables.write_state(spark, base, state, batch_id)
+    tables.write_state(spark, base, state, stream, batch_id)
     return statuses(staged)
 
 

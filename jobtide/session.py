@@ -34,11 +34,14 @@ def build_session(app: str = "jobtide", master: str | None = None, **extra: str)
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder for checkpoints and staged tables.
 
-    Only where the session names none (tests, local runs) is a new local
-    folder made and recorded in the session.
+    A session that names none gets a new local folder only where driver and
+    executors are one process; on a cluster it is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="jobtide-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path

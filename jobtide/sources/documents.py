@@ -15,10 +15,10 @@ from jobtide.session import shared_dir
 
 
 def read_analysis_dir(spark: SparkSession, path: str) -> DataFrame:
-    """One row per *.json file: ``file, raw``."""
+    """One row per *.json file: ``file`` (its path), ``raw``."""
     return (
         spark.read.text(path, wholetext=True, pathGlobFilter="*.json")
-        .select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("raw"))
+        .select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("raw"))
     )
 
 

@@ -8,9 +8,11 @@ version or none, and nothing that is being read is ever overwritten.
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from jobtide import fixed
@@ -58,11 +60,12 @@ METRIC_SCHEMAS = {
     "daily_location_metrics": f"metric_date date, city string, {_COUNTS}",
     "daily_industry_metrics": f"metric_date date, industry string, {_COUNTS}",
 }
-_STATE_MANIFEST = "version long, batch_id long"
-_SNAPSHOT_MANIFEST = "table_name string, metric_date date, version long"
+_STATE_MANIFEST = "version long, folder string, stream string, batch_id long, written_at timestamp_ntz"
+_SNAPSHOT_MANIFEST = "table_name string, metric_date date, version long, folder string, written_at timestamp_ntz"
 
 
-def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def _manifest(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of a manifest; none before the first is written."""
     try:
         return spark.read.schema(schema).parquet(path)
     except AnalysisException as err:
@@ -76,31 +79,62 @@ def _append_manifest(spark: SparkSession, path: str, rows: list, schema: str) ->
     spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
 
 
+def _attempt() -> tuple[str, dt.datetime]:
+    """A folder name that no other attempt has, and the time of the attempt."""
+    return uuid.uuid4().hex, dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+
+
+def _published(manifest: DataFrame, *keys: str) -> DataFrame:
+    """Per key the newest version; of writers that took the same number the first one holds."""
+    order = W.partitionBy(*keys).orderBy(F.desc("version"), "written_at", "folder")
+    return manifest.withColumn("_nth", F.row_number().over(order)).filter("_nth = 1").drop("_nth")
+
+
 # --- state -----------------------------------------------------------------
 
 
+def _current(spark: SparkSession, base: str, version: int | None = None) -> tuple[int, str | None]:
+    """(number, folder) of the newest state, or of the given one; (0, None) before the first."""
+    rows = _manifest(spark, f"{base}/state/_manifest", _STATE_MANIFEST)
+    if version is not None:
+        rows = rows.filter(F.col("version") == version)
+    newest = rows.orderBy(F.desc("version"), "written_at", "folder").first()
+    if newest is None and version:
+        raise ValueError(f"state {version} was never published")
+    return (newest["version"], newest["folder"]) if newest else (0, None)
+
+
 def state_version(spark: SparkSession, base: str) -> int:
     """Number of the current state, 0 before the first."""
-    newest = _read(spark, f"{base}/state/_manifest", _STATE_MANIFEST).agg(F.max("version")).first()[0]
-    return newest or 0
+    return _current(spark, base)[0]
 
 
-def has_batch(spark: SparkSession, base: str, batch_id: int) -> bool:
-    manifest = _read(spark, f"{base}/state/_manifest", _STATE_MANIFEST)
-    return not manifest.filter(F.col("batch_id") == batch_id).isEmpty()
+def has_batch(spark: SparkSession, base: str, stream: str, batch_id: int) -> bool:
+    """Whether this batch of this stream is in the state; other streams count their batches on their own."""
+    manifest = _manifest(spark, f"{base}/state/_manifest", _STATE_MANIFEST)
+    return not manifest.filter((F.col("stream") == stream) & (F.col("batch_id") == batch_id)).isEmpty()
 
 
 def read_state(spark: SparkSession, base: str, version: int | None = None) -> dict[str, DataFrame]:
-    version = state_version(spark, base) if version is None else version
-    return {name: _read(spark, f"{base}/state/v{version}/{name}", schema) for name, schema in STATE_SCHEMAS.items()}
+    """Tables of a published state; empty ones before the first. A published table whose folder is gone is an error."""
+    _, folder = _current(spark, base, version)
+    if folder is None:
+        return {name: spark.createDataFrame([], schema) for name, schema in STATE_SCHEMAS.items()}
+    return {name: spark.read.schema(schema).parquet(f"{base}/state/{folder}/{name}") for name, schema in STATE_SCHEMAS.items()}
 
 
-def write_state(spark: SparkSession, base: str, state: dict[str, DataFrame], batch_id: int = -1) -> int:
-    """Write all tables as the next version, then publish it."""
+def write_state(spark: SparkSession, base: str, state: dict[str, DataFrame], stream: str = "", batch_id: int = -1) -> int:
+    """Write all tables into a new folder, then publish it as the next version.
+
+    If another writer has published that version first, its state holds and this call fails; read the state again.
+    """
     version = state_version(spark, base) + 1
+    folder, now = _attempt()
     for name in STATE_SCHEMAS:
-        state[name].write.mode("overwrite").parquet(f"{base}/state/v{version}/{name}")
-    _append_manifest(spark, f"{base}/state/_manifest", [(version, batch_id)], _STATE_MANIFEST)
+        state[name].write.parquet(f"{base}/state/{folder}/{name}")
+    _append_manifest(spark, f"{base}/state/_manifest", [(version, folder, stream, batch_id, now)], _STATE_MANIFEST)
+    if _current(spark, base, version)[1] != folder:
+        raise RuntimeError(f"another writer has published state {version}")
     return version
 
 
@@ -112,41 +146,32 @@ def replace_date(df: DataFrame, path: str, day: str | dt.date) -> None:
     df.drop("metric_date").write.mode("overwrite").parquet(f"{path}/metric_date={day}")
 
 
-def next_snapshot(spark: SparkSession, base: str, day: str | dt.date) -> int:
-    manifest = _read(spark, f"{base}/_manifest", _SNAPSHOT_MANIFEST)
-    newest = manifest.filter(F.col("metric_date") == F.lit(str(day)).cast("date")).agg(F.max("version")).first()[0]
-    return (newest or 0) + 1
-
-
 def publish_snapshot(spark: SparkSession, base: str, frames: dict[str, DataFrame], day: str | dt.date) -> int:
-    """Write all frames of a date, then make them visible together.
+    """Write all frames of a date into a new folder each, then make them visible together.
 
     If any frame fails, the manifest keeps pointing at the previous version of
     the date. A table without rows for the date is published as empty.
     """
-    version = next_snapshot(spark, base, day)
+    date = day if isinstance(day, dt.date) else dt.date.fromisoformat(day)
+    manifest = _manifest(spark, f"{base}/_manifest", _SNAPSHOT_MANIFEST)
+    newest = manifest.filter(F.col("metric_date") == F.lit(date)).agg(F.max("version")).first()[0]
+    version = (newest or 0) + 1
+    folder, now = _attempt()
     for name, frame in frames.items():
         columns = [c.strip().split(" ")[0] for c in METRIC_SCHEMAS[name].split(",")]
-        replace_date(frame.select(*columns), f"{base}/{name}/version={version}", day)
-    date = day if isinstance(day, dt.date) else dt.date.fromisoformat(day)
-    _append_manifest(spark, f"{base}/_manifest", [(name, date, version) for name in frames], _SNAPSHOT_MANIFEST)
+        replace_date(frame.select(*columns), f"{base}/{name}/attempt={folder}", date)
+    _append_manifest(spark, f"{base}/_manifest", [(name, date, version, folder, now) for name in frames], _SNAPSHOT_MANIFEST)
     return version
 
 
 def read_metrics(spark: SparkSession, base: str, name: str) -> DataFrame:
-    """Published rows: for every date the version the manifest names."""
-    published = (
-        _read(spark, f"{base}/_manifest", _SNAPSHOT_MANIFEST)
-        .filter(F.col("table_name") == name)
-        .groupBy("metric_date")
-        .agg(F.max("version").alias("version"))
-    )
+    """Published rows: for every date the folder the manifest names, and no other."""
+    manifest = _manifest(spark, f"{base}/_manifest", _SNAPSHOT_MANIFEST).filter(F.col("table_name") == name)
     schema = METRIC_SCHEMAS[name]
-    rows = _read(spark, f"{base}/{name}", f"{schema}, version long")
+    # One row for each date.
+    dates = _published(manifest, "metric_date").select("metric_date", "folder").collect()
+    if not dates:
+        return spark.createDataFrame([], schema)
+    paths = [f"{base}/{name}/attempt={r['folder']}/metric_date={r['metric_date']}" for r in dates]
     columns = [c.strip().split(" ")[0] for c in schema.split(",")]
-    return rows.join(published, ["metric_date", "version"], "left_semi").select(*columns)
-
-
-def save_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> None:
-    """Bucketed table: joins and aggregations on the key need no shuffle."""
-    df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+    return spark.read.schema(schema).option("basePath", f"{base}/{name}").parquet(*paths).select(*columns)

@@ -141,8 +141,6 @@ _MERGE_CHECKS = (
         WHEN EXISTS (SELECT 1 FROM v WHERE v.source_id = j.source_id AND v.seq < j.seq) OR EXISTS (SELECT 1 FROM v WHERE v.target_id = j.source_id AND v.seq < j.seq)
           OR EXISTS (SELECT 1 FROM v WHERE v.source_id = j.target_id AND v.seq < j.seq) THEN 'collides_in_batch' END AS error_code FROM j)"""
 )
-_SEED_SKILLS = """SELECT DISTINCT event_type AS normalized_name FROM {events} UNION ALL SELECT 'langchain' UNION ALL SELECT 'langgraph' UNION ALL SELECT 'postgresql'
-    UNION ALL SELECT 'aws' UNION ALL SELECT 'rag' UNION ALL SELECT 'vector databases' UNION ALL SELECT 'ci/cd'"""
 
 
 def _review(s, d):
@@ -214,11 +212,6 @@ QUERIES = {
             WHERE NOT EXISTS (SELECT 1 FROM q WHERE q.status = 'pending' AND q.dimension = novel.dimension AND q.normalized_raw_value = novel.own_key)
             QUALIFY row_number() OVER (PARTITION BY dimension, own_key ORDER BY turn) = 1)""",
     ),
-    "seed_aliases": (
-        lambda s, d: taxonomy.seed_aliases(portable(s, d, _SEED_SKILLS)),
-        "SELECT * FROM (VALUES " + ", ".join(f"('skill', '{a}', '{a}', '{t}', 'seed')" for a, t in fixed.SEED_ALIASES)
-        + ") t(dimension, alias_text, normalized_alias_text, canonical_id, source) WHERE (SELECT count(*) FROM events) > 0",
-    ),
     "approve_alias_queue": (
         lambda s, d: governance.apply_approvals(*_parts(s, d))[0],
         _APPROVE + f"""SELECT q.id, q.dimension, q.raw_value, q.normalized_raw_value, CASE WHEN g.item IS NOT NULL THEN 'approved' ELSE q.status END AS status,

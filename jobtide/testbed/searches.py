@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from jobtide.operators import firsts, profiles, runs
-from jobtide.operators.enrich import enrich, enrich_summary
 from jobtide.sources.postings import latest_batch
 from jobtide.testbed import model as M
 from jobtide.testbed.model import duck, portable, with_model
@@ -27,6 +26,13 @@ _LISTS = """SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN ['AI Engineer', 'ai
 _PLAN = f""", l AS ({_LISTS}), s AS (SELECT *, list_filter(sq, lambda x: NOT list_contains(list_transform(p, lambda y: lower(y)), lower(x))) AS left_over FROM l),
     plan AS (SELECT c_custkey, 1 AS run_no, 'secondary' AS query_type, left_over AS queries, kw, c_mktsegment FROM s WHERE len(left_over) > 0
       UNION ALL SELECT c_custkey, 2, 'primary', p, kw, c_mktsegment FROM s WHERE len(p) > 0)"""
+# A scraper run is created, starts with a data set, and ends with a count or an error.
+SCRAPER_STATE = """SELECT o_orderkey AS id, 'created' AS status, CAST(NULL AS STRING) AS dataset_id, CAST(NULL AS BIGINT) AS result_count, CAST(NULL AS STRING) AS error_message,
+    CAST(NULL AS INT) AS started_at, CAST(NULL AS INT) AS completed_at FROM {orders}"""
+SCRAPER_UPDATES = """SELECT o_orderkey AS id, 1 AS step, 'running' AS status, 'set' || o_orderkey AS dataset_id, CAST(NULL AS BIGINT) AS result_count, CAST(NULL AS STRING) AS error_message, 1 AS started_at
+      FROM {orders} WHERE o_orderkey % 4 > 0
+    UNION ALL SELECT o_orderkey, 2, CASE WHEN o_orderkey % 4 = 2 THEN 'succeeded' ELSE 'failed' END, NULL, CASE WHEN o_orderkey % 4 = 2 THEN o_custkey END,
+      CASE WHEN o_orderkey % 4 = 3 THEN 'failed to start' END, NULL FROM {orders} WHERE o_orderkey % 4 > 1"""
 CONFIGS = """SELECT CAST(event_id AS STRING) AS id, CASE WHEN event_id % 3 = 0 THEN 0 ELSE user_id END AS user_profile_id,
     CASE event_type WHEN 'error' THEN 'failed' WHEN 'click' THEN 'partial' ELSE 'complete' END AS generation_status, ts AS created_at FROM {events}"""
 RUNS = """SELECT CAST(event_id AS STRING) AS id, CASE WHEN event_id % 3 = 0 THEN 0 ELSE user_id END AS user_profile_id,
@@ -71,11 +77,6 @@ def _search_rows(s, d):
     return profiles.search_configs_table(queries, profiles.build_filters(_table(s, d)), failed)
 
 
-def _shout(row: dict) -> str:
-    if row["turn"] % 7 == 3:
-        raise ValueError(f"turn {row['turn']}")
-    return f"{row['role']}:{len(row['text'])}"
-
 
 _STATUS_PARTS = {
     "target_roles": "c_custkey % 4 IN (1, 2)", "seniority_level": "c_custkey % 5 IN (1, 2)",
@@ -207,13 +208,13 @@ QUERIES = {
         ),
         """SELECT event_type AS dataset_id, event_id FROM events WHERE event_type = (SELECT event_type FROM events WHERE event_type <> 'view' GROUP BY 1 ORDER BY max(ts) DESC LIMIT 1)""",
     ),
-    "enrich": (
-        lambda s, d: enrich(M.table(s, d, "conversations").select("conv_id", "turn", "role", "text"), _shout).drop("text"),
-        """SELECT conv_id, turn, role, CASE WHEN turn % 7 <> 3 THEN role || ':' || length(text) END AS output,
-            CASE WHEN turn % 7 = 3 THEN 'failed' ELSE 'succeeded' END AS status, CASE WHEN turn % 7 = 3 THEN 'turn ' || turn END AS error FROM conversations""",
-    ),
-    "enrich_summary": (
-        lambda s, d: enrich_summary(enrich(M.table(s, d, "conversations"), _shout)),
-        """SELECT count(*) AS total, count(*) FILTER (WHERE turn % 7 <> 3) AS succeeded, count(*) FILTER (WHERE turn % 7 = 3) AS failed FROM conversations""",
+    "scraper_run_updates": (
+        lambda s, d: runs.apply_run_updates(
+            portable(s, d, SCRAPER_STATE), portable(s, d, SCRAPER_UPDATES).withColumn("completed", F.col("step") > 1).withColumnRenamed("step", "at"),
+            runs.SCRAPER_UPDATABLE,
+        ),
+        """SELECT CAST(o_orderkey AS BIGINT) AS id, CASE WHEN o_orderkey % 4 = 0 THEN 'created' WHEN o_orderkey % 4 = 1 THEN 'running' WHEN o_orderkey % 4 = 2 THEN 'succeeded' ELSE 'failed' END AS status,
+            CASE WHEN o_orderkey % 4 > 0 THEN 'set' || o_orderkey END AS dataset_id, CASE WHEN o_orderkey % 4 = 2 THEN o_custkey END AS result_count,
+            CASE WHEN o_orderkey % 4 = 3 THEN 'failed to start' END AS error_message, CASE WHEN o_orderkey % 4 > 0 THEN 1 END AS started_at, CASE WHEN o_orderkey % 4 > 1 THEN 2 END AS completed_at FROM orders""",
     ),
 }

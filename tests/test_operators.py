@@ -2,6 +2,7 @@
 
 import datetime as dt
 import io
+import os
 import random
 import re
 from contextlib import redirect_stdout
@@ -13,11 +14,10 @@ from jobtide import fixed
 from jobtide.operators import backfill, daily, firsts, governance, health, runs, taxonomy, upsert
 from jobtide.operators.cards import collect_postings
 from jobtide.operators.emerging import emerging_skills
-from jobtide.operators.enrich import enrich, enrich_summary
 from jobtide.operators.trend import trend_details, with_trends
 from jobtide.plans import dashboard
-from jobtide.sources import pages, postings, tables
-from jobtide.streaming.ingest import stream_dedup, stream_ingest
+from jobtide.sources import postings, tables
+from jobtide.streaming.ingest import read_unique, stream_dedup, stream_ingest
 
 
 def plan_of(df):
@@ -196,18 +196,14 @@ def test_novelty_equals_reading_in_order(spark):
         assert got == sorted(brute_novel(seen, state, set()))
 
 
-def test_seed_aliases_fail_without_target(spark):
-    skills = spark.createDataFrame([("LangChain", "langchain")], "name string, normalized_name string")
-    with pytest.raises(Exception, match="seed alias"):
-        taxonomy.seed_aliases(skills).collect()
-
-
 def test_strict_resolution_fails_on_dangling_alias(spark):
     values = spark.createDataFrame([("skill", "k8s")], "dimension string, raw_value string")
     canon = spark.createDataFrame([], "dimension string, id string, name string, normalized_name string, merged_into_id string")
     aliases = spark.createDataFrame([("skill", "k8s", "k8s", "gone", "seed")], tables.STATE_SCHEMAS["taxonomy_aliases"])
-    with pytest.raises(Exception, match="alias_target_missing"):
-        taxonomy.resolve_taxonomy(values, canon, aliases).collect()
+    resolved = taxonomy.resolve_taxonomy(values, canon, aliases)
+    for action in (resolved.collect, resolved.count, resolved.drop("error").collect, resolved.select("raw_value").collect):
+        with pytest.raises(Exception, match="alias_target_missing"):
+            action()
 
 
 def test_spelling_variants_give_one_pending_row(spark):
@@ -263,19 +259,6 @@ def test_upsert_never_shuffles_the_state(spark, tmp_path):
     assert "SortMergeJoin" not in plan_of(merged) and "hashpartitioning(id" not in plan_of(merged)
 
 
-def test_bucketed_join_needs_no_shuffle(spark):
-    spark.sql("SET spark.sql.autoBroadcastJoinThreshold=-1")
-    try:
-        for name in ("bucket_a", "bucket_b"):
-            tables.save_bucketed(spark.range(100).withColumnRenamed("id", "job_id"), name, "job_id", 4)
-        plan = plan_of(spark.table("bucket_a").join(spark.table("bucket_b"), "job_id"))
-        assert "Exchange" not in plan
-    finally:
-        spark.sql("RESET spark.sql.autoBroadcastJoinThreshold")
-        spark.sql("DROP TABLE IF EXISTS bucket_a")
-        spark.sql("DROP TABLE IF EXISTS bucket_b")
-
-
 def test_dedup_keeps_rows_without_id(spark):
     df = spark.createDataFrame([("a", 0, 1), ("a", 1, 0), (None, 0, 2), (None, 1, 1), ("", 0, 3), ("b", 1, 2)], "job_id string, dataset_no int, position int")
     got = sorted(firsts.dedup_postings(df).collect(), key=str)
@@ -309,25 +292,6 @@ def test_run_updates(spark):
         runs.apply_run_updates(state, empty).collect()
 
 
-CARD = """<li><div class="base-card {x}" data-entity-urn="urn:li:jobPosting:{id}"><a class="base-card__full-link" href="https://j.example/{id}?t=1"></a>
-<h3 class="base-search-card__title"> {title} </h3><h4 class="base-search-card__subtitle"><a href="https://c.example/co?x=1">Co &amp; Sons</a></h4>
-<span class="job-search-card__location">Oslo</span><time datetime="2024-01-0{d}">x</time></div></li>"""
-
-
-def test_cards_and_details(spark):
-    html = "<ul>" + CARD.format(x="", id=7, title="AI dev", d=1) + '<li><div class="job-search-card" data-entity-urn=""><p>none</div><li><div class="base-card" data-entity-urn="a:9"></div></ul>'
-    detail = """<div class="description__text"> </div><div class="show-more-less-html__markup">Long <b>text</b></div>
-      <li class="description__job-criteria-item"><h3 class="description__job-criteria-subheader">Seniority level</h3><span class="description__job-criteria-text"> Entry </span></li>
-      <figcaption class="num-applicants__caption">Over 200 applicants</figcaption>"""
-    df = spark.createDataFrame([(1, html), (2, "<p>empty"), (3, None)], "page_id long, html string")
-    got = [tuple(r) for r in pages.extract_job_cards(df).orderBy("page_id", "pos").collect()]
-    assert got[0] == (1, 3, 0, "7", "AI dev", "Co & Sons", "https://c.example/co", "Oslo", "2024-01-01", "https://j.example/7")
-    assert got[1][3] == "" and got[2][3] == "9" and got[2][9].endswith("/jobs/view/9/")
-    assert [r[:3] for r in got[3:]] == [(2, 0, None), (3, 0, None)]
-    d = pages.extract_job_details(spark.createDataFrame([(1, detail)], "page_id long, html string")).first()
-    assert (d["description"], d["seniority_level"], d["industries"], d["applicants"]) == ("Long text", "Entry", None, "Over 200 applicants")
-
-
 def test_collect_postings(spark):
     cards = spark.createDataFrame(
         [(1, 0, 0, "a", "x"), (1, 0, 1, "b", "AI dev"), (1, 25, 0, "a", "AI two"), (1, 25, 1, "", "AI"), (1, 25, 2, "c", "AI lead"), (1, 50, 0, "d", "AI late")],
@@ -338,13 +302,6 @@ def test_collect_postings(spark):
     assert [r["job_id"] for r in collect_postings(cards, pages_, ["ai"], 1).collect()] == ["b"]
 
 
-def test_enrich_keeps_failures_apart(spark):
-    df = spark.createDataFrame([(i,) for i in range(10)], "n int")
-    out = enrich(df, lambda row: str(100 // (row["n"] - 3)))
-    assert tuple(enrich_summary(out).first()) == (10, 9, 1)
-    assert enrich(df, lambda row: "x", max_rows=4).count() == 4
-
-
 def test_streams(spark, tmp_path):
     source, base, checkpoint = tmp_path / "in", str(tmp_path / "base"), str(tmp_path / "cp")
     source.mkdir()
@@ -359,8 +316,46 @@ def test_streams(spark, tmp_path):
     assert [tuple(r) for r in state["jobs"].select("external_job_id", "title").collect()] == [("1", "second")]
     assert tables.state_version(spark, base) == 2 and state["job_skills"].count() == 1
 
-    spark.createDataFrame([("a", 1), ("a", 2), (None, 3), (None, 4), ("b", 5)], "job_id string, n int").write.parquet(str(tmp_path / "p"))
-    stream = spark.readStream.schema("job_id string, n int").parquet(str(tmp_path / "p"))
-    query = stream_dedup(stream).writeStream.format("memory").queryName("dedup").trigger(availableNow=True).start()
-    query.awaitTermination()
-    assert sorted(str(r[0]) for r in spark.sql("SELECT job_id FROM dedup").collect()) == ["None", "None", "a", "b"]
+    # Another source with its own checkpoint counts its batches on its own; an old file is read as well.
+    other = tmp_path / "in2"
+    other.mkdir()
+    (other / "a.json").write_text(doc % ("2", "other"))
+    stream_ingest(spark, str(other), base, str(tmp_path / "cp2"), now()).awaitTermination()
+    (other / "old.json").write_text(doc % ("3", "old"))
+    os.utime(other / "old.json", (1, 1))
+    stream_ingest(spark, str(other), base, str(tmp_path / "cp2"), now()).awaitTermination()
+    assert sorted(r[0] for r in tables.read_state(spark, base)["jobs"].select("external_job_id").collect()) == ["1", "2", "3"]
+
+
+def test_replayed_batch_and_missing_folder(spark, tmp_path):
+    base = str(tmp_path / "base")
+    state = tables.read_state(spark, base)
+    assert all(t.count() == 0 for t in state.values())
+    assert tables.write_state(spark, base, state, "one", 0) == 1
+    assert tables.has_batch(spark, base, "one", 0) and not tables.has_batch(spark, base, "two", 0)
+    with pytest.raises(ValueError, match="never published"):
+        tables.read_state(spark, base, 7)
+    folder = next(p for p in (tmp_path / "base" / "state").iterdir() if p.name != "_manifest")
+    (folder / "jobs").rename(tmp_path / "gone")
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        tables.read_state(spark, base)
+
+
+def test_first_writer_of_a_version_holds(spark, tmp_path, monkeypatch):
+    base = str(tmp_path / "base")
+    state = tables.read_state(spark, base)
+    tables.write_state(spark, base, state, "a", 0)
+    monkeypatch.setattr(tables, "state_version", lambda *_: 0)
+    with pytest.raises(RuntimeError, match="another writer"):
+        tables.write_state(spark, base, state, "b", 0)
+    assert not tables.read_state(spark, base)["jobs"].count()
+
+
+def test_stream_dedup_keeps_the_first_and_late_new_ids(spark, tmp_path):
+    base = str(tmp_path / "dedup")
+    schema = "job_id string, n int"
+    for rows_ in ([("a", 2), ("a", 1), (None, 3), ("", 4), ("b", 5)], [("a", 0), ("late", 1), (None, 9)]):
+        spark.createDataFrame(rows_, schema).coalesce(1).write.mode("append").parquet(f"{base}/in")
+        stream_dedup(spark.readStream.schema(schema).parquet(f"{base}/in"), base, f"{base}/cp", ["n"]).awaitTermination()
+    got = sorted(((r.job_id or "", r.n) for r in read_unique(spark, base, schema).collect()))
+    assert got == [("", 3), ("", 4), ("", 9), ("a", 1), ("b", 5), ("late", 1)]
