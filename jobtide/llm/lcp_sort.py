@@ -1,7 +1,7 @@
 """Distributed merge sort of byte strings that knows common prefixes.
 
 Tasks sort their strings into runs and front-code them: of every string only what follows its common prefix with the
-one before is kept. Runs are stored in blocks; blocks go to the task of their range, where a loser tree merges the
+one before is kept. Runs are stored in compressed blocks; blocks go to the task of their range, where a loser tree merges the
 runs. The tree compares by the lengths of prefixes shared with the last output and looks at bytes beyond them only,
 so no known prefix is compared again (LCP loser tree; Bingmann, Eberle and Sanders, 2017).
 """
@@ -15,13 +15,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobtide.llm.common import prepare
 
-#: Bytes of strings that a task sorts at a time, bytes of a block of a run, and bytes of blocks that meet in one merge.
-RUN_BYTES, BLOCK_BYTES, RANGE_BYTES = 48 << 20, 64 << 10, 24 << 20
+#: Bytes of strings that a task sorts at a time, bytes of a block of a run, and compressed bytes of blocks that meet in one merge.
+RUN_BYTES, BLOCK_BYTES, RANGE_BYTES = 16 << 20, 64 << 10, 6 << 20
 #: Bytes of a string that a range border is cut to.
 BORDER_BYTES = 48
 #: What travels with a string: whether it is known to occur twice, its text (two halves of a 128-bit key; none if
@@ -53,14 +54,14 @@ def front_code(run: str, strings: list[bytes], entries: np.ndarray) -> Iterator[
             body.append(strings[i][shared:])
             size += len(body[-1]) + ENTRY.itemsize
             i += 1
-        yield run, block, strings[begin], strings[i - 1], np.array(heads, "<i4").tobytes(), entries[begin:i].tobytes(), b"".join(body)
+        yield run, block, strings[begin], strings[i - 1], np.array(heads, "<i4").tobytes(), zstandard.compress(entries[begin:i].tobytes(), 1), zstandard.compress(b"".join(body), 1)
         begin, block = i, block + 1
 
 
 def decode(heads: bytes, entries: bytes, body: bytes) -> Iterator[tuple[int, bytes, tuple]]:
     """(shared prefix, string, entry) of a block."""
-    last, at = b"", 0
-    for (shared, rest), entry in zip(np.frombuffer(heads, "<i4").reshape(-1, 2).tolist(), np.frombuffer(entries, ENTRY).tolist()):
+    last, at, body = b"", 0, zstandard.decompress(body)
+    for (shared, rest), entry in zip(np.frombuffer(heads, "<i4").reshape(-1, 2).tolist(), np.frombuffer(zstandard.decompress(entries), ENTRY).tolist()):
         last = last[:shared] + body[at : at + rest]
         at += rest
         yield shared, last, entry

@@ -4,8 +4,8 @@ A byte goes if it lies in a string of ``length`` bytes (a window) that starts at
 suffix would cost hundreds of bytes of shuffle for each byte of text. Equal windows have equal insides, though, so
 windows are sorted by content-defined runs:
 
-1. The sparse anchor of a window is the smallest hash of its first half; the bytes from there on, half a window,
-   are its core. A window whose core is found once only can't repeat. Cores are counted as hashes: this only picks
+1. The sparse anchor of a window is the smallest hash of its first three quarters; the bytes from there on, a
+   quarter of a window, are its core. A window whose core is found once only can't repeat. Cores are counted as hashes: this only picks
    candidates.
 2. Candidate windows with the same dense anchor (smallest hash of a short stretch) are one unit: the suffix at its
    first window, cut where its last window ends. Units are sorted by ``lcp_sort``. A unit that is a prefix of the
@@ -25,12 +25,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobtide.llm.common import extended, prepare, staged, utf8
+from jobtide.llm.common import discard, extended, prepare, release, staged, utf8
 from jobtide.llm.lcp_sort import BLOCKS, ENTRY, make_runs, merge_ranges
 
 LENGTH = 400
 #: Bytes whose hash orders positions, and bytes of text worked on at a time.
-GRAM, CHUNK = 16, 4 << 20
+GRAM, CHUNK = 16, 1 << 20
 POSITION = (1 << 24) - 1
 ROLL, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 REPEATED = "k1 long, k2 long, at long, starts int"
@@ -42,6 +42,11 @@ def dense_stretch(length: int) -> int:
     return max(1, length // 6)
 
 
+def core_bytes(length: int) -> int:
+    """Bytes of a sparse core; its anchor is the least position of the rest of the window."""
+    return max(GRAM, length // 4)
+
+
 def text_key(data: bytes) -> tuple[int, int]:
     digest = hashlib.md5(data, usedforsecurity=False).digest()
     return int.from_bytes(digest[:8], signed=True), int.from_bytes(digest[8:], signed=True)
@@ -93,7 +98,7 @@ def _pieces(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, bytes
 
 def _sparse(value: np.ndarray, data: bytes, places: list, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For all windows of a buffer: where they start, and the hash of their core; and the first window of each text's anchors."""
-    half = length // 2
+    half = length - core_bytes(length)
     least = _least(value, half)
     starts = np.concatenate([np.arange(b, b + n) for _, _, b, n in places])
     anchor = least[starts]
@@ -244,8 +249,9 @@ def keyed(docs: DataFrame, text: str, *keep: Column) -> DataFrame:
 
 def repeated_windows(docs: DataFrame, text: str, length: int = LENGTH) -> DataFrame:
     """(k1, k2, runs, copies) for texts with repeated windows: runs of starts (at, starts), and rows that have the text."""
-    spark = docs.sparkSession
-    prepare(spark)
+    if length < 2 * GRAM:
+        raise ValueError(f"windows of {2 * GRAM} bytes at least, not {length}")
+    prepare(docs.sparkSession)
     long_enough = keyed(docs, text).filter(F.length("data") >= length)
     found = staged(cores(long_enough.select("data"), length), "cores")
     unlike = (F.min("k1") != F.max("k1")) | (F.min("k2") != F.max("k2")) | F.max("twice")
@@ -255,10 +261,13 @@ def repeated_windows(docs: DataFrame, text: str, length: int = LENGTH) -> DataFr
     texts = long_enough.groupBy("k1", "k2").agg(F.first("data").alias("data"), F.count("*").cast("int").alias("copies"))
     rows = texts.join(candidates, ["k1", "k2"]).select("data", "copies", "cores")
     units = staged(rows.mapInArrow(lambda batches: make_runs(_units(batches, length)), BLOCKS), "runs")
+    discard(found)
+    release(docs.sparkSession)
     settled = staged(merge_ranges(units, settle_units(length), UNITS), "units")
     witnesses = settled.filter("core IS NOT NULL")
     open_cores = witnesses.groupBy("core").agg(F.count("*").alias("n"), F.max("asked").alias("open")).filter("open AND n > 1").select("core")
     ends = staged(witnesses.join(open_cores, "core").select(settled.columns).mapInArrow(lambda batches: make_runs(_windows(batches, length)), BLOCKS), "runs")
+    release(docs.sparkSession)
     columns = ["k1", "k2", "at", "starts"]
     repeated = (
         settled.filter("core IS NULL").select(columns).union(_answered(units)).union(_answered(ends))
@@ -266,7 +275,11 @@ def repeated_windows(docs: DataFrame, text: str, length: int = LENGTH) -> DataFr
     )
     per_text = repeated.groupBy("k1", "k2").agg(F.collect_list(F.struct("at", "starts")).alias("runs"))
     multiple = long_enough.groupBy("k1", "k2").agg(F.count("*").alias("copies")).filter("copies > 1")
-    return staged(per_text.join(multiple, ["k1", "k2"], "full"), "repeats")
+    repeats = staged(per_text.join(multiple, ["k1", "k2"], "full"), "repeats")
+    for finished in (units, settled, ends):
+        discard(finished)
+    release(docs.sparkSession)
+    return repeats
 
 
 def covered(runs: list[dict], size: int, length: int) -> list[tuple[int, int]]:
