@@ -137,9 +137,9 @@ def anchors_of(values: np.ndarray, bits: int, t: int) -> tuple[np.ndarray, np.nd
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def replicate(distinct: DataFrame, threshold: int, n_blocks: int) -> DataFrame:
+def replicate(distinct: DataFrame, t: int, n_blocks: int) -> DataFrame:
     """(anchor, home, node, fp, more) for every anchor of every row of ``distinct`` (node, fp long, more binary)."""
-    t, blocks = threshold // n_blocks, _blocks(n_blocks)
+    blocks = _blocks(n_blocks)
 
     def apply(batches):
         for batch in batches:
@@ -159,15 +159,18 @@ def replicate(distinct: DataFrame, threshold: int, n_blocks: int) -> DataFrame:
     return distinct.select("node", "fp", "more").mapInArrow(apply, f"anchor long, home boolean, node {kind}, fp long, more binary")
 
 
-def link(distinct: DataFrame, threshold: int, n_blocks: int, agree: Callable | None = None, cell_rows: int = CELL_ROWS) -> DataFrame:
+def link(
+    distinct: DataFrame, threshold: int, n_blocks: int, agree: Callable | None = None, cell_rows: int = CELL_ROWS, reach: int | None = None
+) -> DataFrame:
     """Links (a, b) between nodes that connect all rows of ``distinct`` (node, fp long, more binary) within ``threshold`` bits.
 
     A link may pass through others: every anchor gives the spanning forest of its pairs, so that a dense group of k
     fingerprints costs k - 1 rows. ``agree(more_a, more_b)`` may refuse pairs by their other bytes, given as
-    matrices of one row per pair. ``node`` is a unique long or binary key.
+    matrices of one row per pair. ``node`` is a unique long or binary key. ``reach`` below threshold // n_blocks makes
+    fewer replicas; then only pairs of fewer than n_blocks * (reach + 1) bits are sure to be found.
     """
     n = prepare(distinct.sparkSession)
-    rows = replicate(distinct, threshold, n_blocks)
+    rows = replicate(distinct, threshold // n_blocks if reach is None else reach, n_blocks)
     # An anchor with more rows than one piece holds is dealt out: chunk i of homes meets chunk j of replicas.
     crowded = staged(
         rows.groupBy("anchor").count().filter(F.col("count") > cell_rows)
@@ -235,8 +238,10 @@ def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 #: sets of Jaccard similarity J have a cosine of about 2J / (1 + J); at 0.8 the angle is 0.152 of a half turn, 38.8 of
 #: 256 bits, and the limit lies half a standard deviation above.
 SHINGLE_WORDS, SKETCH_BYTES, SKETCH_BITS = 5, 32, 42
-#: Word fingerprints of near copies differ in at most so many bits; blocks of 16 bits, one of which differs in at most one.
-WORD_BITS, WORD_BLOCKS = 7, 4
+#: Word fingerprints of near copies differ in at most so many bits. Blocks of 21 or 22 bits, compared where one differs in
+#: at most one bit: pairs of up to 5 bits are sure to meet, of 6 and 7 bits about 88 % and 71 %. Four blocks would be sure
+#: of 7 bits, but words of a language make their 4096 anchors crowded.
+WORD_BITS, WORD_BLOCKS, WORD_REACH = 7, 3, 1
 
 
 def similar_sketches(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -257,7 +262,7 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     found = fingerprints(rows, "text", methods, F.col("node"), F.col("rank"))
     prints = staged(found.select("node", "rank", as_long("bits").alias("fp"), "more"), "prints")
     distinct = staged(prints.groupBy("node").agg(F.min("rank").alias("rank"), F.first("fp").alias("fp"), F.first("more").alias("more")), "distinct")
-    roots = components(link(distinct, WORD_BITS, WORD_BLOCKS, similar_sketches))
+    roots = components(link(distinct, WORD_BITS, WORD_BLOCKS, similar_sketches, reach=WORD_REACH))
     grouped = distinct.select("node", "rank").join(roots, "node", "left").select(F.struct("rank", "node").alias("row"), F.coalesce("root", "node").alias("root"))
     kept = grouped.groupBy("root").agg(F.min("row").alias("row")).select("row.node", "row.rank")
     whole = docs.select(key.alias("node"), rank.alias("rank"), F.struct("*").alias("doc"))

@@ -25,7 +25,8 @@ def test_stages_keep_columns_and_take_effect(spark):
 def test_stages_on_planted_cases(spark):
     clean = [f"plain{i} words{i * 7} of{i * 13} text{i}" + " ".join(f" unit{i}x{k}" for k in range(60)) for i in range(5)]
     passage = " ".join(f"shared{k}" for k in range(60))
-    rows = [(i, t, "en", "src1", len(t or "")) for i, t in enumerate([*clean, clean[0], f"first {passage} head", f"tail {passage} second", None, ""])]
+    one, two = (" ".join(f"{name}{k}" for k in range(80)) for name in ("own", "other"))
+    rows = [(i, t, "en", "src1", len(t or "")) for i, t in enumerate([*clean, clean[0], f"{one} {passage} head", f"{passage} {two}", None, ""])]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, SF_DIR).collect()}
     assert kept == {0, 1, 2, 3, 4, 6, 7, 8}
