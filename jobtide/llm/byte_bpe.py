@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from jobtide.llm.common import prepare
 
 #: Distinct words that a worker remembers before it starts afresh.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 #: Characters beyond which a text is cut into pre-tokens piece by piece instead of at once.
 LONG_TEXT = 1_000_000
 #: White space next to a blank: only here does a match of the pattern depend on what stands beyond the blank.
@@ -34,7 +34,7 @@ SPACE_RUN = re.compile(r"  |\s (?:\s|\Z)")
 #: A word that may have a blank before it, and no other white space.
 ONE_WORD = re.compile(r" ?\S+")
 #: Bytes of input that are worked on at a time.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 
 def byte_characters() -> list[str]:
