@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from functools import reduce
 from itertools import combinations
-from operator import add
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,13 +41,16 @@ def simhash(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
     ]
     summed = weighted.groupBy(*keys).agg(F.sum("_w").alias("_total"), *votes)
 
-    def bit(i: int) -> Column:
-        lanes = F.col(f"_v{i % 32}")
-        count = lanes.bitwiseAND(F.lit(LOW)) if i < 32 else F.shiftrightunsigned(lanes, 32)
-        value = (1 << i) - (1 << BITS if i == BITS - 1 else 0)
-        return F.when(2 * count > F.col("_total"), F.lit(value)).otherwise(F.lit(0))
+    def bits(lanes: Column, i: Column) -> Column:
+        """Bits i and i + 32 of the fingerprint."""
+        low, high = lanes.bitwiseAND(F.lit(LOW)), F.shiftrightunsigned(lanes, 32)
+        shifted = lambda count, at: F.when(2 * count > F.col("_total"), F.call_function("shiftleft", F.lit(1).cast("long"), at)).otherwise(0)
+        return shifted(low, i) + shifted(high, i + 32)
 
-    return summed.select(*keys, reduce(add, map(bit, range(BITS))).alias("fingerprint"))
+    # One small function for all lanes: the generated code stays short.
+    lanes = F.array(*(F.col(f"_v{i}") for i in range(BITS // 2)))
+    fingerprint = F.aggregate(F.transform(lanes, bits), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+    return summed.select(*keys, fingerprint.alias("fingerprint"))
 
 
 def likeness(a: str | Column, b: str | Column) -> Column:
