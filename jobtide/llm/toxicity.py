@@ -193,11 +193,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC_TEXTS
     characters and labels other than 0 and 1 are not drawn; contradicting labels both count.
     """
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("toxic IN (0, 1)").distinct()
-    rows = docs.select("doc_id", "text").filter(F.length("text") <= SAMPLE_CHARS).join(known, "doc_id")
     counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    shares = [min(1.0, wanted / counts.get(y, 1)) for y, wanted in ((0, clean), (1, toxic))]
     draw = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
-    share = F.when(F.col("toxic") == 1, min(1.0, toxic / counts.get(1, 1))).otherwise(min(1.0, clean / counts.get(0, 1)))
-    drawn = rows.filter(draw < share).select("text", "toxic").distinct().collect()
+    # What neither label can draw is left out before the join.
+    rows = docs.select("doc_id", "text", draw.alias("draw")).filter((F.length("text") <= SAMPLE_CHARS) & (F.col("draw") < max(shares)))
+    share = F.when(F.col("toxic") == 1, shares[1]).otherwise(shares[0])
+    drawn = rows.join(known, "doc_id").filter(F.col("draw") < share).select("text", "toxic").distinct().collect()
     return [r["text"] for r in drawn], [r["toxic"] for r in drawn]
 
 
