@@ -78,13 +78,13 @@ def _least(value: np.ndarray, width: int) -> np.ndarray:
     return (value & np.uint64(POSITION)).astype(np.int64)
 
 
-def _pieces(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, bytes, list[tuple[int, int, int, int]]]]:
+def _pieces(texts: list[bytes], length: int, chunk: int) -> Iterator[tuple[np.ndarray, bytes, list[tuple[int, int, int, int]]]]:
     """Buffers of several texts or of a part of a long one, with (text, place in the text, begin, number of windows)."""
     parts, places, size = [], [], 0
     for i, text in enumerate(texts):
-        for begin in range(0, max(0, len(text) - length + 1), CHUNK):
-            part = text[begin : begin + CHUNK + length - 1]
-            if size + len(part) > CHUNK + length and parts:
+        for begin in range(0, max(0, len(text) - length + 1), chunk):
+            part = text[begin : begin + chunk + length - 1]
+            if size + len(part) > chunk + length and parts:
                 data = b"".join(parts)
                 yield np.frombuffer(data, np.uint8), data, places
                 parts, places, size = [], [], 0
@@ -96,8 +96,8 @@ def _pieces(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, bytes
         yield np.frombuffer(data, np.uint8), data, places
 
 
-def _sparse(value: np.ndarray, data: bytes, places: list, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For all windows of a buffer: where they start, and the hash of their core; and the first window of each text's anchors."""
+def _sparse(value: np.ndarray, data: bytes, places: list, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For all windows of a buffer: where they start; for each text's anchors the hash of the core, the first window and the place in the buffer."""
     half = length - core_bytes(length)
     least = _least(value, half)
     starts = np.concatenate([np.arange(b, b + n) for _, _, b, n in places])
@@ -106,7 +106,7 @@ def _sparse(value: np.ndarray, data: bytes, places: list, length: int) -> tuple[
     first[1:] = (anchor[1:] != anchor[:-1]) | (np.diff(starts) != 1)
     view = memoryview(data)
     hashes = [xxhash.xxh64_intdigest(view[a : a + length - half]) for a in anchor[first].tolist()]
-    return starts, np.array(hashes, np.uint64).view(np.int64), first
+    return starts, np.array(hashes, np.uint64).view(np.int64), first, anchor[first]
 
 
 def _arrow(columns: dict, kinds: dict) -> pa.RecordBatch:
@@ -114,37 +114,44 @@ def _arrow(columns: dict, kinds: dict) -> pa.RecordBatch:
 
 
 def cores(texts: DataFrame, length: int) -> DataFrame:
-    """(k1, k2, core, twice) for the sparse cores of every text; twice if the text itself has the core at two anchors."""
+    """(k1, k2, core, at, twice) for the sparse cores of every text; twice if a piece of the text has the core at two anchors.
+
+    ``at`` is where the anchor lies in a text of several pieces, and 0 in others. Pieces overlap, so that the same anchor
+    may come from two of them; anchors at different places are a repeat.
+    """
+    chunk = CHUNK
 
     def apply(batches):
         for batch in batches:
             own = batch.column(0).to_pylist()
             keys = [text_key(t) for t in own]
-            for array, data, places in _pieces(own, length):
-                starts, hashes, first = _sparse(_ordered(array), data, places, length)
-                text = np.repeat([p[0] for p in places], [p[3] for p in places])[first]
+            for array, data, places in _pieces(own, length, chunk):
+                starts, hashes, first, anchors = _sparse(_ordered(array), data, places, length)
+                text, shift = (np.repeat(x, [p[3] for p in places])[first] for x in ([p[0] for p in places], [p[1] - p[2] for p in places]))
+                several = np.array([len(own[p[0]]) - length >= chunk for p in places])
+                at = np.where(np.repeat(several, [p[3] for p in places])[first], anchors + shift, 0)
                 order = np.lexsort((hashes, text))
                 same = (hashes[order][1:] == hashes[order][:-1]) & (text[order][1:] == text[order][:-1])
                 keep, twice = np.concatenate([[True], ~same]), np.concatenate([same, [False]])
                 pick = order[keep]
                 yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(np.array([keys[i][h] for i in text[pick]], np.int64)) for h in (0, 1)), pa.array(hashes[pick]), pa.array(twice[keep])],
-                    names=["k1", "k2", "core", "twice"],
+                    [*(pa.array(np.array([keys[i][h] for i in text[pick]], np.int64)) for h in (0, 1)), pa.array(hashes[pick]), pa.array(at[pick]), pa.array(twice[keep])],
+                    names=["k1", "k2", "core", "at", "twice"],
                 )
 
-    return texts.mapInArrow(apply, "k1 long, k2 long, core long, twice boolean")
+    return texts.mapInArrow(apply, "k1 long, k2 long, core long, at long, twice boolean")
 
 
-def _units(batches, length: int) -> Iterator[tuple[list[bytes], np.ndarray]]:
+def _units(batches, length: int, chunk: int) -> Iterator[tuple[list[bytes], np.ndarray]]:
     """Units of candidate windows, out of rows of text, number of copies and repeated cores."""
     stretch = dense_stretch(length)
     for batch in batches:
         own, copies, repeated = (batch.column(i).to_pylist() for i in range(3))
         keys = [text_key(t) for t in own]
         wanted = [np.sort(np.array(r, np.int64)) for r in repeated]
-        for array, data, places in _pieces(own, length):
+        for array, data, places in _pieces(own, length, chunk):
             value = _ordered(array)
-            starts, hashes, first = _sparse(value, data, places, length)
+            starts, hashes, first, _ = _sparse(value, data, places, length)
             group = np.cumsum(first) - 1
             text = np.repeat([p[0] for p in places], [p[3] for p in places])
             known = np.zeros(len(hashes), bool)
@@ -254,13 +261,14 @@ def repeated_windows(docs: DataFrame, text: str, length: int = LENGTH) -> DataFr
     prepare(docs.sparkSession)
     long_enough = keyed(docs, text).filter(F.length("data") >= length)
     found = staged(cores(long_enough.select("data"), length), "cores")
-    unlike = (F.min("k1") != F.max("k1")) | (F.min("k2") != F.max("k2")) | F.max("twice")
+    unlike = (F.min("k1") != F.max("k1")) | (F.min("k2") != F.max("k2")) | F.max("twice") | (F.min("at") != F.max("at"))
     again = found.groupBy("core").agg(unlike.alias("again")).filter("again").select("core")
     candidates = found.join(again, "core").groupBy("k1", "k2").agg(F.collect_set("core").alias("cores"))
     # One row for each distinct text.
     texts = long_enough.groupBy("k1", "k2").agg(F.first("data").alias("data"), F.count("*").cast("int").alias("copies"))
     rows = texts.join(candidates, ["k1", "k2"]).select("data", "copies", "cores")
-    units = staged(rows.mapInArrow(lambda batches: make_runs(_units(batches, length)), BLOCKS), "runs")
+    chunk = CHUNK
+    units = staged(rows.mapInArrow(lambda batches: make_runs(_units(batches, length, chunk)), BLOCKS), "runs")
     discard(found)
     release(docs.sparkSession)
     settled = staged(merge_ranges(units, settle_units(length), UNITS), "units")

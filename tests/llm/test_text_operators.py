@@ -243,6 +243,30 @@ def test_repeats_equal_brute_force(spark, length, seed):
         assert len(r.spans) == (np.diff(np.concatenate([[0], c.astype(int)])) == 1).sum() and r.bits == "x"
 
 
+@pytest.mark.parametrize("chunk", [300, 1000])
+def test_repeats_between_pieces_of_one_text(spark, monkeypatch, chunk):
+    random.seed(chunk)
+    plain = lambda n: "".join(random.choices("abcdefghijklmnop ", k=n))
+    passage, other = plain(150), plain(90)
+    texts = [plain(1100) + passage + plain(2300) + passage + plain(40), plain(2500), other + plain(1700) + other, plain(80), None]
+    texts.append(texts[1])
+    cover = brute_cover([(t or "").encode() for t in texts], 60)
+
+    monkeypatch.setattr(suffix_dedup, "CHUNK", chunk)
+    found = suffix_dedup.remove_repeats(frame(spark, texts), "text", F.col("doc_id"), length=60).collect()
+    for r in found:
+        assert bytes(r.kept) == np.frombuffer((texts[r.doc_id] or "").encode(), np.uint8)[~cover[r.doc_id]].tobytes()
+    assert cover[0].sum() >= 300 and cover[2].sum() >= 180
+
+
+def test_repeats_a_piece_apart(spark):
+    rng = random.Random(5)
+    passage, long = rng.randbytes(200).hex(), rng.randbytes(1_100_000).hex()
+    text = f"{long[:1000]}({passage}){long[1000:]}[{passage}]"
+    (found,) = suffix_dedup.remove_repeats(frame(spark, [text]), "text", F.col("doc_id")).collect()
+    assert bytes(found.kept).decode() == f"{long[:1000]}(){long[1000:]}[]"
+
+
 def test_repeats_of_empty_table_and_short_windows(spark):
     assert suffix_dedup.remove_repeats(frame(spark, []), "text", F.col("doc_id")).count() == 0
     with pytest.raises(ValueError, match="at least"):
