@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from jobtide.llm.common import cell_pairs, group_starts, merge_labels, prepare, staged, utf8, whole_groups
+from jobtide.llm.common import cell_pairs, group_starts, merge_labels, prepare, release, staged, utf8, whole_groups
 from jobtide.llm.components import components
 
 SEED = 42
@@ -160,17 +160,17 @@ def replicate(distinct: DataFrame, t: int, n_blocks: int) -> DataFrame:
 
 
 def link(
-    distinct: DataFrame, threshold: int, n_blocks: int, agree: Callable | None = None, cell_rows: int = CELL_ROWS, reach: int | None = None
+    distinct: DataFrame, threshold: int, n_blocks: int, agree: Callable | None = None, cell_rows: int = CELL_ROWS, limit: int | None = None
 ) -> DataFrame:
     """Links (a, b) between nodes that connect all rows of ``distinct`` (node, fp long, more binary) within ``threshold`` bits.
 
     A link may pass through others: every anchor gives the spanning forest of its pairs, so that a dense group of k
     fingerprints costs k - 1 rows. ``agree(more_a, more_b)`` may refuse pairs by their other bytes, given as
-    matrices of one row per pair. ``node`` is a unique long or binary key. ``reach`` below threshold // n_blocks makes
-    fewer replicas; then only pairs of fewer than n_blocks * (reach + 1) bits are sure to be found.
+    matrices of one row per pair. ``node`` is a unique long or binary key. Pairs beyond the threshold that meet all the
+    same are linked up to ``limit`` bits.
     """
-    n = prepare(distinct.sparkSession)
-    rows = replicate(distinct, threshold // n_blocks if reach is None else reach, n_blocks)
+    n, most = prepare(distinct.sparkSession), threshold if limit is None else limit
+    rows = replicate(distinct, threshold // n_blocks, n_blocks)
     # An anchor with more rows than one piece holds is dealt out: chunk i of homes meets chunk j of replicas.
     crowded = staged(
         rows.groupBy("anchor").count().filter(F.col("count") > cell_rows)
@@ -198,7 +198,7 @@ def link(
             homes = np.flatnonzero(rows["home"].to_numpy())
             labels = np.arange(rows.num_rows)
             for a, b in cell_pairs(homes, starts, sizes):
-                near = (np.bitwise_count(fp[a] ^ fp[b]) <= threshold) & (number[a] != number[b])
+                near = (np.bitwise_count(fp[a] ^ fp[b]) <= most) & (number[a] != number[b])
                 a, b = a[near], b[near]
                 if agree and len(a):
                     same = agree(more[a], more[b])
@@ -234,35 +234,47 @@ def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     return prints.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 
-#: Near copies: words of a shingle, bytes of its sketch, and the bits of the sketch in which near copies may differ. Shingle
-#: sets of Jaccard similarity J have a cosine of about 2J / (1 + J); at 0.8 the angle is 0.152 of a half turn, 38.8 of
-#: 256 bits, and the limit lies half a standard deviation above.
-SHINGLE_WORDS, SKETCH_BYTES, SKETCH_BITS = 5, 32, 42
-#: Word fingerprints of near copies differ in at most so many bits. Blocks of 21 or 22 bits, compared where one differs in
-#: at most one bit: pairs of up to 5 bits are sure to meet, of 6 and 7 bits about 88 % and 71 %. Four blocks would be sure
-#: of 7 bits, but words of a language make their 4096 anchors crowded.
-WORD_BITS, WORD_BLOCKS, WORD_REACH = 7, 3, 1
+#: Near copies: words of a shingle, and independent 64-bit fingerprints of the shingles. Shingle sets of Jaccard similarity
+#: J have a cosine of about 2J / (1 + J), so that at 0.8 a bit differs with probability 0.152.
+SHINGLE_WORDS, PRINTS = 5, 6
+#: Each fingerprint is covered for 5 bits in 3 blocks: whatever differs in at most one bit of any of the 18 blocks meets, at
+#: J = 0.8 about 95 % of pairs, at 0.85 about 99 %.
+PRINT_BITS, PRINT_BLOCKS = 5, 3
+#: Bits in which pairs that meet may differ: of the fingerprint, and of the two that follow it. Both limits lie about 3.6
+#: standard deviations above the mean at 0.8.
+PRINT_LIMIT, SKETCH_LIMIT = 20, 35
 
 
 def similar_sketches(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether the shingle sketches of pairs are those of near copies."""
-    return np.bitwise_count(a ^ b).sum(axis=1) <= SKETCH_BITS
+    """Whether the further fingerprints of pairs may be those of near copies."""
+    return np.bitwise_count(a ^ b).sum(axis=1) <= SKETCH_LIMIT
+
+
+def alike(prints: DataFrame) -> DataFrame:
+    """Links (a, b) that connect the rows of ``prints`` (node, sketch: PRINTS fingerprints) that may be near copies."""
+    found = None
+    for k in range(PRINTS):
+        part = lambda i: F.substring("sketch", 8 * (i % PRINTS) + 1, 8)
+        rows = prints.select("node", part(k).alias("bits"), F.concat(part(k + 1), part(k + 2)).alias("more"))
+        # One fingerprint at a time: the replicas of one are let go before the next.
+        links = staged(link(rows.select("node", as_long("bits").alias("fp"), "more"), PRINT_BITS, PRINT_BLOCKS, similar_sketches, limit=PRINT_LIMIT), "alike")
+        release(prints.sparkSession)
+        found = found.union(links) if found else links
+    return found
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without near copies: of each group of texts of about 0.8 or more the row with the smallest id stays.
 
-    Candidates are found by fingerprints of the words, which one edit hardly changes, through anchors; a pair is linked
-    if the sketches of its five-word shingles agree. Equal texts, null and empty ones as well, are one group; so are
-    blank texts. Of rows that tie on id and text one stays; null ids come last. Other columns stay as they are.
+    Candidates are found by several fingerprints of the five-word shingles, each covered by anchors. Equal texts, null
+    and empty ones as well, are one group; so are blank texts. Of rows that tie on id and text one stays; null ids come
+    last. Other columns stay as they are.
     """
     key, rank = F.unhex(F.md5(utf8(text))), F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1))
-    methods = {"bits": word_simhash, "more": lambda x: shingle_simhash(x, SHINGLE_WORDS, SKETCH_BYTES)}
     rows = docs.select(key.alias("node"), rank.alias("rank"), F.col(text).alias("text"))
-    found = fingerprints(rows, "text", methods, F.col("node"), F.col("rank"))
-    prints = staged(found.select("node", "rank", as_long("bits").alias("fp"), "more"), "prints")
-    distinct = staged(prints.groupBy("node").agg(F.min("rank").alias("rank"), F.first("fp").alias("fp"), F.first("more").alias("more")), "distinct")
-    roots = components(link(distinct, WORD_BITS, WORD_BLOCKS, similar_sketches, reach=WORD_REACH))
+    found = fingerprints(rows, "text", {"sketch": lambda x: shingle_simhash(x, SHINGLE_WORDS, 8 * PRINTS)}, F.col("node"), F.col("rank"))
+    distinct = staged(found.groupBy("node").agg(F.min("rank").alias("rank"), F.first("sketch").alias("sketch")), "distinct")
+    roots = components(alike(distinct))
     grouped = distinct.select("node", "rank").join(roots, "node", "left").select(F.struct("rank", "node").alias("row"), F.coalesce("root", "node").alias("root"))
     kept = grouped.groupBy("root").agg(F.min("row").alias("row")).select("row.node", "row.rank")
     whole = docs.select(key.alias("node"), rank.alias("rank"), F.struct("*").alias("doc"))

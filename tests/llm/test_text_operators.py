@@ -177,6 +177,31 @@ def test_near_copies_leave_one_row_and_all_columns(spark):
     assert simhash_anchors.drop_near_duplicates(df.limit(0)).count() == 0
 
 
+def near_copy(words, kind, j):
+    """A text whose five-word shingles have about the similarity ``j`` to those of ``words``."""
+    fresh = lambda k: [f"new{random.random()}" for _ in range(k)]
+    n = len(words) - 4
+    lost = round(n * (1 - j) / (1 + j))
+    at = random.randrange(len(words) - lost)
+    if kind == "block":
+        return words[:at] + fresh(lost - 4) + words[at + lost - 4 :]
+    if kind == "tail":
+        return words + fresh(round(n * (1 / j - 1)))
+    if kind == "cut":
+        return words[: len(words) - round(n * (1 - j))]
+    places = {round((i + 0.5) * len(words) / (lost // 5)) for i in range(lost // 5)}
+    return [fresh(1)[0] if i in places else w for i, w in enumerate(words)]
+
+
+def test_near_copies_after_contiguous_edits(spark):
+    random.seed(8)
+    base = [[f"w{random.randint(0, 3000)}" for _ in range(400)] for _ in range(80)]
+    copies = [near_copy(b, ("block", "tail", "cut")[i % 3], 0.83) for i, b in enumerate(base)]
+    left = simhash_anchors.drop_near_duplicates(frame(spark, [" ".join(t) for t in base + copies]))
+    ids = {r.doc_id for r in left.collect()}
+    assert ids >= set(range(80)) and len(ids) <= 84
+
+
 # Native fingerprints
 
 
