@@ -243,6 +243,8 @@ PRINT_BITS, PRINT_BLOCKS = 5, 3
 #: Bits in which pairs that meet may differ: of the fingerprint, and of the two that follow it. Both limits lie about 3.6
 #: standard deviations above the mean at 0.8.
 PRINT_LIMIT, SKETCH_LIMIT = 20, 35
+#: Jaccard similarity of near copies, and texts of one cluster that are compared in one piece.
+SIMILARITY, CLUSTER_ROWS = 0.8, 256
 
 
 def similar_sketches(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -263,10 +265,85 @@ def alike(prints: DataFrame) -> DataFrame:
     return found
 
 
+def shingle_set(text: bytes) -> bytes:
+    """The distinct XXH64 values of the shingles, ascending."""
+    hashes = {xxhash.xxh64_intdigest(s, SEED) for s in shingles(text.lower().split(), SHINGLE_WORDS)}
+    return np.sort(np.fromiter(hashes, np.uint64, len(hashes))).tobytes()
+
+
+def near(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two shingle sets are similar enough; two empty ones are."""
+    low, high = sorted((len(a), len(b)))
+    if low < SIMILARITY * high:
+        return False
+    both = np.sort(np.concatenate([a, b]))
+    common = int((both[1:] == both[:-1]).sum())
+    return common >= SIMILARITY * (low + high - common)
+
+
+def exact_links(rows: DataFrame, cell_rows: int | None = None) -> DataFrame:
+    """Links (a, b) of texts of one cluster with a Jaccard similarity of SIMILARITY or more; ``rows`` are (root, node, shingles).
+
+    All pairs of a cluster are compared but those that are connected already. A cluster with more rows than
+    one piece holds is dealt out: chunk i meets chunk j.
+    """
+    n, cell_rows = prepare(rows.sparkSession), cell_rows or CLUSTER_ROWS
+    large = staged(
+        rows.groupBy("root").count().filter(F.col("count") > cell_rows)
+        .select("root", F.ceil(F.col("count") / cell_rows).cast("int").alias("k")), "clusters"
+    )
+    c = F.pmod(F.xxhash64("node"), F.col("k")).cast("int")
+    pieces = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda x: F.struct(F.least(x, c).alias("i"), F.greatest(x, c).alias("j"), c.alias("chunk")))
+    zero = F.lit(0)
+    alone = F.array(F.struct(zero.alias("i"), zero.alias("j"), zero.alias("chunk")))
+    cells = rows.join(large, "root", "left").select("root", "node", "shingles", F.inline(F.when(F.col("k").isNull(), alone).otherwise(pieces)))
+    keys = ["root", "i", "j"]
+
+    def compare(batches):
+        for (i, j), members in _cells(batches, keys):
+            sets = [np.frombuffer(m["shingles"], np.uint64) for m in members]
+            # Larger texts first: a text is compared with one of each group before the others.
+            order = sorted(range(len(sets)), key=lambda x: -len(sets[x]))
+            groups: list[list[int]] = []
+            pairs = []
+            for x in order:
+                joined = None
+                apart = []
+                for group in groups:
+                    hit = next((y for y in group if (i == j or members[x]["chunk"] != members[y]["chunk"]) and near(sets[x], sets[y])), None)
+                    if hit is None:
+                        apart.append(group)
+                        continue
+                    pairs.append((members[hit]["node"], members[x]["node"]))
+                    joined = group if joined is None else joined + group
+                groups = [*apart, [*(joined or []), x]]
+            if pairs:
+                yield pa.RecordBatch.from_arrays([pa.array(p, pa.binary()) for p in zip(*pairs)], names=["a", "b"])
+
+    return cells.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(compare, "a binary, b binary").distinct()
+
+
+def _cells(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple[int, int], list[dict]]]:
+    """((i, j), rows) of each piece out of batches that are sorted by ``keys``; one piece is held at a time."""
+    last, members = None, []
+    for batch in batches:
+        for begin in range(0, batch.num_rows, 256):
+            for row in batch.slice(begin, 256).to_pylist():
+                key = tuple(row[k] for k in keys)
+                if key != last and members:
+                    yield last[1:], members
+                    members = []
+                last = key
+                members.append(row)
+    if members:
+        yield last[1:], members
+
+
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without near copies: of each group of texts of about 0.8 or more the row with the smallest id stays.
+    """``docs`` without near copies: of each group of texts of similarity 0.8 or more the row with the smallest id stays.
 
-    Candidates are found by several fingerprints of the five-word shingles, each covered by anchors. Equal texts, null
+    Clusters of candidates are found by several fingerprints of the five-word shingles, each covered by anchors; within
+    a cluster texts are linked by the exact Jaccard similarity of their sets of shingles. Equal texts, null
     and empty ones as well, are one group; so are blank texts. Of rows that tie on id and text one stays; null ids come
     last. Other columns stay as they are.
     """
@@ -274,7 +351,11 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     rows = docs.select(key.alias("node"), rank.alias("rank"), F.col(text).alias("text"))
     found = fingerprints(rows, "text", {"sketch": lambda x: shingle_simhash(x, SHINGLE_WORDS, 8 * PRINTS)}, F.col("node"), F.col("rank"))
     distinct = staged(found.groupBy("node").agg(F.min("rank").alias("rank"), F.first("sketch").alias("sketch")), "distinct")
-    roots = components(alike(distinct))
+    clusters = staged(components(alike(distinct)), "clusters")
+    # One row for each distinct text of a cluster.
+    texts = rows.select("node", "text").join(clusters, "node").groupBy("node").agg(F.first("root").alias("root"), F.first("text").alias("text"))
+    sets = staged(fingerprints(texts, "text", {"shingles": shingle_set}, F.col("root"), F.col("node")), "shingles")
+    roots = components(exact_links(sets))
     grouped = distinct.select("node", "rank").join(roots, "node", "left").select(F.struct("rank", "node").alias("row"), F.coalesce("root", "node").alias("root"))
     kept = grouped.groupBy("root").agg(F.min("row").alias("row")).select("row.node", "row.rank")
     whole = docs.select(key.alias("node"), rank.alias("rank"), F.struct("*").alias("doc"))

@@ -202,6 +202,39 @@ def test_near_copies_after_contiguous_edits(spark):
     assert ids >= set(range(80)) and len(ids) <= 84
 
 
+def shingle_words(text, n=5):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} or ({tuple(words)} if words else set())
+
+
+def test_near_copies_are_decided_by_exact_similarity(spark):
+    random.seed(9)
+    base = [[f"w{random.randint(0, 3000)}" for _ in range(random.randint(200, 600))] for _ in range(60)]
+    copies = [near_copy(b, kind, random.uniform(0.7, 0.95)) for b in base for kind in ("block", "tail", "cut", "scattered")]
+    texts = [" ".join(t) for t in base + copies]
+    sets = [shingle_words(t) for t in texts]
+    similar = [[len(a & b) >= 0.8 * len(a | b) for b in sets] for a in sets]
+    want = groups_of(len(texts), lambda a, b: similar[a][b])
+    ids = {r.doc_id for r in simhash_anchors.drop_near_duplicates(frame(spark, texts)).collect()}
+    wanted = {want[i] for i in range(len(texts))}
+    # Nothing is dropped that brute force keeps; of what it drops at most one in fifty stays.
+    assert wanted <= ids and len(ids - wanted) <= (len(texts) - len(wanted)) / 50
+
+
+@pytest.mark.parametrize("cell_rows", [256, 7])
+def test_exact_links_equal_brute_force(spark, cell_rows):
+    random.seed(10)
+    base = [f"w{k}" for k in range(150)]
+    texts = [" ".join(near_copy(base, random.choice(["block", "cut", "scattered"]), random.uniform(0.7, 0.9))) for _ in range(60)] + ["", " ", "one two", "One  two"]
+    sets = [shingle_words(t) for t in texts]
+    rows = [(bytearray(b"r"), bytearray([i]), bytearray(simhash_anchors.shingle_set(t.encode()))) for i, t in enumerate(texts)]
+    links = simhash_anchors.exact_links(spark.createDataFrame(rows, "root binary, node binary, shingles binary"), cell_rows).collect()
+    found = {frozenset((r.a[0], r.b[0])) for r in links}
+    alike = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    assert all(alike(*sorted(pair)) for pair in found)
+    assert groups_of(len(texts), lambda a, b: frozenset((a, b)) in found) == groups_of(len(texts), alike)
+
+
 # Native fingerprints
 
 
