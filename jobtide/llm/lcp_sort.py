@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import math
 import uuid
-from bisect import bisect_left, bisect_right
+import zlib
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -23,8 +24,8 @@ from jobtide.llm.common import prepare
 
 #: Bytes of strings that a task sorts at a time, bytes of a block of a run, and compressed bytes of blocks that meet in one merge.
 RUN_BYTES, BLOCK_BYTES, RANGE_BYTES = 16 << 20, 64 << 10, 6 << 20
-#: Bytes of a string that a range border is cut to.
-BORDER_BYTES = 48
+#: Rounds of splitting ranges that measure above twice RANGE_BYTES.
+ROUNDS = 4
 #: What travels with a string: whether it is known to occur twice, its text (two halves of a 128-bit key; none if
 #: nobody asks for it), its place there, the number of starts it stands for, and the place of its anchor.
 ENTRY = np.dtype([("twin", "?"), ("asked", "?"), ("k1", "<i8"), ("k2", "<i8"), ("at", "<i8"), ("starts", "<i4"), ("anchor", "<i4")])
@@ -164,40 +165,137 @@ def make_runs(units: Iterator[tuple[list[bytes], np.ndarray]]) -> Iterator[pa.Re
         yield from flush()
 
 
+def shortest_borders(heads: list[bytes], parts: int) -> list[bytes]:
+    """Borders that cut sorted strings into about ``parts``, each only as long as it takes to tell it from the string before."""
+    distinct = sorted(set(heads))
+    place = {head: i for i, head in enumerate(distinct)}
+    wanted = {place[heads[len(heads) * i // parts]] for i in range(1, parts)} if heads else set()
+    return [distinct[i][: common_prefix(distinct[i - 1], distinct[i]) + 1] for i in sorted(wanted) if i]
+
+
+def _ranges_of(borders: list[bytes], first: bytes, last: bytes) -> range:
+    return range(bisect_right(borders, first), bisect_right(borders, last) + 1)
+
+
+def _parts(row: dict, borders: list[bytes]) -> Iterator[tuple[int, list[bytes], list[tuple]]]:
+    """(range, strings, entries) of a block that spans several ranges."""
+    k, strings, entries = None, [], []
+    for _, string, entry in decode(row["heads"], row["entries"], row["body"]):
+        own = bisect_right(borders, string)
+        if own != k and strings:
+            yield k, strings, entries
+            strings, entries = [], []
+        k = own
+        strings.append(string)
+        entries.append(entry)
+    if strings:
+        yield k, strings, entries
+
+
+def _measured(stored: DataFrame, borders: list[bytes]) -> dict[int, int]:
+    """Bytes of each range; the strings of a block that spans several ones share its bytes by their number."""
+
+    def apply(batches):
+        total: dict[int, float] = {}
+        for batch in batches:
+            for row in batch.to_pylist():
+                size, over = len(row["body"]) + len(row["entries"]), _ranges_of(borders, row["first"], row["last"])
+                if len(over) == 1:
+                    total[over[0]] = total.get(over[0], 0) + size
+                else:
+                    for k, strings, _ in _parts(row, borders):
+                        total[k] = total.get(k, 0) + size * len(strings) / (len(row["heads"]) / 8)
+        yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.int32()), pa.array(map(int, total.values()), pa.int64())], names=["range", "size"])
+
+    return {r["range"]: r["size"] for r in stored.mapInArrow(apply, "range int, size long").groupBy("range").agg(F.sum("size").alias("size")).collect()}
+
+
+def _samples(stored: DataFrame, borders: list[bytes], rates: dict[int, float]) -> dict[int, list[bytes]]:
+    """Sorted strings drawn from some ranges, by a rate per byte of stored block."""
+
+    def apply(batches):
+        for batch in batches:
+            found = []
+            for row in batch.to_pylist():
+                over = _ranges_of(borders, row["first"], row["last"])
+                if any(k in rates for k in over):
+                    each = (len(row["body"]) + len(row["entries"])) / (len(row["heads"]) / 8)
+                    for k, strings, _ in _parts(row, borders):
+                        if k in rates:
+                            drawn = np.random.default_rng(zlib.crc32(f"{row['run']} {row['block']} {k}".encode())).random(len(strings)) < rates[k] * each
+                            found += [(k, strings[i]) for i in np.flatnonzero(drawn)]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.int32(), pa.binary()))], names=["range", "string"])
+
+    found: dict[int, list[bytes]] = {}
+    for r in stored.mapInArrow(apply, "range int, string binary").collect():
+        found.setdefault(r["range"], []).append(bytes(r["string"]))
+    return {k: sorted(v) for k, v in found.items()}
+
+
+def place_borders(stored: DataFrame, least: int) -> list[bytes]:
+    """Borders of ranges of about RANGE_BYTES; only equal strings can make a range larger than twice that."""
+    total = stored.agg(F.sum(F.length("body") + F.length("entries")), F.count("*")).first()
+    ranges = max(least, math.ceil((total[0] or 0) / RANGE_BYTES))
+    # About 40 block heads a range place the first borders.
+    sampled = stored.filter(F.rand(7) < min(1.0, 40 * ranges / max(total[1], 1))).select("first")
+    borders = shortest_borders(sorted(bytes(r["first"]) for r in sampled.collect()), ranges)
+    for _ in range(ROUNDS):
+        large = {k: size for k, size in _measured(stored, borders).items() if size > 2 * RANGE_BYTES}
+        # Again about 40 strings for each range that is to be.
+        samples = _samples(stored, borders, {k: 40 / RANGE_BYTES for k in large}) if large else {}
+        new = {b for k, size in large.items() for b in shortest_borders(samples.get(k, []), math.ceil(size / RANGE_BYTES))} - set(borders)
+        if not new:
+            break
+        borders = sorted({*borders, *new})
+    return borders
+
+
 def merge_ranges(blocks: DataFrame, answer: Callable, schema: str) -> DataFrame:
     """Merge stored runs range by range; ``answer`` turns each merged sequence into record batches of ``schema``.
 
-    Ranges hold about RANGE_BYTES of front-coded strings. Their borders, one for so many bytes, are broadcast.
+    Ranges hold about RANGE_BYTES of front-coded strings. Their borders, one for so many bytes, are broadcast. A block
+    that spans several ranges is cut at their borders, so that a task reads what belongs to its ranges and no more.
     """
     spark = blocks.sparkSession
     n = prepare(spark)
     stored = blocks.filter("block >= 0")
-    total = stored.agg(F.sum(F.length("body") + F.length("entries")), F.count("*")).first()
-    ranges = max(n, math.ceil((total[0] or 0) / RANGE_BYTES))
-    # About 40 block heads a range place the borders.
-    sampled = stored.filter(F.rand(7) < min(1.0, 40 * ranges / max(total[1], 1))).select(F.substring("first", 1, BORDER_BYTES).alias("first"))
-    heads = sorted(bytes(r["first"]) for r in sampled.collect())
-    borders = sorted({heads[len(heads) * i // ranges] for i in range(1, ranges)}) if heads else []
-    shared = spark.sparkContext.broadcast(borders)
+    shared = spark.sparkContext.broadcast(place_borders(stored, n))
+    kinds = [pa.int32(), pa.string(), pa.int32(), pa.int32(), *[pa.binary()] * 3]
+    names = ["range", "run", "block", "part", "heads", "entries", "body"]
 
     def deal(batches):
         for batch in batches:
-            rows = batch.to_pylist()
-            out = [
-                (k, r["run"], r["block"], r["heads"], r["entries"], r["body"])
-                for r in rows for k in range(bisect_right(shared.value, r["first"]), bisect_right(shared.value, r["last"]) + 1)
-            ]
-            if out:
-                kinds = [pa.int32(), pa.string(), pa.int32(), *[pa.binary()] * 3]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["range", "run", "block", "heads", "entries", "body"])
-
-    def merged(group: pa.Table) -> pa.Table:
-        k = group["range"][0].as_py()
-        low, high = shared.value[k - 1] if k else None, shared.value[k] if k < len(shared.value) else None
-        runs: dict[str, list] = {}
-        for row in sorted(group.to_pylist(), key=lambda r: (r["run"], r["block"])):
-            runs.setdefault(row["run"], []).append((row["heads"], row["entries"], row["body"]))
-        return pa.Table.from_batches(list(answer(merge([_in_range(b, low, high) for b in runs.values()]))))
-
-    dealt = stored.mapInArrow(deal, "range int, run string, block int, heads binary, entries binary, body binary")
-    return dealt.groupBy("range").applyInArrow(merged, schema)
+            for begin in range(0, batch.num_rows, 100):
+                out: list[tuple] = []
+                for row in batch.slice(begin, 100).to_pylist():
+                    over = _ranges_of(shared.value, row["first"], row["last"])
+                    if len(over) == 1:
+                        out.append((over[0], row["run"], row["block"], 0, row["heads"], row["entries"], row["body"]))
+                        continue
+                    for k, strings, entries in _parts(row, shared.value):
+                        for part, coded in enumerate(front_code(row["run"], strings, np.array(entries, ENTRY))):
+                            out.append((k, row["run"], row["block"], part, *coded[4:]))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * len(kinds), kinds)], names=names)
+
+    def merged(batches):
+        for runs in _whole_ranges(batches):
+            yield from answer(merge([_in_range(b, None, None) for b in runs]))
+
+    dealt = stored.mapInArrow(deal, "range int, run string, block int, part int, heads binary, entries binary, body binary")
+    return dealt.repartition(n, "range").sortWithinPartitions("range", "run", "block", "part").mapInArrow(merged, schema)
+
+
+def _whole_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[list[list[tuple]]]:
+    """The compressed blocks of each range by run, out of rows sorted by range, run and block; one range is held at a time."""
+    last, runs = None, {}
+    for batch in batches:
+        for begin in range(0, batch.num_rows, 100):
+            for row in batch.slice(begin, 100).to_pylist():
+                if row["range"] != last and runs:
+                    yield list(runs.values())
+                    runs = {}
+                last = row["range"]
+                runs.setdefault(row["run"], []).append((row["heads"], row["entries"], row["body"]))
+    if runs:
+        yield list(runs.values())

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -229,10 +230,10 @@ def settle_units(length: int):
 
 def settle_windows(merged) -> Iterator[pa.RecordBatch]:
     """Answers of the second sort: repeated windows."""
-    found = [(k1, k2, at, starts) for _, (twin, asked, k1, k2, at, starts, _), again in _judged(merged) if asked and (twin or again)]
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32())
-    columns = zip(*found) if found else [[]] * 4
-    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["k1", "k2", "at", "starts"])
+    repeated = ((k1, k2, at, starts) for _, (twin, asked, k1, k2, at, starts, _), again in _judged(merged) if asked and (twin or again))
+    while found := list(islice(repeated, 50_000)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), kinds)], names=["k1", "k2", "at", "starts"])
 
 
 def _answered(blocks: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import struct
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -348,6 +349,32 @@ def test_loser_tree_keeps_prefixes(monkeypatch):
 # Shards
 
 
+def test_ranges_stay_small_under_a_long_common_prefix(spark, monkeypatch):
+    monkeypatch.setattr(lcp_sort, "RANGE_BYTES", 4000)
+    rng = random.Random(11)
+    strings = [b"p" * 200 + rng.randbytes(60).hex().encode() for _ in range(3000)] + [rng.randbytes(30).hex().encode() for _ in range(50)]
+    rows = []
+    for i in range(0, len(strings), 500):
+        own = strings[i : i + 500]
+        entries = np.zeros(len(own), lcp_sort.ENTRY)
+        entries["at"], entries["asked"] = range(i, i + len(own)), True
+        rows += [tuple(r.values()) for b in lcp_sort.make_runs(iter([(own, entries)])) for r in b.to_pylist()]
+    blocks = spark.createDataFrame(rows, lcp_sort.BLOCKS)
+
+    def answer(merged):
+        found = list(merged)
+        assert found == sorted(found, key=lambda x: x[1])
+        yield pa.RecordBatch.from_arrays([pa.array([f[1] for f in found]), pa.array([f[2][4] for f in found]), pa.array([found[0][1]] * len(found))], names=["string", "at", "first"])
+
+    found = lcp_sort.merge_ranges(blocks, answer, "string binary, at long, first binary").collect()
+    assert sorted((bytes(r.string), r.at) for r in found) == sorted((s, i) for i, s in enumerate(strings))
+    sizes = {}
+    for r in found:
+        sizes[bytes(r.first)] = sizes.get(bytes(r.first), 0) + 1
+    # Blocks have more than 60 bytes a string, so that a range of twice 4000 bytes holds less than 200 strings.
+    assert max(sizes.values()) < 300 and len(sizes) > 20
+
+
 def test_shards_balance_and_number_without_gaps(spark, tmp_path):
     random.seed(7)
     texts = ["x" * random.randint(0, 300) for _ in range(400)] + [None, "", "é"]
