@@ -58,7 +58,7 @@ STAGES = [
     ("tokens", encode),
 ]
 
-#: A trained field and suffix sorting are beyond SQL; the tests hold the stages against brute force.
+#: A trained field and suffix sorting are beyond SQL; tests hold near copies and repeats against brute force, toxicity against planted spans only.
 ORACLE_SQL = None
 
 
