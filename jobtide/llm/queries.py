@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from jobtide.llm import embedding_dedup, fingerprints, language_id, mixing, sharding, simhash_anchors, suffix_dedup, toxicity, warc_zip
 from jobtide.llm.byte_bpe import Vocabulary
-from jobtide.llm.common import fold, table
+from jobtide.llm.common import fold, staging_path, table
 
 
 def op1_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ def op5_suffix_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, _ = sharding.shard_documents(table(spark, sf_dir, "documents"))
+    rows, _ = sharding.shard_documents(table(spark, sf_dir, "documents"), folder=staging_path(spark, "slots"))
     return rows.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot",
     )

@@ -107,13 +107,18 @@ def assign(rows: DataFrame, slot_map: SlotMap, counts: dict[int, int]) -> DataFr
     return numbered.join(F.broadcast(table), "virtual_slot").withColumn("slot", F.col("first") + F.col("_nth")).drop("first", "_nth")
 
 
-def shard_documents(docs: DataFrame, shards: int = 8, slots: int = SLOTS, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, SlotMap]:
+def shard_documents(docs: DataFrame, shards: int = 8, slots: int = SLOTS, doc_id: str = "doc_id", text: str = "text", folder: str | None = None) -> tuple[DataFrame, SlotMap]:
     """Rows with size, text_crc32, virtual_slot, shard and slot, balanced by bytes, and the map used.
 
+    With a ``folder`` the map is saved there as version 1, and rows are assigned from what is loaded.
+
     One row per row of ``docs``. A null text has size 1; null ids share one slot; repeated rows share a slot and are
     numbered one after the other. An empty table gives no rows and a map without bytes. Other columns are not read.
     """
     rows = with_slots(docs, doc_id, text, slots)
     sizes = slot_sizes(rows)
     slot_map = first_map({s: b for s, (b, _) in sizes.items()}, shards, slots)
+    if folder:
+        slot_map.save(docs.sparkSession, folder)
+        slot_map = SlotMap.load(docs.sparkSession, folder, slot_map.version)
     return assign(rows, slot_map, {s: n for s, (_, n) in sizes.items()}), slot_map

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from jobtide.llm import (
-    byte_bpe, components, embedding_dedup, fingerprints, language_id, lcp_sort, mixing, sharding, simhash_anchors, suffix_dedup, toxicity, warc_zip,
+    byte_bpe, components, embedding_dedup, fingerprints, language_id, lcp_sort, mixing, queries, sharding, simhash_anchors, suffix_dedup, toxicity, warc_zip,
 )
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -394,6 +394,14 @@ def test_shards_balance_and_number_without_gaps(spark, tmp_path):
     assert empty.count() == 0
 
 
+def test_registered_shards_come_from_the_stored_map(spark, monkeypatch):
+    loaded, load = [], sharding.SlotMap.load
+    monkeypatch.setattr(sharding.SlotMap, "load", staticmethod(lambda *at: loaded.append((at[2], load(*at))) or loaded[-1][1]))
+    rows = queries.op6_virtual_slots(spark, "/root/testdata/sf0.001").collect()
+    ((version, slot_map),) = loaded
+    assert version == 1 and all(slot_map.shard_of[r.virtual_slot] == r.shard for r in rows)
+
+
 def test_rebalancing_moves_few_slots():
     size = {s: 100 + s % 7 for s in range(1000)}
     old = sharding.first_map(size, 8, 1000)
