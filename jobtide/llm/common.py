@@ -103,6 +103,11 @@ def group_starts(rows: pa.Table, keys: list[str]) -> np.ndarray:
     return np.flatnonzero(change)
 
 
+def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many bits differ. The counts are those of unsigned numbers: numpy counts the bits of a signed one's magnitude."""
+    return np.bitwise_count((a ^ b).view(f"u{a.dtype.itemsize}"))
+
+
 def merge_labels(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
     """Lower ``labels`` in place until both ends of every link (a, b) carry the same one."""
     while True:

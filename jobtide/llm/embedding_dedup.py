@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobtide.llm.common import cell_pairs, group_starts, merge_labels, prepare, staged, whole_groups
+from jobtide.llm.common import cell_pairs, differing, group_starts, merge_labels, prepare, staged, whole_groups
 from jobtide.llm.components import components
 
 COSINE = 0.93
@@ -169,7 +169,7 @@ def link(distinct: DataFrame, models: dict, tables: int, cosine: float, radius:
             index = {x: i for i, x in enumerate(dict.fromkeys(nodes))}
             number = np.array([index[x] for x in nodes])
             for a, b in cell_pairs(np.flatnonzero(is_home), starts, sizes, 500_000):
-                near = is_member[b] & (number[a] != number[b]) & (np.bitwise_count(code[a] ^ code[b]) <= radius)
+                near = is_member[b] & (number[a] != number[b]) & (differing(code[a], code[b]) <= radius)
                 a, b = a[near], b[near]
                 first = (parts[a] == parts[b]).argmax(axis=1) == table[a]
                 a, b = a[first], b[first]

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from jobtide.llm.common import cell_pairs, group_starts, merge_labels, prepare, release, staged, utf8, whole_groups
+from jobtide.llm.common import cell_pairs, differing, group_starts, merge_labels, prepare, release, staged, utf8, whole_groups
 from jobtide.llm.components import components
 
 SEED = 42
@@ -198,7 +198,7 @@ def link(
             homes = np.flatnonzero(rows["home"].to_numpy())
             labels = np.arange(rows.num_rows)
             for a, b in cell_pairs(homes, starts, sizes):
-                near = (np.bitwise_count(fp[a] ^ fp[b]) <= most) & (number[a] != number[b])
+                near = (differing(fp[a], fp[b]) <= most) & (number[a] != number[b])
                 a, b = a[near], b[near]
                 if agree and len(a):
                     same = agree(more[a], more[b])

@@ -150,9 +150,11 @@ def test_anchors_cover_every_pair_within_the_threshold(spark, threshold, blocks)
         for k in range(threshold + 2):
             bits = rng.choice(64, k, replace=False)
             near.append(int(p) ^ (sum(1 << int(b) for b in bits if b < 63) - (1 << 63 if 63 in bits else 0)))
+    # Pairs that differ in the sign bit, in it and a few more, and in all high bits.
+    near += [int(p) ^ -(1 << 63) for p in prints[:5]] + [(int(p) ^ -(1 << 63)) ^ 3 for p in prints[:5]] + [int(p) ^ -(1 << 20) for p in prints[5:9]]
+    near += [0, -(1 << 22), -(1 << 63), 1, ~1]
     values = sorted({int(p) for p in prints} | set(near))
     df = spark.createDataFrame([(v, v, None) for v in values], "node long, fp long, more binary")
-    array = np.array(values)
     for cell_rows in (4096, 3):
         links = simhash_anchors.link(df, threshold, blocks, cell_rows=cell_rows).collect()
         labels = np.arange(len(values))
@@ -161,8 +163,8 @@ def test_anchors_cover_every_pair_within_the_threshold(spark, threshold, blocks)
 
         merge_labels(labels, np.array([place[r.a] for r in links], int), np.array([place[r.b] for r in links], int))
         want = np.arange(len(values))
-        a, b = np.nonzero(np.bitwise_count(array[:, None] ^ array[None, :]) <= threshold)
-        merge_labels(want, a, b)
+        pairs = [(i, j) for i, x in enumerate(values) for j, y in enumerate(values) if ((x ^ y) % (1 << 64)).bit_count() <= threshold]
+        merge_labels(want, *np.array(pairs).T)
         assert (labels == want).all()
 
 
