@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from jobtide.llm import embedding_dedup, fingerprints, language_id, mixing, sharding, simhash_anchors, suffix_dedup, toxicity, warc_zip
 from jobtide.llm.byte_bpe import Vocabulary
 from jobtide.llm.common import fold, staging_path, table
+from jobtide.llm.word_bpe import WordVocabulary
 
 
 def op1_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,6 +76,15 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.classify(docs, "text", dictionaries, F.col("doc_id"), F.col("held_out"))
 
 
+def op13_pair_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = WordVocabulary(spark, public_tokenizers.path("word_bpe_49k.json"))
+    coded = vocabulary.encode(table(spark, sf_dir, "documents"), "text", F.col("doc_id"))
+    return vocabulary.decode(coded, "ids", F.col("doc_id"), F.col("ids")).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
     "op1_warc_zip": op1_warc_zip,
     "op2_byte_bpe": op2_byte_bpe,
@@ -86,5 +96,6 @@ QUERIES = {
     "op8_raking": op8_raking,
     "op9_itq_embeddings": op9_itq_embeddings,
     "op10_language_id": op10_language_id,
+    "op13_pair_tree": op13_pair_tree,
 }
 SQL: dict[str, str] = {"op8_raking": mixing.mixing_sql()}
