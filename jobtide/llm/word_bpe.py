@@ -1,14 +1,13 @@
 """Byte-pair encoding with word ends, merged through a segment tree over adjacent pair ranks.
 
-A text is cut at white space; what stands between is a piece, and no match of the splitting pattern reaches across
-one. A piece is composed (NFC), lower-cased and split into words, a word into the characters that stand for its
-bytes, the last of which carries the word end. The pairs of neighbours are the leaves of a segment tree: a leaf
+A text is composed (NFC), lower-cased and split into words, a word into the characters that stand for its bytes, the
+last of which carries the word end. No word reaches across white space. The pairs of neighbours are the leaves of a segment tree: a leaf
 holds the pair's rank and place, an inner node the least of its children, so the root names the leftmost pair of
 the lowest rank. A merge changes at most three leaves, each in logarithmic time. Nothing is left to merge once the
 root is empty.
 
-Pieces are remembered up to a bound, since text repeats its words. Special tokens that stand in a text become their
-ids, as in the tokenizers library. Pieces with letters beyond Latin are composed, lower-cased and split by that
+Words are remembered up to a bound, since text repeats them. Special tokens that stand in a text become their ids,
+as in the tokenizers library. What stands between white space and has letters beyond Latin is composed, lower-cased and split by that
 library's own normaliser, whose Unicode tables are newer than Python's; merging never is.
 """
 
@@ -16,7 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-import unicodedata
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,30 +30,33 @@ from tokenizers import Tokenizer
 from jobtide.llm.byte_bpe import CHARACTERS
 from jobtide.llm.common import extended, prepare
 
-#: Pieces that a worker remembers, and the longest of them in characters.
-REMEMBERED, LONGEST = 200_000, 64
+#: Words that a worker remembers, and the longest of them in characters.
+REMEMBERED, LONGEST = 400_000, 64
 #: Characters of text, and ids, worked on at a time.
 SLICE = 1 << 20
 #: What splits words; the file must state the same pattern.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Characters that Python and the library lower-case, compose and classify alike: Latin and punctuation.
 PLAIN = regex.compile(r"[\x00-\x7f\xa1-ɏ‐-‧‰-⁞]*")
-#: White space; str.split() also cuts at four control characters, which are not.
 SPACE = regex.compile(r"\s+")
-SEPARATORS = "\x1c\x1d\x1e\x1f"
 
 
 class PairTree:
     """Minimum segment tree over the places of one word; a place holds the rank of the pair that begins there."""
 
     def __init__(self, ranks: list[int | None]):
-        self.size = 1 << max(len(ranks) - 1, 0).bit_length()
-        self.none = 1 << 62
-        leaves = [self.none if rank is None else rank * self.size + place for place, rank in enumerate(ranks)]
-        leaves += [self.none] * (self.size - len(leaves))
-        self.nodes = [self.none] * self.size + leaves
-        for at in range(self.size - 1, 0, -1):
-            self.nodes[at] = min(self.nodes[2 * at], self.nodes[2 * at + 1])
+        self.size = size = 1 << max(len(ranks) - 1, 0).bit_length()
+        self.none = none = 1 << 62
+        level = [none if rank is None else rank * size + place for place, rank in enumerate(ranks)]
+        level += [none] * (size - len(level))
+        levels = [level]
+        while len(level) > 1:
+            level = list(map(min, level[::2], level[1::2]))
+            levels.append(level)
+        # Node i has the children 2 i and 2 i + 1; the root is node 1.
+        self.nodes = [none]
+        for level in reversed(levels):
+            self.nodes += level
 
     def least(self) -> int | None:
         """The place of the leftmost pair of the lowest rank."""
@@ -63,13 +65,15 @@ class PairTree:
     def put(self, place: int, rank: int | None) -> None:
         """Set a place's rank, and the path above it as far as it changes."""
         nodes, at = self.nodes, self.size + place
-        nodes[at] = self.none if rank is None else rank * self.size + place
+        nodes[at] = value = self.none if rank is None else rank * self.size + place
         while at > 1:
+            beside = nodes[at ^ 1]
+            if beside < value:
+                value = beside
             at >>= 1
-            least = min(nodes[2 * at], nodes[2 * at + 1])
-            if nodes[at] == least:
+            if nodes[at] == value:
                 return
-            nodes[at] = least
+            nodes[at] = value
 
 
 class Codec:
@@ -86,88 +90,93 @@ class Codec:
             or split["pattern"] != {"Regex": WORDS}
         ):
             raise ValueError("not a vocabulary of lower-case words with word ends")
-        self.end = model["end_of_word_suffix"] or ""
-        self.vocabulary: dict[str, int] = model["vocab"]
+        end, number = model["end_of_word_suffix"] or "", model["vocab"]
         pairs = [pair if isinstance(pair, list) else pair.split(" ") for pair in model["merges"]]
-        number = self.vocabulary
         self.merges = {(number[a], number[b]): (rank, number[a + b]) for rank, (a, b) in enumerate(pairs)}
+        self.inner, self.last = [number[c] for c in CHARACTERS], [number[c + end] for c in CHARACTERS]
+        self.bytes = {c: b for b, c in enumerate(CHARACTERS)}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        names = {i: t for t, i in (self.vocabulary | self.special).items()}
+        names = {i: t for t, i in (number | self.special).items()}
         self.names = pa.array([names.get(i) for i in range(max(names) + 1)], pa.string())
         self.library = Tokenizer.from_str(data.decode())
-        self.words = regex.compile(WORDS)
-        self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
+        self.words = regex.compile(WORDS).findall
+        self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         self.seen: dict[str, bytes] = {}
 
-    def merge(self, word: str) -> list[int]:
-        """The ids of a word given as the characters that stand for its bytes."""
-        ids: list[int | None] = [self.vocabulary[c] for c in word[:-1]] + [self.vocabulary[word[-1] + self.end]]
+    def merge(self, word: bytes) -> list[int]:
+        """The ids of a word."""
+        ids: list[int | None] = [self.inner[b] for b in word]
+        ids[-1] = self.last[word[-1]]
         n, known = len(ids), self.merges.get
         if n == 1:
             return ids
-        pairs = [known(pair) for pair in zip(ids, ids[1:])]
+        pairs = list(map(known, zip(ids, ids[1:])))
         tree = PairTree([p and p[0] for p in pairs])
+        put, nodes, none, size = tree.put, tree.nodes, tree.none, tree.size
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        while (at := tree.least()) is not None:
+        while nodes[1] != none:
+            at = nodes[1] % size
             gone = after[at]
             ids[at], ids[gone] = pairs[at][1], None
             after[at] = behind = after[gone]
-            if gone < n - 1:
-                tree.put(gone, None)
             if behind < n:
                 before[behind] = at
-            pairs[at] = known((ids[at], ids[behind])) if behind < n else None
-            tree.put(at, pairs[at] and pairs[at][0])
-            if (left := before[at]) >= 0:
-                pairs[left] = known((ids[left], ids[at]))
-                tree.put(left, pairs[left] and pairs[left][0])
+                put(gone, None)
+                pairs[at] = pair = known((ids[at], ids[behind]))
+                put(at, pair and pair[0])
+            else:
+                put(at, None)
+            left = before[at]
+            if left >= 0:
+                pairs[left] = pair = known((ids[left], ids[at]))
+                put(left, pair and pair[0])
         return [i for i in ids if i is not None]
 
-    def split(self, piece: str) -> list[str]:
-        """The words of a piece without white space, as the characters that stand for their bytes."""
-        if PLAIN.fullmatch(piece):
-            return ["".join([CHARACTERS[b] for b in word.encode()]) for word in self.words.findall(unicodedata.normalize("NFC", piece).lower())]
-        return [word for word, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(piece))]
-
-    def _learn(self, piece: str) -> bytes:
-        ids: list[int] = []
-        for part in self.cut.split(piece) if self.cut else [piece]:
-            if part in self.special:
-                ids.append(self.special[part])
-            elif part:
-                for word in self.split(part):
-                    ids += self.merge(word)
-        return np.array(ids, "<i4").tobytes()
-
-    def _pieces(self, pieces: list[str]) -> bytes:
-        seen = self.seen
-        try:
-            return b"".join([seen[p] for p in pieces])
-        except KeyError:
-            pass
-        parts = []
-        for piece in pieces:
-            found = seen.get(piece)
-            if found is None:
-                found = self._learn(piece)
-                if len(piece) <= LONGEST:
-                    if len(seen) >= REMEMBERED:
-                        seen.clear()
-                    seen[piece] = found
-            parts.append(found)
-        return b"".join(parts)
+    def _library_words(self, piece: str) -> list[str]:
+        words = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(piece))
+        return [bytes([self.bytes[c] for c in word]).decode() for word, _ in words]
+
+    def split(self, text: str) -> list[str]:
+        """The lower-case words of a text without special tokens."""
+        if PLAIN.fullmatch(text):
+            return self.words(text.lower())
+        words = []
+        for piece in SPACE.split(text):
+            words += self.words(piece.lower()) if PLAIN.fullmatch(piece) else self._library_words(piece)
+        return words
+
+    def _ids(self, text: str) -> bytes:
+        words, seen = self.split(text), self.seen
+        fresh = set(words).difference(seen)
+        if not fresh:
+            return b"".join([seen[w] for w in words])
+        if len(seen) + len(fresh) > REMEMBERED:
+            seen.clear()
+            fresh = set(words)
+        for word in fresh:
+            ids = self.merge(word.encode())
+            seen[word] = struct.pack(f"<{len(ids)}i", *ids)
+        found = b"".join([seen[w] for w in words])
+        for word in fresh:
+            if len(word) > LONGEST or len(fresh) > REMEMBERED:
+                del seen[word]
+        return found
+
+    def _section(self, text: str) -> bytes:
+        if not any(token in text for token in self.special):
+            return self._ids(text)
+        parts = self.cut.split(text)
+        return b"".join([struct.pack("<i", self.special[p]) if p in self.special else self._ids(p) for p in parts if p])
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian 32-bit integers."""
-        cut = SPACE.split if any(c in text for c in SEPARATORS) else str.split
         if len(text) <= SLICE:
-            return self._pieces(cut(text) if cut is str.split else [p for p in cut(text) if p])
+            return self._section(text)
         parts, begin = [], 0
         while begin < len(text):
             space = SPACE.search(text, min(begin + SLICE, len(text)))
             upto = space.end() if space else len(text)
-            part = text[begin:upto]
-            parts.append(self._pieces([p for p in (part.split() if cut is str.split else SPACE.split(part)) if p]))
+            parts.append(self._section(text[begin:upto]))
             begin = upto
         return b"".join(parts)
 
