@@ -6,9 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobtide.llm import embedding_dedup, fingerprints, language_id, mixing, sharding, simhash_anchors, suffix_dedup, toxicity, warc_zip
+from jobtide.llm import embedding_dedup, fingerprints, language_id, merkle, mixing, prefix_trie, sharding, simhash_anchors, suffix_dedup, toxicity, warc_zip
 from jobtide.llm.byte_bpe import Vocabulary
-from jobtide.llm.common import fold, staging_path, table
+from jobtide.llm.common import fold, staged, staging_path, table
 from jobtide.llm.word_bpe import WordVocabulary
 
 
@@ -76,6 +76,20 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.classify(docs, "text", dictionaries, F.col("doc_id"), F.col("held_out"))
 
 
+def op11_path_copying(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = merkle.document_manifest(table(spark, sf_dir, "documents"))
+    root = F.lit(manifest.root).cast("string")
+    return manifest.versions().select(
+        F.col("id").alias("doc_id"), "leaf", "subroot", root.alias("root"), F.col("proof").alias("proof_sha256"), F.col("folded").alias("folded_root"),
+        (F.col("folded") == root).alias("verified"),
+    )
+
+
+def op12_burst_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = staged(prefix_trie.ordered_turns(table(spark, sf_dir, "conversations")), "turns")
+    return prefix_trie.trie(prefix_trie.lent_beginnings(turns))
+
+
 def op13_pair_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = WordVocabulary(spark, public_tokenizers.path("word_bpe_49k.json"))
     coded = vocabulary.encode(table(spark, sf_dir, "documents"), "text", F.col("doc_id"))
@@ -96,6 +110,8 @@ QUERIES = {
     "op8_raking": op8_raking,
     "op9_itq_embeddings": op9_itq_embeddings,
     "op10_language_id": op10_language_id,
+    "op11_path_copying": op11_path_copying,
+    "op12_burst_trie": op12_burst_trie,
     "op13_pair_tree": op13_pair_tree,
 }
-SQL: dict[str, str] = {"op8_raking": mixing.mixing_sql()}
+SQL: dict[str, str] = {"op8_raking": mixing.mixing_sql(), "op11_path_copying": merkle.manifest_sql(), "op12_burst_trie": prefix_trie.trie_sql()}
