@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -16,6 +17,10 @@ from pyspark.sql.types import StructType
 from jobtide.session import shared_dir, ship_package
 
 
+#: Rows and bytes that travel to a Python worker at a time: Spark's defaults, and what is set in their place.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "4000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8m")}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -68,11 +73,28 @@ def discard(df: DataFrame) -> None:
 
 
 def prepare(spark: SparkSession) -> int:
-    """Ship the code to the Python workers; the number of shuffle partitions."""
+    """Ship the code to the Python workers and keep Arrow batches small; the number of shuffle partitions.
+
+    Batches are held by the JVM and by Python at once. A size that the session has set stays.
+    """
     ship_package(spark)
+    for setting, (default, smaller) in BATCH.items():
+        if spark.conf.get(setting, default) == default:
+            spark.conf.set(setting, smaller)
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def by_bytes(batches: Iterator[pa.RecordBatch], column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices whose texts, in the column of that number, have about ``most`` bytes; one row at least."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends, begin = np.cumsum(sizes), 0
+        while begin < batch.num_rows:
+            upto = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + most)))
+            yield batch.slice(begin, upto - begin)
+            begin = upto
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 20_000) -> Iterator[pa.Table]:
     """Tables of whole key groups out of batches that are sorted by ``keys``."""
     held: list[pa.RecordBatch] = []

@@ -92,8 +92,7 @@ def op12_burst_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op13_pair_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = WordVocabulary(spark, public_tokenizers.path("word_bpe_49k.json"))
-    coded = vocabulary.encode(table(spark, sf_dir, "documents"), "text", F.col("doc_id"))
-    return vocabulary.decode(coded, "ids", F.col("doc_id"), F.col("ids")).select(
+    return vocabulary.encode(table(spark, sf_dir, "documents"), "text", F.col("doc_id"), decoded="decoded").select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )

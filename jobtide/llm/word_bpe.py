@@ -28,10 +28,10 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from jobtide.llm.byte_bpe import CHARACTERS
-from jobtide.llm.common import extended, prepare
+from jobtide.llm.common import by_bytes, extended, prepare
 
 #: Words that a worker remembers, and the longest of them in characters.
-REMEMBERED, LONGEST = 400_000, 64
+REMEMBERED, LONGEST = 250_000, 64
 #: Characters of text, and ids, worked on at a time.
 SLICE = 1 << 20
 #: What splits words; the file must state the same pattern.
@@ -213,39 +213,40 @@ class WordVocabulary:
         self.digest = hashlib.sha256(data).hexdigest()
         self.data = spark.sparkContext.broadcast(data)
 
-    def _by_row(self, df: DataFrame, work: Column, keep: tuple[Column, ...], name: str, kind: str, run) -> DataFrame:
-        kept = df.select(*keep).drop(name)
+    def _by_row(self, df: DataFrame, work: Column, keep: tuple[Column, ...], added: dict[str, str], run) -> DataFrame:
+        kept = df.select(*keep).drop(*added)
         given = "work"
-        while given in kept.columns or given == name:
+        while given in kept.columns or given in added:
             given += "_"
-        rows = df.select(*keep, work.alias(given)).drop(name)
-        schema = extended(kept.schema, f"`{name}` {kind}")
+        rows = df.select(*keep, work.alias(given)).drop(*added)
+        schema = extended(kept.schema, ", ".join(f"`{name}` {kind}" for name, kind in added.items()))
         digest, data = self.digest, self.data
 
         def apply(batches):
             codec = _codec(digest, data)
             for batch in batches:
                 for part, values in run(codec, batch):
-                    yield pa.RecordBatch.from_arrays([*part.columns[:-1], values], names=schema.names)
+                    yield pa.RecordBatch.from_arrays([*part.columns[:-1], *values], names=schema.names)
 
         return rows.mapInArrow(apply, schema)
 
-    def encode(self, df: DataFrame, text: str, *keep: Column, name: str = "ids") -> DataFrame:
+    def encode(self, df: DataFrame, text: str, *keep: Column, name: str = "ids", decoded: str | None = None) -> DataFrame:
         """The columns ``keep`` and the ids of the whole text as an array of integers.
 
         A null or empty text, and one of white space, has no ids: an empty array. Rows keep their order and number;
-        repeated rows and empty tables need no care. A column of ``keep`` called ``name`` is replaced.
+        repeated rows and empty tables need no care. A column of ``keep`` called ``name`` is replaced. With ``decoded``
+        the text of the ids comes as a further column of that name, as ``decode`` gives it, from the same worker.
         """
 
         def run(codec, batch):
-            texts = batch.column(batch.num_columns - 1)
-            for begin, upto in _portions(pc.binary_length(texts).to_numpy(zero_copy_only=False), 4 * SLICE):
-                part = batch.slice(begin, upto - begin)
+            for part in by_bytes([batch], batch.num_columns - 1):
                 coded = [codec.encode(t) for t in part.column(part.num_columns - 1).to_pylist()]
                 starts = np.concatenate([[0], np.cumsum([len(c) // 4 for c in coded])]).astype(np.int32)
-                yield part, pa.ListArray.from_arrays(starts, pa.array(np.frombuffer(b"".join(coded), "<i4")))
+                ids = pa.ListArray.from_arrays(starts, pa.array(np.frombuffer(b"".join(coded), "<i4")))
+                yield part, [ids, codec.decode(ids).cast(pa.string())] if decoded else [ids]
 
-        return self._by_row(df, F.coalesce(F.col(text), F.lit("")), keep, name, "array<int>", run)
+        added = {name: "array<int>"} | ({decoded: "string"} if decoded else {})
+        return self._by_row(df, F.coalesce(F.col(text), F.lit("")), keep, added, run)
 
     def decode(self, df: DataFrame, ids: str, *keep: Column, name: str = "decoded") -> DataFrame:
         """The columns ``keep`` and the text of the ids: tokens, their word ends included, joined by blanks.
@@ -257,7 +258,7 @@ class WordVocabulary:
             lists = batch.column(batch.num_columns - 1)
             for begin, upto in _portions(pc.list_value_length(lists).to_numpy(zero_copy_only=False), SLICE):
                 part = batch.slice(begin, upto - begin)
-                yield part, codec.decode(part.column(part.num_columns - 1)).cast(pa.string())
+                yield part, [codec.decode(part.column(part.num_columns - 1)).cast(pa.string())]
 
         empty = F.array().cast("array<int>")
-        return self._by_row(df, F.coalesce(F.col(ids), empty), keep, name, "string", run)
+        return self._by_row(df, F.coalesce(F.col(ids), empty), keep, {name: "string"}, run)

@@ -101,6 +101,9 @@ def test_tables_with_nulls_and_clashing_columns(spark, library, monkeypatch):
     for r in found:
         want = library.encode(r.text or "", add_special_tokens=False).ids
         assert r.ids == want and r.decoded == library.decode(want, skip_special_tokens=False)
+    both = vocabulary.encode(df, "text", *map(F.col, df.columns), decoded="decoded")
+    assert both.columns == ["doc_id", "text", "_codec_input", "ids", "decoded"]
+    assert sorted(map(str, both.select(back.columns).collect())) == sorted(map(str, found))
     assert vocabulary.encode(df.limit(0), "text", F.col("doc_id")).count() == 0
     none = spark.createDataFrame([(1, None)], "doc_id int, ids array<int>")
     assert vocabulary.decode(none, "ids", F.col("doc_id")).collect()[0].decoded == ""
