@@ -32,8 +32,8 @@ ASSOCIATION, PURITY = 30.0, 0.98
 #: Texts that a feature must occur in to get a weight.
 FEATURE_TEXTS = 4
 ROUNDS, RATE, PENALTY = 50, 0.5, 3e-4
-#: Tokens whose marginals are computed at once, and tokens of context where a longer text is cut.
-BLOCK_TOKENS, CONTEXT = 400_000, 200
+#: Tokens whose marginals are computed at once; the blocks of a longer text hand their vectors on.
+BLOCK_TOKENS = 400_000
 REMEMBERED = 500_000
 
 
@@ -42,8 +42,8 @@ def features(word: str) -> list[str]:
     return [word, *(word[:k] + "*" for k in PREFIXES if len(word) > k)]
 
 
-def _scan(first: np.ndarray, change: np.ndarray, state: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Normalised forward vectors (n, 2) of chains laid end to end.
+def _scan(first: np.ndarray, change: np.ndarray, state: np.ndarray, starts: np.ndarray, before: tuple[float, float] = (0.5, 0.5)) -> np.ndarray:
+    """Normalised forward vectors (n, 2) of chains laid end to end; ``before`` is the one before the first position, if that starts no chain.
 
     ``state`` (n, 2) are the state factors, ``change`` (2, 2) the change factors and ``first`` (2) those of a chain's
     first state; ``starts`` marks the first positions. The positions are cut into about sqrt(n) blocks: products of
@@ -67,7 +67,7 @@ def _scan(first: np.ndarray, change: np.ndarray, state: np.ndarray, starts: np.n
         running = running[:, 0, None] * m[None, 0] + running[:, 1, None] * m[None, 1]
         running /= running.max(axis=(0, 1))
         products[at] = running
-    entry, (u, v) = np.empty((2, blocks)), (0.5, 0.5)
+    entry, (u, v) = np.empty((2, blocks)), before
     for k, ((a, b), (c, d)) in enumerate(products[-1].transpose(2, 0, 1).tolist()):
         entry[:, k] = u, v
         u, v = u * a + v * c, u * b + v * d
@@ -77,12 +77,47 @@ def _scan(first: np.ndarray, change: np.ndarray, state: np.ndarray, starts: np.n
     return forward / forward.sum(axis=1, keepdims=True)
 
 
+def _states(score: np.ndarray) -> np.ndarray:
+    half = np.clip(score, -60, 60) / 2
+    return np.exp(np.stack([-half, half], axis=1))
+
+
+def chained_marginals(score: np.ndarray, change: np.ndarray, block: int) -> np.ndarray:
+    """Marginals of the toxic state of one chain of any length, worked on in blocks.
+
+    The forward vector at each block's end is handed to the next block, the backward vector at its begin to the one
+    before: the same marginals as in one piece, with the memory of a block.
+    """
+    factors, ones = np.exp(change), np.ones(2)
+    begins = range(0, len(score), block)
+    entries: list[np.ndarray] = [np.array([0.5, 0.5])]
+    for begin in begins:
+        state = _states(score[begin : begin + block])
+        starts = np.zeros(len(state), bool)
+        starts[0] = not begin
+        entries.append(_scan(ones, factors, state, starts, tuple(entries[-1]))[-1])
+    marginal, following = np.empty(len(score)), None
+    for begin, entry in zip(reversed(begins), reversed(entries[:-1])):
+        state = _states(score[begin : begin + block])
+        starts, ends = np.zeros(len(state), bool), np.zeros(len(state), bool)
+        starts[0], ends[0] = not begin, following is None
+        alpha = _scan(ones, factors, state, starts, tuple(entry))
+        beta = _scan(ones, factors.T, state[::-1], ends, (0.5, 0.5) if following is None else tuple(following))[::-1]
+        message = np.ones_like(beta)
+        message[:-1] = beta[1:] @ factors.T
+        if following is not None:
+            message[-1] = factors @ following
+        both = alpha * message
+        marginal[begin : begin + block] = both[:, 1] / both.sum(axis=1)
+        following = beta[0]
+    return marginal
+
+
 def forward_backward(score: np.ndarray, change: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Marginals of the toxic state (n), and the expected number of each change of state (2, 2)."""
     if not len(score):
         return np.zeros(0), np.zeros((2, 2))
-    half = np.clip(score, -60, 60) / 2
-    state = np.exp(np.stack([-half, half], axis=1))
+    state = _states(score)
     factors = np.exp(change)
     ones = np.ones(2)
     alpha = _scan(ones, factors, state, starts)
@@ -216,17 +251,6 @@ class Tagger:
             self.seen[w] = self.field.word_score(w)
         return list(map(self.seen.__getitem__, words))
 
-    def _long(self, scores: list[float]) -> np.ndarray:
-        """Marginals of a text of more than BLOCK_TOKENS tokens: overlapping pieces, of which the context is dropped."""
-        parts = []
-        for begin in range(0, len(scores), BLOCK_TOKENS):
-            low, high = max(0, begin - CONTEXT), min(len(scores), begin + BLOCK_TOKENS + CONTEXT)
-            starts = np.zeros(high - low, bool)
-            starts[0] = True
-            marginal, _ = forward_backward(np.array(scores[low:high]), self.field.change, starts)
-            parts.append(marginal[begin - low : begin - low + BLOCK_TOKENS])
-        return np.concatenate(parts)
-
     def marginals(self, texts: list[str]) -> list[np.ndarray]:
         """Toxic marginals of every word of every text."""
         out: list[np.ndarray] = [np.zeros(0)] * len(texts)
@@ -246,7 +270,7 @@ class Tagger:
         for i, text in enumerate(texts):
             own = self.scores(WORD.findall(text.lower()))
             if len(own) > BLOCK_TOKENS:
-                out[i] = self._long(own)
+                out[i] = chained_marginals(np.array(own), self.field.change, BLOCK_TOKENS)
             elif own:
                 held.append((i, len(own)))
                 scores += own
