@@ -1,7 +1,9 @@
 """Mixing documents to target weights by iterative proportional fitting.
 
 Tokens are summed by source, language and topic. The weights of these cells are raked until the weighted tokens have
-the target shares in each dimension; a document is then drawn with a probability in proportion to its cell's weight.
+the target shares in each dimension. A document is expected as often as its cell's weight says: the whole part of that
+number gives copies, the rest is the probability of one more. Rare categories are repeated, so no probability has to
+be cut off at one and the drawn tokens have the target shares too.
 """
 
 from __future__ import annotations
@@ -14,8 +16,8 @@ from pyspark.sql import functions as F
 #: The category of everything that a target does not name, nulls included.
 REST = "*"
 ROUNDS = 20
-#: Share of all tokens that a draw keeps in expectation.
-KEEP = 0.6
+#: Tokens that a draw holds in expectation, as a share of all tokens.
+KEEP = 1.0
 DIMENSIONS = ("source", "lang", "topic")
 
 #: Production targets: what share of the tokens each category should have.
@@ -75,47 +77,78 @@ def rake(cells: Mapping[tuple[str, ...], float], targets: Sequence[Mapping[str,
     return weights
 
 
-def probabilities(cells: Mapping[tuple[str, ...], float], weights: Mapping[tuple[str, ...], float], keep: float = KEEP) -> dict[tuple[str, ...], float]:
-    """min(1, scale * weight), scaled so that ``keep`` of all tokens are expected, or all with a weight if they are fewer."""
-    wanted = keep * sum(cells.values())
-    order = sorted((c for c in cells if weights[c] > 0), key=lambda c: (-weights[c], c))
-    certain, left = 0.0, sum(weights[c] * cells[c] for c in order)
-    scale = float("inf")
-    for c in order:
-        # With the cells so far certain, the others share what is left of the wanted tokens.
-        scale = (wanted - certain) / left if left > 0 else float("inf")
-        if scale * weights[c] <= 1:
-            break
-        certain += cells[c]
-        left -= weights[c] * cells[c]
-        scale = float("inf")
-    return {c: min(1.0, scale * weights[c]) if weights[c] > 0 else 0.0 for c in cells}
+def deviation(cells: Mapping[tuple[str, ...], float], weights: Mapping[tuple[str, ...], float], targets: Sequence[Mapping[str, float]]) -> float:
+    """How far the weighted shares are from the targets at most; targets that tokens can't meet never come near zero."""
+    total = sum(weights[c] * t for c, t in cells.items())
+    worst = 0.0
+    for k, shares in enumerate(targets):
+        present = {c[k] for c, t in cells.items() if t > 0}
+        whole = sum(shares[name] for name in present)
+        for name in present if total and whole else ():
+            reached = sum(weights[c] * t for c, t in cells.items() if c[k] == name) / total
+            worst = max(worst, abs(reached - shares[name] / whole))
+    return worst
 
 
 def mix(
     docs: DataFrame, sources: Mapping[str, float] = SOURCES, langs: Mapping[str, float] = LANGS, topics: Mapping[str, float] = TOPICS,
     keep: float = KEEP, rounds: int = ROUNDS, doc_id: str = "doc_id", text: str = "text",
 ) -> DataFrame:
-    """``docs`` with _tokens, _source, _lang, _topic, _weight, _probability and _sampled.
+    """``docs`` with _tokens, _source, _lang, _topic, _weight, _expected, _copies and _sampled.
 
     Targets name categories of source, lang and topic; everything else, nulls too, counts as ``*``. They bound the
-    cells, which are raked here. A row is sampled if a number drawn from its id is below its probability: repeated
-    rows and rows that share an id and a cell are kept or left together. Texts without tokens count nothing and have
-    the probability of their cell, 0 if no text of the cell has tokens. An empty table gives no rows. Columns called
+    cells, which are raked here. ``_expected`` is ``keep`` times the weight; a row is drawn ``_copies`` times, the
+    whole part of that and once more if a number drawn from its id is below the rest, and sampled if that is not
+    zero. Repeated rows and rows that share an id and a cell are drawn alike. Texts without tokens count nothing and
+    are expected like their cell, never if no text of the cell has tokens. An empty table gives no rows. Columns called
     like the added ones are replaced.
     """
-    targets = [t if REST in t else {**t, REST: 0.0} for t in (sources, langs, topics)]
+    targets = _with_rest(sources, langs, topics)
     rows = classified(docs, targets, text)
-    keys = ["_source", "_lang", "_topic"]
-    summed = rows.groupBy(*keys).agg(F.sum("_tokens").alias("n")).collect()  # at most one row for each combination of named categories
-    cells = {tuple(r[k] for k in keys): float(r["n"]) for r in summed}
+    cells = cell_tokens(rows)
     weights = rake(cells, targets, rounds)
-    chance = probabilities(cells, weights, keep)
     table = docs.sparkSession.createDataFrame(
-        [(*c, weights[c], chance[c]) for c in sorted(cells)], "_source string, _lang string, _topic string, _weight double, _probability double"
+        [(*c, weights[c], keep * weights[c]) for c in sorted(cells)], "_source string, _lang string, _topic string, _weight double, _expected double"
     )
-    joined = rows.drop("_weight", "_probability").join(F.broadcast(table), keys)
-    return joined.withColumn("_sampled", draw(doc_id) < F.col("_probability"))
+    joined = rows.drop("_weight", "_expected").join(F.broadcast(table), CELL)
+    whole = F.floor("_expected")
+    copies = whole + F.when(draw(doc_id) < F.col("_expected") - whole, 1).otherwise(0)
+    return joined.withColumn("_copies", copies.cast("int")).withColumn("_sampled", F.col("_copies") > 0)
+
+
+CELL = ["_source", "_lang", "_topic"]
+
+
+def _with_rest(*targets: Mapping[str, float]) -> list[Mapping[str, float]]:
+    return [t if REST in t else {**t, REST: 0.0} for t in targets]
+
+
+def cell_tokens(rows: DataFrame) -> dict[tuple[str, ...], float]:
+    """Tokens of each cell: at most one row for each combination of named categories reaches the driver."""
+    summed = rows.groupBy(*CELL).agg(F.sum("_tokens").alias("n")).collect()
+    return {tuple(r[k] for k in CELL): float(r["n"]) for r in summed}
+
+
+def reached(
+    mixed: DataFrame, sources: Mapping[str, float] = SOURCES, langs: Mapping[str, float] = LANGS, topics: Mapping[str, float] = TOPICS
+) -> DataFrame:
+    """dimension, category, target, raked and drawn: the shares of tokens that weights and draw have reached.
+
+    Targets of categories without tokens are spread over the others. Without any tokens there are no rows.
+    """
+    sums = [F.sum("_tokens").alias("n"), F.sum(F.col("_tokens") * F.col("_weight")).alias("w"), F.sum(F.col("_tokens") * F.col("_copies")).alias("d")]
+    cells = [r.asDict() for r in mixed.groupBy(*CELL).agg(*sums).collect()]  # as many as there are cells
+    out = []
+    for name, shares in zip(CELL, _with_rest(sources, langs, topics)):
+        by: dict[str, list[float]] = {}
+        for r in cells:
+            total = by.setdefault(r[name], [0.0, 0.0, 0.0])
+            for i, k in enumerate("nwd"):
+                total[i] += float(r[k])
+        present = {c: t for c, t in by.items() if t[0] > 0}
+        whole, raked, drawn = sum(shares[c] for c in present), sum(t[1] for t in present.values()), sum(t[2] for t in present.values())
+        out += [(name[1:], c, shares[c] / whole if whole else 0.0, t[1] / raked if raked else 0.0, t[2] / drawn if drawn else 0.0) for c, t in sorted(present.items())]
+    return mixed.sparkSession.createDataFrame(out, "dimension string, category string, target double, raked double, drawn double")
 
 
 def _cte(shares: Mapping[str, float]) -> str:
@@ -144,11 +177,9 @@ def mixing_sql(documents: str = "documents", keep: float = KEEP, rounds: int = R
         FROM w{step} JOIN m{step} USING ({d}) JOIN target_{d} ON name = {d}, total)"""
             )
             step += 1
-    # Cells in descending order of weight are certain until the scale of the others takes none of them beyond 1.
-    parts += [
-        f"ranked AS (SELECT *, coalesce(sum(n) OVER o, 0) AS certain, (SELECT sum(w * n) FROM w{step}) - coalesce(sum(w * n) OVER o, 0) AS remaining FROM w{step} WHERE w > 0 WINDOW o AS (ORDER BY w DESC, s, l, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))",
-        f"scaled AS (SELECT min((({keep} * total) - certain) / remaining) AS scale FROM ranked, total WHERE (({keep} * total) - certain) / remaining * w <= 1 AND certain = (SELECT min(certain) FROM ranked, total WHERE (({keep} * total) - certain) / remaining * w <= 1))",
-        f"chance AS (SELECT s, l, t, w, CASE WHEN w > 0 THEN least(1.0, coalesce(scale * w, 1.0)) ELSE 0 END AS p FROM w{step}, scaled)",
-    ]
+    parts.append(f"expected AS (SELECT s, l, t, w, {keep!r} * w AS e FROM w{step})")
     number = "('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8))::BIGINT / 4294967296.0"
-    return f"WITH {', '.join(parts)} SELECT doc_id, n AS n_tokens, s AS source_group, l AS lang_group, t AS topic, round(w, 6) AS weight, round(p, 6) AS probability, {number} < p AS sampled FROM docs JOIN chance USING (s, l, t)"
+    return (
+        f"WITH {', '.join(parts)} SELECT doc_id, n AS n_tokens, s AS source_group, l AS lang_group, t AS topic, round(w, 6) AS weight, round(e, 6) AS expected, "
+        f"(floor(e) + CASE WHEN {number} < e - floor(e) THEN 1 ELSE 0 END)::INTEGER AS copies FROM docs JOIN expected USING (s, l, t)"
+    )

@@ -45,9 +45,12 @@ def op5_suffix_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, _ = sharding.shard_documents(table(spark, sf_dir, "documents"), folder=staging_path(spark, "slots"))
-    return rows.select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot",
+    folder = staging_path(spark, "slots")
+    rows, _ = sharding.shard_documents(table(spark, sf_dir, "documents"), folder=folder)
+    # The stored map is edited for one more shard; next_shard is where a row goes then.
+    edited = sharding.rebalance_stored(spark, folder, shards=9)
+    return sharding.placed(rows, edited, "next_shard").select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "next_shard",
     )
 
 
@@ -61,8 +64,8 @@ def op8_raking(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select(
         "doc_id", F.col("_tokens").cast("long").alias("n_tokens"), F.col("_source").alias("source_group"), F.col("_lang").alias("lang_group"),
-        F.col("_topic").alias("topic"), F.round("_weight", 6).alias("weight"), F.round("_probability", 6).alias("probability"),
-        F.col("_sampled").alias("sampled"),
+        F.col("_topic").alias("topic"), F.round("_weight", 6).alias("weight"), F.round("_expected", 6).alias("expected"),
+        F.col("_copies").alias("copies"),
     )
 
 

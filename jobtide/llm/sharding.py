@@ -23,10 +23,10 @@ class SlotMap:
     shards: int
     shard_of: dict[int, int]
 
-    def save(self, spark: SparkSession, folder: str) -> None:
-        """Add this version to the folder; a version that exists is an error."""
-        rows = [(s, k, self.shards) for s, k in sorted(self.shard_of.items())]
-        spark.createDataFrame(rows, "slot int, shard int, shards int").coalesce(1).write.mode("error").parquet(f"{folder}/version={self.version}")
+    def save(self, spark: SparkSession, folder: str, size: dict[int, int] | None = None) -> None:
+        """Add this version, and the bytes of each slot it was made for, to the folder; a version that exists is an error."""
+        rows = [(s, k, self.shards, (size or {}).get(s, 0)) for s, k in sorted(self.shard_of.items())]
+        spark.createDataFrame(rows, "slot int, shard int, shards int, bytes long").coalesce(1).write.mode("error").parquet(f"{folder}/version={self.version}")
 
     @staticmethod
     def load(spark: SparkSession, folder: str, version: int) -> SlotMap:
@@ -34,6 +34,25 @@ class SlotMap:
         return SlotMap(version, rows[0]["shards"], {r["slot"]: r["shard"] for r in rows})
 
 
+def rebalance_stored(spark: SparkSession, folder: str, shards: int, size: dict[int, int] | None = None) -> SlotMap:
+    """Edit the newest map of a folder for ``shards`` shards, add it as the next version and return it as loaded.
+
+    ``size`` are the bytes of each slot now; if not given, those stored with the map.
+    """
+    newest = spark.read.parquet(folder).agg(F.max("version")).first()[0]
+    if size is None:
+        size = {r["slot"]: r["bytes"] for r in spark.read.parquet(f"{folder}/version={newest}").collect()}
+    rebalanced(SlotMap.load(spark, folder, newest), size, shards).save(spark, folder, size)
+    return SlotMap.load(spark, folder, newest + 1)
+
+
+def placed(rows: DataFrame, slot_map: SlotMap, name: str = "shard") -> DataFrame:
+    """Rows with the shard that a map gives to their virtual_slot, as column ``name``."""
+    table = rows.sparkSession.createDataFrame(sorted(slot_map.shard_of.items()), f"virtual_slot int, `{name}` int")
+    # One row per slot: bounded by the number of slots.
+    return rows.join(F.broadcast(table), "virtual_slot")
+
+
 def loads(shard_of: dict[int, int], size: dict[int, int], shards: int) -> list[int]:
     total = [0] * shards
     for slot, shard in shard_of.items():
@@ -117,8 +136,9 @@ def shard_documents(docs: DataFrame, shards: int = 8, slots: int = SLOTS, doc_id
     """
     rows = with_slots(docs, doc_id, text, slots)
     sizes = slot_sizes(rows)
-    slot_map = first_map({s: b for s, (b, _) in sizes.items()}, shards, slots)
+    size = {s: b for s, (b, _) in sizes.items()}
+    slot_map = first_map(size, shards, slots)
     if folder:
-        slot_map.save(docs.sparkSession, folder)
+        slot_map.save(docs.sparkSession, folder, size)
         slot_map = SlotMap.load(docs.sparkSession, folder, slot_map.version)
     return assign(rows, slot_map, {s: n for s, (_, n) in sizes.items()}), slot_map
