@@ -26,13 +26,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobtide.llm.common import discard, extended, prepare, release, staged, utf8
+from jobtide.llm.common import by_bytes, discard, extended, prepare, release, staged, utf8
 from jobtide.llm.lcp_sort import BLOCKS, ENTRY, make_runs, merge_ranges
 
 LENGTH = 400
 #: Bytes whose hash orders positions, and bytes of text worked on at a time.
 GRAM, CHUNK = 16, 1 << 20
 POSITION = (1 << 24) - 1
+#: Units whose windows are spelled out at a time, and answers that are put into one batch.
+UNIT_ROWS, ANSWER_ROWS = 500, 10_000
 ROLL, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 REPEATED = "k1 long, k2 long, at long, starts int"
 #: A unit at a passage's end: its dense core, what stands before and after it, and whether its windows are in question.
@@ -123,7 +125,7 @@ def cores(texts: DataFrame, length: int) -> DataFrame:
     chunk = CHUNK
 
     def apply(batches):
-        for batch in batches:
+        for batch in by_bytes(batches, 0):
             own = batch.column(0).to_pylist()
             keys = [text_key(t) for t in own]
             for array, data, places in _pieces(own, length, chunk):
@@ -146,7 +148,7 @@ def cores(texts: DataFrame, length: int) -> DataFrame:
 def _units(batches, length: int, chunk: int) -> Iterator[tuple[list[bytes], np.ndarray]]:
     """Units of candidate windows, out of rows of text, number of copies and repeated cores."""
     stretch = dense_stretch(length)
-    for batch in batches:
+    for batch in by_bytes(batches, 0):
         own, copies, repeated = (batch.column(i).to_pylist() for i in range(3))
         keys = [text_key(t) for t in own]
         wanted = [np.sort(np.array(r, np.int64)) for r in repeated]
@@ -185,13 +187,14 @@ def _windows(batches, length: int) -> Iterator[tuple[list[bytes], np.ndarray]]:
     """The windows of units at passage ends, their core replaced by its hash."""
     core_size = length - dense_stretch(length)
     for batch in batches:
-        strings, entries = [], []
-        for row in batch.to_pylist():
-            before, after, n = row["before"], row["after"], len(row["before"])
-            for j in range(row["starts"]):
-                strings.append(row["core"] + bytes([min(n - j, 255), (n - j) >> 8]) + before[j:] + after[: j + length - n - core_size])
-                entries.append((not row["asked"], row["asked"], row["k1"], row["k2"], row["at"] + j, 1, 0))
-        yield strings, np.array(entries, ENTRY)
+        for begin in range(0, batch.num_rows, UNIT_ROWS):
+            strings, entries = [], []
+            for row in batch.slice(begin, UNIT_ROWS).to_pylist():
+                before, after, n = row["before"], row["after"], len(row["before"])
+                for j in range(row["starts"]):
+                    strings.append(row["core"] + bytes([min(n - j, 255), (n - j) >> 8]) + before[j:] + after[: j + length - n - core_size])
+                    entries.append((not row["asked"], row["asked"], row["k1"], row["k2"], row["at"] + j, 1, 0))
+            yield strings, np.array(entries, ENTRY)
 
 
 def _judged(merged: Iterator) -> Iterator[tuple[bytes, tuple, bool]]:
@@ -220,7 +223,7 @@ def settle_units(length: int):
                 rows.append((k1, k2, at, starts, None, None, None, False))
             core = xxhash.xxh3_128_digest(string[anchor : anchor + core_size])
             rows.append((k1, k2, at, starts, core, string[:anchor], string[anchor + core_size :], asked and not settled))
-            if len(rows) >= 50_000:
+            if len(rows) >= ANSWER_ROWS:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds.values())], names=list(kinds))
                 rows = []
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(kinds), kinds.values())], names=list(kinds))
@@ -232,7 +235,7 @@ def settle_windows(merged) -> Iterator[pa.RecordBatch]:
     """Answers of the second sort: repeated windows."""
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32())
     repeated = ((k1, k2, at, starts) for _, (twin, asked, k1, k2, at, starts, _), again in _judged(merged) if asked and (twin or again))
-    while found := list(islice(repeated, 50_000)):
+    while found := list(islice(repeated, ANSWER_ROWS)):
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), kinds)], names=["k1", "k2", "at", "starts"])
 
 
@@ -248,11 +251,16 @@ def _answered(blocks: DataFrame) -> DataFrame:
     return blocks.filter("block < 0").select("entries").mapInArrow(apply, REPEATED)
 
 
-def keyed(docs: DataFrame, text: str, *keep: Column) -> DataFrame:
-    """The columns ``keep``, the text's bytes as ``data`` and its 128-bit key."""
+def key_of(text: str) -> dict[str, Column]:
+    """The halves k1 and k2 of a text's 128-bit key."""
     part = lambda at: F.conv(F.substring(F.md5(utf8(text)), at, 8), 16, 10).cast("long")
     half = lambda at: F.shiftleft(part(at), 32).bitwiseOR(part(at + 8))
-    return docs.select(*keep, utf8(text).alias("data"), half(1).alias("k1"), half(17).alias("k2"))
+    return {"k1": half(1), "k2": half(17)}
+
+
+def keyed(docs: DataFrame, text: str, *keep: Column) -> DataFrame:
+    """The columns ``keep``, the text's bytes as ``data`` and its 128-bit key."""
+    return docs.select(*keep, utf8(text).alias("data"), *[c.alias(n) for n, c in key_of(text).items()])
 
 
 def repeated_windows(docs: DataFrame, text: str, length: int = LENGTH) -> DataFrame:
@@ -302,6 +310,41 @@ def covered(runs: list[dict], size: int, length: int) -> list[tuple[int, int]]:
     return [(a, min(b, size)) for a, b in spans]
 
 
+def _cut(data: list[bytes], runs: list, copies: list, length: int) -> tuple[list[list[tuple[int, int]]], list[bytes]]:
+    """Spans to remove, and the bytes that stay, of each text."""
+    spans = [[(0, len(d))] if c and len(d) >= length else covered(r or [], len(d), length) for d, r, c in zip(data, runs, copies)]
+    kept = [b"".join([d[a:b] for a, b in zip([0, *(e for _, e in s)], [*(a for a, _ in s), len(d)])]) for d, s in zip(data, spans)]
+    return spans, kept
+
+
+def cut_passages(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
+    """``docs`` with the repeated passages cut out of the text column; all else as it was.
+
+    Rows without a repeat stay in the JVM and keep their text, null or not, as it is; only the others pass through
+    Python, a few at a time. Characters that lose some of their bytes go; a text that repeats as a whole becomes empty.
+    Columns of any name may be there; a text column of another name is given by ``text``. No rows give no rows.
+    """
+    found = repeated_windows(docs, text, length)
+    names = docs.columns
+    key = [F.col(k).alias(f"_{k}") for k in ("k1", "k2")]
+    keyed_docs = docs.select("*", *[c.alias(f"_{n}") for n, c in key_of(text).items()])
+    at = names.index(text)
+
+    def apply(batches):
+        for batch in by_bytes(batches, at):
+            data = [t.encode() for t in batch.column(at).to_pylist()]
+            runs, copies = (batch.column(i).to_pylist() for i in (len(names), len(names) + 1))
+            _, kept = _cut(data, runs, copies, length)
+            columns = batch.columns[: len(names)]
+            columns[at] = pa.array([k.decode(errors="ignore") for k in kept], pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    spans = found.select(*key, F.col("runs").alias("_runs"), F.col("copies").alias("_copies"))
+    touched = keyed_docs.join(spans, ["_k1", "_k2"]).select(*names, "_runs", "_copies")
+    whole = keyed_docs.join(spans.select("_k1", "_k2"), ["_k1", "_k2"], "left_anti").select(*names)
+    return whole.union(touched.mapInArrow(apply, docs.schema))
+
+
 def remove_repeats(docs: DataFrame, text: str, *keep: Column, length: int = LENGTH) -> DataFrame:
     """The columns ``keep``, n_bytes, spans (start, end), kept (the remaining bytes) and kept_text, row by row.
 
@@ -317,17 +360,12 @@ def remove_repeats(docs: DataFrame, text: str, *keep: Column, length: int = LENG
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def apply(batches):
-        for batch in batches:
-            for begin in range(0, batch.num_rows, 1000):
-                part = batch.slice(begin, 1000)
-                data, runs, copies = (part.column(i).to_pylist() for i in range(len(names), len(names) + 3))
-                spans = [
-                    [(0, len(d))] if c and len(d) >= length else covered(r or [], len(d), length) for d, r, c in zip(data, runs, copies)
-                ]
-                kept = [b"".join(d[a:b] for a, b in zip([0, *(e for _, e in s)], [*(a for a, _ in s), len(d)])) for d, s in zip(data, spans)]
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns[: len(names)], pa.array(map(len, data), pa.int64()), pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], kind), pa.array(kept, pa.binary()), pa.array([k.decode(errors="ignore") for k in kept])],
-                    names=schema.names,
-                )
+        for part in by_bytes(batches, len(names)):
+            data, runs, copies = (part.column(i).to_pylist() for i in range(len(names), len(names) + 3))
+            spans, kept = _cut(data, runs, copies, length)
+            yield pa.RecordBatch.from_arrays(
+                [*part.columns[: len(names)], pa.array(map(len, data), pa.int64()), pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], kind), pa.array(kept, pa.binary()), pa.array([k.decode(errors="ignore") for k in kept])],
+                names=schema.names,
+            )
 
     return joined.mapInArrow(apply, schema)

@@ -17,7 +17,10 @@ def test_stages_keep_columns_and_take_effect(spark):
         docs = staged(stage(spark, docs, SF_DIR), name)
         assert docs.columns == columns
         counts.append(docs.count())
-    assert counts == sorted(counts, reverse=True) and counts[2] < counts[1]
+    assert counts[:4] == sorted(counts[:4], reverse=True) and counts[2] < counts[1]
+    # Drawn to weights, some rows go and some come more than once, each as it was.
+    drawn = docs.groupBy("doc_id").count().collect()
+    assert len(drawn) < counts[3] and max(r["count"] for r in drawn) > 1
     tokens = corpus_pipeline.encode(spark, docs, SF_DIR).collect()
     assert len(tokens) == counts[-1] and all(r.round_trip for r in tokens)
 
@@ -47,10 +50,12 @@ def test_registered_query_returns_every_row(spark, name):
     found = queries.QUERIES[name](spark, SF_DIR)
     source = {"op1_warc_zip": "pages", "op9_itq_embeddings": "embeddings"}.get(name, "documents")
     rows = found.collect()
-    assert len(rows) == table(spark, SF_DIR, source).count()
+    if name != "op12_burst_trie":
+        assert len(rows) == table(spark, SF_DIR, source).count()
     if name in queries.SQL:
         con = duckdb.connect()
-        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF_DIR}/documents.parquet'")
+        for view in ("documents", "conversations"):
+            con.execute(f"CREATE VIEW {view} AS SELECT * FROM '{SF_DIR}/{view}.parquet'")
         result = con.execute(queries.SQL[name])
         names = [d[0] for d in result.description]
         assert sorted(tuple(r[c] for c in names) for r in rows) == sorted(result.fetchall())

@@ -2,7 +2,9 @@
 
 import hashlib
 import random
+import re
 import struct
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -10,6 +12,7 @@ import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
 from jobtide.llm import (
@@ -259,6 +262,27 @@ def test_fingerprints_edits_and_neighbours(spark):
     assert sorted(str(r.doc_id) for r in fingerprints.fingerprint_edits(frame(spark, ["a", "a", "b"], [None, 3, 3])).collect()) == ["3", "3", "None"]
 
 
+def test_fingerprint_bits_equal_plain_votes(spark):
+    """Votes and bits again outside Spark; only the terms' hashes come from it."""
+    random.seed(12)
+    texts = [" ".join(random.choices([*WORDS, "É", "x1", "extraordinarilylong"], k=random.randint(0, 80))) for _ in range(30)] + ["", None, "one", "- ! -"]
+    words = sorted({w for t in texts for w in re.split(r"[^\w]+", (t or "").lower())} | {""})
+    hashes = {r.w: r.h % (1 << 64) for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
+
+    def print_of(text):
+        votes, total = [0] * 64, 0
+        for w in re.split(r"[^\w]+", text.lower()):
+            weight = min(len(w), 12)
+            total += weight
+            for b in range(64):
+                votes[b] += weight * (hashes[w] >> b & 1)
+        return sum(1 << b for b in range(64) if 2 * votes[b] > total)
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for r in fingerprints.simhash(df, ["i"], "t").collect():
+        assert r.fingerprint % (1 << 64) == print_of(texts[r.i] or "")
+
+
 def test_permuted_tables_hold_every_pair_once():
     tables = fingerprints.permuted_tables(6, 3)
     rng = random.Random(1)
@@ -320,6 +344,36 @@ def test_repeats_between_pieces_of_one_text(spark, monkeypatch, chunk):
     assert cover[0].sum() >= 300 and cover[2].sum() >= 180
 
 
+def test_passages_just_below_and_above_the_length(spark):
+    """Passages of over fifty words: one of 399 bytes stays, one of 400 and one of 401 go; n_bytes is that of the whole text."""
+    rng = random.Random(11)
+    plain = lambda n: " ".join(rng.randbytes(3).hex() for _ in range(n // 7 + 1))[:n]
+    passages = [plain(n) for n in (399, 400, 401)]
+    assert all(len(p.split()) > 50 for p in passages)
+    texts = [f"{plain(120)}{a}{p}{b}{plain(150)}" for p in passages for a, b in ("<>", "[]")]
+    found = {r.doc_id: r for r in suffix_dedup.remove_repeats(frame(spark, texts), "text", F.col("doc_id")).collect()}
+    for i, text in enumerate(texts):
+        passage, row = passages[i // 2], found[i]
+        assert row.n_bytes == len(text)
+        assert bytes(row.kept).decode() == (text if len(passage) < 400 else text.replace(passage, ""))
+
+
+def test_cut_passages_leaves_all_else_as_it_was(spark):
+    rng = random.Random(13)
+    words = lambda n: " ".join(rng.randbytes(4).hex() for _ in range(n))
+    passage, accents = words(40), "é" * 130
+    texts = [words(60), f"{words(30)} {passage} {words(5)}", f"{passage}", None, "", "short", "short", words(90), f"x{accents}y", f"q{accents}"]
+    texts += [texts[0], texts[0]]
+    df = frame(spark, texts).withColumn("_k", F.lit("kept"))
+    got = {r.doc_id: r for r in suffix_dedup.cut_passages(df, "text", 200).collect()}
+    plain = {r.doc_id: r for r in suffix_dedup.remove_repeats(df, "text", F.col("doc_id"), length=200).collect()}
+    assert len(got) == len(texts) and suffix_dedup.cut_passages(df, "text", 200).columns == df.columns
+    for i, text in enumerate(texts):
+        assert got[i].text == (text if not plain[i].spans else plain[i].kept_text) and got[i].bits == "x" and got[i]["_k"] == "kept"
+    assert got[3].text is None and got[0].text == got[10].text == "" and passage not in got[1].text
+    assert suffix_dedup.cut_passages(frame(spark, []), "text", 200).count() == 0
+
+
 def test_repeats_a_piece_apart(spark):
     rng = random.Random(5)
     passage, long = rng.randbytes(200).hex(), rng.randbytes(1_100_000).hex()
@@ -400,8 +454,40 @@ def test_registered_shards_come_from_the_stored_map(spark, monkeypatch):
     loaded, load = [], sharding.SlotMap.load
     monkeypatch.setattr(sharding.SlotMap, "load", staticmethod(lambda *at: loaded.append((at[2], load(*at))) or loaded[-1][1]))
     rows = queries.op6_virtual_slots(spark, "/root/testdata/sf0.001").collect()
-    ((version, slot_map),) = loaded
-    assert version == 1 and all(slot_map.shard_of[r.virtual_slot] == r.shard for r in rows)
+    versions = dict(loaded)
+    assert set(versions) == {1, 2} and all(versions[1].shard_of[r.virtual_slot] == r.shard for r in rows)
+    # Version 2 is the stored map edited for a ninth shard: rows move into it alone.
+    assert all(versions[2].shard_of[r.virtual_slot] == r.next_shard for r in rows)
+    moved = {(r.shard, r.next_shard) for r in rows if r.shard != r.next_shard}
+    assert moved and {after for _, after in moved} == {8}
+    sizes = [sum(r["size"] for r in rows if r.next_shard == k) for k in range(9)]
+    assert max(sizes) - min(sizes) <= max(r["size"] for r in rows) + 0.02 * sum(sizes)
+
+
+def test_shards_equal_brute_force(spark):
+    """Sizes, checksums and places out of the stored map and the rows alone."""
+    random.seed(17)
+    texts = ["é" * random.randint(0, 40) for _ in range(150)] + [None, "", "same", "same"]
+    ids = [*range(150), 150, 151, 152, 152]
+    rows, slot_map = sharding.shard_documents(frame(spark, texts, ids), 5, 64)
+    got = rows.collect()
+    data = [(i, (t or "").encode()) for i, t in zip(ids, texts)]
+    assert sorted((r.doc_id, r["size"], r.text_crc32) for r in got) == sorted((i, len(d) + 1, zlib.crc32(d)) for i, d in data)
+    by_shard: dict = {}
+    for r in got:
+        assert r.shard == slot_map.shard_of[r.virtual_slot]
+        by_shard.setdefault(r.shard, []).append((r.virtual_slot, r.doc_id, r["size"], r.text_crc32, r.slot))
+    for own in by_shard.values():
+        assert [x[4] for x in sorted(own)] == list(range(len(own)))
+    # Largest slot to the emptiest shard, by hand.
+    size = {}
+    for r in got:
+        size[r.virtual_slot] = size.get(r.virtual_slot, 0) + r["size"]
+    total = [0] * 5
+    for slot in sorted(range(64), key=lambda x: (-size.get(x, 0), x)):
+        shard = min(range(5), key=lambda k: (total[k], k))
+        assert slot_map.shard_of[slot] == shard
+        total[shard] += size.get(slot, 0)
 
 
 def test_rebalancing_moves_few_slots():
@@ -448,12 +534,41 @@ def test_toxic_spans_and_scores(spark, monkeypatch):
     rows = toxicity.tag(frame(spark, texts), field, "text", F.struct("*").alias("doc")).orderBy("doc.doc_id").collect()
     assert [r.predicted for r in rows] == [1, 1, 0, 0, 0, 0, 1]
     assert [(s.start, s.end) for s in rows[0].spans] == [(10, 16)] and rows[3].score == rows[4].score == 0.0
-    whole = toxicity.Tagger(field).marginals([texts[6]])[0]
-    monkeypatch.setattr(toxicity, "BLOCK_TOKENS", 500)
-    assert np.allclose(toxicity.Tagger(field).marginals([texts[6]])[0], whole)
+    long = [texts[6], " ".join(random.Random(3).choices([*WORDS, "vilest", "wretchmoon"], k=2000))]
+    whole = [toxicity.Tagger(field).marginals([t])[0] for t in long]
+    for block in (1, 7, 500, 1999):
+        monkeypatch.setattr(toxicity, "BLOCK_TOKENS", block)
+        for t, w in zip(long, whole):
+            assert np.allclose(toxicity.Tagger(field).marginals([t])[0], w, rtol=1e-9, atol=1e-12)
     assert toxicity.tag(frame(spark, []), field, "text", F.col("doc_id")).count() == 0
 
 
+def test_scores_and_labels_equal_plain_products(spark):
+    """Every score again by sums over both states, position by position, without blocks or scans."""
+    field = toxicity.fit(*toxic_texts(2, 60))
+    rng = random.Random(9)
+    texts = [" ".join(rng.choices([*WORDS, "vilest", "Wretchmoon", "wretch", "42", "?"], k=rng.randint(0, 25))) for _ in range(40)] + ["", None]
+    change = np.exp(field.change)
+
+    def score(text):
+        words = re.findall(r"[^\W\d_]+", (text or "").lower())
+        state = [np.exp(np.array([-1, 1]) * min(max(field.word_score(w), -60), 60) / 2) for w in words]
+        best = 0.0
+        for at in range(len(words)):
+            forward, backward = state[0], np.ones(2)
+            for s in state[1 : at + 1]:
+                forward = forward @ change * s
+            for s in state[:at:-1]:
+                backward = change @ (backward * s)
+            both = forward * backward
+            best = max(best, both[1] / both.sum())
+        return best
+
+    for r in toxicity.tag(frame(spark, texts), field, "text", F.col("doc_id")).collect():
+        want = score(texts[r.doc_id])
+        assert r.score == pytest.approx(want, rel=1e-9) and r.predicted == int(want >= 0.5)
+
+
 def test_labels_of_one_kind_find_nothing_toxic():
     field = toxicity.fit(["alpha beta"], [0])
     assert toxicity.Tagger(field).marginals(["alpha beta"])[0].max() < 0.01
@@ -477,8 +592,25 @@ def test_raking_meets_the_targets():
     for k, shares in enumerate([{"a": 0.7, "b": 0.3}, {"x": 0.5, "y": 0.5}, {"p": 0.2, "q": 0.8}]):
         for name, share in shares.items():
             assert sum(weights[c] * n for c, n in cells.items() if c[k] == name) == pytest.approx(share * total)
-    chance = mixing.probabilities(cells, weights, 0.6)
-    assert sum(chance[c] * cells[c] for c in cells) == pytest.approx(0.6 * total) and max(chance.values()) <= 1
+    assert mixing.deviation(cells, weights, targets) < 1e-9
+    assert mixing.deviation(cells, dict.fromkeys(cells, 1.0), targets) > 0.1
+
+
+def test_drawn_marginals_meet_the_targets(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    mixed = mixing.mix(docs)
+    cells = mixing.cell_tokens(mixed)
+    targets = [mixing.SOURCES, mixing.LANGS, mixing.TOPICS]
+    # Twenty rounds are enough: a thousand more change nothing.
+    weights = mixing.rake(cells, targets)
+    assert mixing.deviation(cells, weights, targets) < 1e-12
+    assert mixing.rake(cells, targets, 1000) == pytest.approx(weights, rel=1e-9)
+    for r in mixing.reached(mixed).collect():
+        assert r.raked == pytest.approx(r.target, abs=1e-9)
+        # A thousand documents, single ones of which hold one part in a hundred.
+        assert r.drawn == pytest.approx(r.target, abs=0.015), r
+    rows = mixed.select("_expected", "_copies", "_sampled").collect()
+    assert all(r._copies in (int(r._expected), int(r._expected) + 1) and r._sampled == (r._copies > 0) for r in rows)
 
 
 def test_mixing_odd_rows(spark):
@@ -487,8 +619,9 @@ def test_mixing_odd_rows(spark):
         "doc_id long, text string, lang string, source string",
     )
     rows = mixing.mix(docs).collect()
-    assert len(rows) == 5 and len({(r._probability, r._sampled) for r in rows if r.doc_id == 1}) == 1
-    assert all(0 <= r._probability <= 1 for r in rows) and mixing.mix(docs.limit(0)).count() == 0
+    assert len(rows) == 5 and len({(r._expected, r._copies) for r in rows if r.doc_id == 1}) == 1
+    assert all(r._expected >= 0 for r in rows) and mixing.mix(docs.limit(0)).count() == 0
+    assert mixing.reached(mixing.mix(docs.limit(0))).count() == 0
 
 
 # Embeddings
@@ -525,6 +658,26 @@ def test_crowded_buckets_are_dealt_out(spark):
 # Languages
 
 
+def test_languages_equal_recomputed_sizes(spark):
+    """Every decision again from the sizes that the library gives for each piece."""
+    rng = random.Random(4)
+    stems = {"aa": ["kra", "lom", "dis"], "bb": ["vel", "tor", "pin"], "cc": ["kra", "tor", "sus"]}
+    rows = [(i, " ".join(rng.choices(w, k=40)), lang, "x") for lang, w in stems.items() for i in range(20)]
+    dictionaries = language_id.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string, score string"), "text", "lang")
+    texts = [" ".join(rng.choices(sum(stems.values(), []), k=rng.randint(1, 900))) for _ in range(60)] + ["É", "kra"]
+    coders = {
+        name: zstandard.ZstdCompressor(
+            level=language_id.LEVEL, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_checksum=False, write_content_size=False
+        )
+        for name, d in dictionaries.items()
+    }
+    for r in language_id.classify(frame(spark, texts), "text", dictionaries, F.col("doc_id")).collect():
+        text = texts[r.doc_id].lower()
+        sizes = {n: sum(len(c.compress(text[i : i + 1024].encode())) for i in range(0, len(text), 1024)) for n, c in coders.items()}
+        (least, best), (second, _) = sorted((size, name) for name, size in sizes.items())[:2]
+        assert r.lang_pred == best and r.score == pytest.approx(1 - least / second) and r.reliable == (r.score >= language_id.MARGIN)
+
+
 def test_language_by_compression(spark):
     rng = random.Random(1)
     one, two = "der die das und nicht eine".split(), "the and not with from this".split()
