@@ -29,17 +29,17 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages that stand anywhere else as well; n_chars follows. Rows of which nothing is left go."""
-    cut = suffix_dedup.remove_repeats(docs.select("text", F.struct("*").alias("doc")), "text", F.col("doc"), length=PASSAGE_BYTES)
-    whole = F.size("spans") == 0
-    left = cut.filter(whole | F.col("kept_text").rlike(r"\S"))
-    changed = F.col("doc").withField("text", F.col("kept_text")).withField("n_chars", F.length("kept_text").cast(docs.schema["n_chars"].dataType))
-    return left.select(F.when(whole, F.col("doc")).otherwise(changed).alias("doc")).select("doc.*")
+    blank = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"\S")
+    cut = suffix_dedup.cut_passages(docs.withColumns({"_before": F.length("text"), "_blank": blank}), "text", PASSAGE_BYTES)
+    n_chars = F.when(F.length("text") != F.col("_before"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return cut.filter(F.col("_blank") | F.col("text").rlike(r"\S")).withColumn("n_chars", n_chars).select(*docs.columns)
 
 
 def sample_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows drawn by probabilities that are raked to the target shares of sources, languages and topics."""
+    """Rows drawn to the target shares of sources, languages and topics; a row that is drawn several times is repeated."""
     mixed = mixing.mix(docs.select("doc_id", "text", "source", "lang", F.struct("*").alias("doc")))
-    return mixed.filter("_sampled").select("doc.*")
+    drawn = mixed.filter("_sampled").select("doc", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return drawn.select("doc.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
