@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from jobtide.functions.text import JS_SPACES, col, jtrim, regex_escape
+from jobtide.functions.text import col, jtrim, quoted
+
+
+def whole_word(term: Column | str) -> Column:
+    """Pattern that finds a term as a whole word, whatever its case."""
+    return F.concat(F.lit(r"(?i)\b"), quoted(jtrim(term)), F.lit(r"\b"))
 
 
 def matches_title(title: Column | str, terms: Column | list[str]) -> Column:
@@ -15,26 +18,22 @@ def matches_title(title: Column | str, terms: Column | list[str]) -> Column:
 
     No terms keep every row, an empty title is dropped, an empty term never
     matches. A list of terms becomes constant patterns; an array column is
-    matched per row.
+    matched per row. For many terms see ``operators.terms``.
     """
     title = col(title)
     has_title = F.coalesce(title != "", F.lit(False))
     if isinstance(terms, list):
         if not terms:
             return F.lit(True)
-        hits = [
-            title.rlike(r"(?i)\b" + re.sub(r"([.*+?^${}()|\[\]\\])", r"\\\1", t.strip(JS_SPACES)) + r"\b")
-            for t in terms
-            if t
-        ]
+        # Patterns of literals are folded into constants.
+        hits = [F.rlike(title, whole_word(F.lit(t))) for t in terms if t]
         found = hits[0] if hits else F.lit(False)
         for hit in hits[1:]:
             found = found | hit
         return F.when(has_title, found).otherwise(False)
 
     def hit(term: Column) -> Column:
-        pattern = F.concat(F.lit(r"(?i)\b"), regex_escape(jtrim(term)), F.lit(r"\b"))
-        return F.coalesce(term != "", F.lit(False)) & F.rlike(title, pattern)
+        return F.coalesce(term != "", F.lit(False)) & F.rlike(title, whole_word(term))
 
     no_terms = F.coalesce(F.size(terms) <= 0, F.lit(True))
     return F.when(no_terms, True).when(has_title, F.exists(terms, hit)).otherwise(False)

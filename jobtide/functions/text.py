@@ -50,8 +50,9 @@ def append_note(existing: Column | str, addition: Column | str) -> Column:
     return F.when(addition.isNull(), existing).otherwise(joined)
 
 
-def regex_escape(text: Column | str) -> Column:
-    return F.regexp_replace(col(text), r"([.*+?^${}()|\[\]\\])", r"\\$1")
+def quoted(text: Column | str) -> Column:
+    """A text as a pattern that matches it literally: quoted from \\Q to \\E, an inner \\E on its own."""
+    return F.concat(F.lit("\\Q"), F.replace(col(text), F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
 
 
 def lookup(table: dict[str, str], key: Column) -> Column:

@@ -11,13 +11,13 @@ from jobtide.functions.scoring import share
 from jobtide.functions.text import norm_key
 
 
-def _date(day: str | dt.date) -> dt.date:
+def as_date(day: str | dt.date) -> dt.date:
     return day if isinstance(day, dt.date) else dt.date.fromisoformat(day)
 
 
 def as_of(jobs: DataFrame, day: str | dt.date) -> DataFrame:
     """Jobs first seen before the end of the day; the bound reaches the scan."""
-    bound = _date(day) + dt.timedelta(days=1)
+    bound = as_date(day) + dt.timedelta(days=1)
     return jobs.filter(F.col("first_seen_at") < F.lit(str(bound)).cast("timestamp_ntz"))
 
 
@@ -32,7 +32,7 @@ def _total(jobs: DataFrame, day: str | dt.date) -> Column:
 def _finish(counts: DataFrame, jobs: DataFrame, day: str | dt.date, dim: str) -> DataFrame:
     rest = [c for c in counts.columns if c not in (dim, "job_count")]
     return counts.select(
-        F.lit(_date(day)).alias("metric_date"),
+        F.lit(as_date(day)).alias("metric_date"),
         dim,
         "job_count",
         share(F.col("job_count"), _total(jobs, day)).alias("demand_percentage"),
@@ -44,7 +44,7 @@ def daily_market_metrics(jobs: DataFrame, day: str | dt.date) -> DataFrame:
     # The distinct count is planned as a two-level aggregate; NULL companies
     # and NULL applicants drop out of their aggregates.
     return as_of(jobs, day).agg(
-        F.lit(_date(day)).alias("metric_date"),
+        F.lit(as_date(day)).alias("metric_date"),
         F.count(F.lit(1)).alias("total_jobs"),
         F.count_distinct("company").alias("unique_companies"),
         F.avg("applicants").alias("average_applicants"),
@@ -128,30 +128,28 @@ def daily_role_metrics(job_roles: DataFrame, roles: DataFrame, jobs: DataFrame,
     one row per text. A role without an entry, or a target that is itself
     merged, fails the query.
     """
-    texts = (
-        _known(job_roles, jobs, day)
-        .filter("actual_role IS NOT NULL")
-        .groupBy("actual_role")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("normalized_name", norm_key("actual_role"))
-    )
+    texts = _known(job_roles, jobs, day).filter("actual_role IS NOT NULL").groupBy("actual_role").agg(F.count(F.lit(1)).alias("n"))
+    return _finish(role_counts(texts, roles), jobs, day, "role")
+
+
+def role_counts(texts: DataFrame, roles: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """job_count per role after merges, out of counts ``n`` per role text (and the columns ``by``)."""
     bad = F.when(F.col("role").isNull(), "actual role without a roles row: ").when(
         F.col("multi_hop"), "role resolved to a merged role: "
     )
     checked = (
-        texts.join(final_roles(roles), "normalized_name", "left")
+        texts.withColumn("normalized_name", norm_key("actual_role"))
+        .join(final_roles(roles), "normalized_name", "left")
         .withColumn(
             "role",
             F.when(bad.isNotNull(), F.raise_error(F.concat(bad, "actual_role"))).otherwise(F.col("role")),
         )
     )
-    counts = checked.groupBy("role").agg(F.sum("n").alias("job_count"))
-    return _finish(counts, jobs, day, "role")
+    return checked.groupBy(*(by or []), "role").agg(F.sum("n").alias("job_count"))
 
 
 def entry_mid_share(job_roles: DataFrame, labels: list[str]) -> DataFrame:
-    """Share of entry and mid level jobs over all dates, NULL without any."""
-    total = F.count(F.lit(1))
-    return job_roles.filter("seniority IS NOT NULL").agg(
-        (F.count_if(F.col("seniority").isin(labels)) / F.nullif(total, F.lit(0)) * 100).alias("accessible_pct")
-    )
+    """Share of entry and mid level jobs over all dates, NULL without any. A column ``n`` counts for so many rows."""
+    n = F.col("n") if "n" in job_roles.columns else F.lit(1)
+    inside = F.coalesce(F.sum(F.when(F.col("seniority").isin(labels), n)), F.lit(0))
+    return job_roles.filter("seniority IS NOT NULL").agg((inside / F.nullif(F.sum(n), F.lit(0)) * 100).alias("accessible_pct"))

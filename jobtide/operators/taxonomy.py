@@ -19,13 +19,17 @@ from jobtide import fixed
 from jobtide.functions.names import capability_rule
 from jobtide.functions.text import blank_to_null, norm_key, nullify_literal_null
 from jobtide.operators.firsts import first_per_key
+from jobtide.sources.documents import stage
 
 
 def follow_merges(roles: DataFrame, max_hops: int = fixed.MAX_MERGE_HOPS) -> DataFrame:
     """(id, final_id, final_name, hops, error) for every role.
 
-    Only merged roles take part in the joins; a missing target or a chain
-    longer than ``max_hops`` (a cycle, for one) becomes an error row.
+    Only merged roles take part. A row knows where a number of hops leads; two
+    such rows put together know twice as many, so the joins follow the
+    logarithm of the hop limit, and each round's closure is stored. A missing
+    target or a chain longer than ``max_hops`` (a cycle, for one) becomes an
+    error row.
     """
     active = roles.filter("merged_into_id IS NULL").select(
         "id",
@@ -34,37 +38,45 @@ def follow_merges(roles: DataFrame, max_hops: int = fixed.MAX_MERGE_HOPS) -> Dat
         F.lit(0).alias("hops"),
         F.lit(None).cast("string").alias("error"),
     )
-    walk = roles.filter("merged_into_id IS NOT NULL").select(
-        "id",
-        F.col("merged_into_id").alias("at"),
-        F.col("merged_into_id").alias("next"),
-        F.lit(None).cast("string").alias("at_name"),
-        F.lit(0).alias("hops"),
-        F.lit(False).alias("lost"),
+    merged = roles.filter("merged_into_id IS NOT NULL").select("id", F.col("merged_into_id").alias("target"))
+    targets = roles.select(
+        F.col("id").alias("target"), F.col("name").alias("at_name"), F.col("merged_into_id").alias("next"), F.lit(True).alias("found")
     )
-    step = roles.select(
-        F.col("id").alias("step_id"), F.col("name").alias("step_name"), F.col("merged_into_id").alias("step_next")
+    # One hop. ``at`` is the role reached, ``next`` where it is merged into; a lost row has no target to hop to.
+    found = F.coalesce("found", F.lit(False))
+    closure = stage(
+        merged.join(targets, "target", "left").select(
+            "id", F.when(found, F.col("target")).otherwise(F.col("id")).alias("at"), "at_name", "next",
+            found.cast("int").alias("hops"), (~found).alias("lost"),
+        )
     )
-    for _ in range(max_hops):
+    known = 1
+    while known <= max_hops:
+        further = closure.toDF(*[f"far_{c}" for c in closure.columns])
         moving = F.col("next").isNotNull() & ~F.col("lost")
-        found = F.col("step_id").isNotNull()
-        walk = walk.join(step, _spread(F.when(moving, F.col("next")), ["id"]) == F.col("step_id"), "left").select(
-            "id",
-            F.when(moving & found, F.col("step_id")).otherwise(F.col("at")).alias("at"),
-            F.when(moving & found, F.col("step_next")).otherwise(F.col("next")).alias("next"),
-            F.when(moving & found, F.col("step_name")).otherwise(F.col("at_name")).alias("at_name"),
-            F.when(moving & found, F.col("hops") + 1).otherwise(F.col("hops")).alias("hops"),
-            (F.col("lost") | (moving & ~found)).alias("lost"),
+        joined = closure.join(further, _spread(F.when(moving, F.col("at")), ["id"]) == F.col("far_id"), "left")
+        # A row that moves reaches a merged role, which has a row of its own.
+        closure = stage(
+            joined.select(
+                "id",
+                F.when(moving, F.col("far_at")).otherwise(F.col("at")).alias("at"),
+                F.when(moving, F.coalesce("far_at_name", "at_name")).otherwise(F.col("at_name")).alias("at_name"),
+                F.when(moving, F.col("far_next")).otherwise(F.col("next")).alias("next"),
+                F.when(moving, F.col("hops") + F.col("far_hops")).otherwise(F.col("hops")).alias("hops"),
+                (F.col("lost") | (moving & F.col("far_lost"))).alias("lost"),
+            )
         )
-    error = F.when(F.col("lost"), "missing_target").when(F.col("next").isNotNull(), "too_many_hops")
-    merged = walk.select(
+        known *= 2
+    too_long = F.col("next").isNotNull() & ~F.col("lost") | (F.col("hops") + F.col("lost").cast("int") > max_hops)
+    error = F.when(too_long, "too_many_hops").when(F.col("lost"), "missing_target")
+    ended = closure.select(
         "id",
         F.when(error.isNull(), F.col("at")).alias("final_id"),
         F.when(error.isNull(), F.col("at_name")).alias("final_name"),
-        "hops",
+        F.least("hops", F.lit(max_hops)).alias("hops"),
         error.alias("error"),
     )
-    return active.unionByName(merged)
+    return active.unionByName(ended)
 
 
 def _spread(key: Column, columns: list[str]) -> Column:
@@ -76,14 +88,14 @@ def _spread(key: Column, columns: list[str]) -> Column:
 
 
 def active_canon(canon: DataFrame) -> DataFrame:
-    """Canonical rows with ``final_id, final_name, error`` after role merges."""
+    """Canonical rows with ``final_id, final_name, error`` after role merges, stored: every consumer reads the result."""
     roles = canon.filter("dimension = 'role'")
     finals = follow_merges(roles).drop("hops")
     others = canon.filter("dimension <> 'role'").withColumns(
         {"final_id": F.col("id"), "final_name": F.col("name"), "error": F.lit(None).cast("string")}
     )
     columns = ["dimension", "id", "name", "normalized_name", "final_id", "final_name", "error"]
-    return roles.join(finals, "id").select(*columns).unionByName(others.select(*columns))
+    return stage(roles.join(finals, "id").select(*columns).unionByName(others.select(*columns)))
 
 
 def alias_integrity(aliases: DataFrame, canon: DataFrame) -> DataFrame:
@@ -109,6 +121,9 @@ def resolve_taxonomy(
     ``strict`` such a row fails the query.
     """
     known = active_canon(canon)
+    # A value is resolved once, however many rows hold it.
+    key = ["dimension", "raw_value"]
+    distinct = values.select(*key).distinct()
     raw, dimension = F.col("raw_value"), F.col("dimension")
     exact = known.select(
         "dimension", F.col("normalized_name").alias("_key"),
@@ -128,11 +143,11 @@ def resolve_taxonomy(
     )
     rule = F.when((dimension == "capability") & ~F.col("is_dropped"), capability_rule(raw, rules))
     joined = (
-        values.withColumn("is_dropped", _dropped(raw))
+        distinct.withColumn("is_dropped", _dropped(raw))
         .withColumn("normalized_value", F.when(~F.col("is_dropped"), norm_key(raw)))
         .withColumn("rule_label", rule)
-        .withColumn("_key", _spread(F.col("normalized_value"), values.columns))
-        .withColumn("_rule_key", _spread(norm_key("rule_label"), values.columns))
+        .withColumn("_key", _spread(F.col("normalized_value"), key))
+        .withColumn("_rule_key", _spread(norm_key("rule_label"), key))
         .join(exact, ["dimension", "_key"], "left")
         .join(by_alias, ["dimension", "_key"], "left")
         .join(by_rule, "_rule_key", "left")
@@ -160,7 +175,7 @@ def resolve_taxonomy(
     resolved = (
         joined.withColumn("method", method)
         .select(
-            *values.columns,
+            *[F.col(c).alias(f"_{c}") for c in key],
             "normalized_value",
             pick("exact_id", "alias_id", F.col("rule_id")).alias("canonical_id"),
             pick("exact_name", "alias_name", F.coalesce("rule_name", "rule_label")).alias("canonical_name"),
@@ -169,6 +184,8 @@ def resolve_taxonomy(
             error.alias("error"),
         )
     )
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key]
+    resolved = values.join(resolved, same[0] & same[1]).drop(*[f"_{c}" for c in key])
     if strict:
         # In a filter, which stays in the plan whatever columns are asked for.
         failed = F.raise_error(F.concat_ws(": ", F.lit("taxonomy"), "error", "dimension", "raw_value")).cast("boolean")
@@ -243,16 +260,23 @@ def novel_values(
     return unknown.select(*resolved.columns)
 
 
-def queue_novel(
+def novel_queue_rows(
     queue: DataFrame, sightings: DataFrame, canon: DataFrame, aliases: DataFrame, now: Column,
     rules=fixed.CAPABILITY_RULES,
 ) -> DataFrame:
-    """Review queue after a batch of sightings (dimension, raw_value, job_id, file, pos)."""
+    """What a batch of sightings (dimension, raw_value, job_id, file, pos) adds to the review queue."""
     rows = review_candidates(novel_values(sightings, canon, aliases, rules), queue, ["file", "pos"])
     extra = {
         "id": F.sha2(F.concat_ws("\x1f", "dimension", "normalized_raw_value", now.cast("string")), 256),
         "created_at": now,
         "resolved_at": F.lit(None).cast("timestamp_ntz"),
     }
-    rows = rows.withColumns({k: v for k, v in extra.items() if k in queue.columns})
-    return queue.unionByName(rows.select(*queue.columns))
+    return rows.withColumns({k: v for k, v in extra.items() if k in queue.columns}).select(*queue.columns)
+
+
+def queue_novel(
+    queue: DataFrame, sightings: DataFrame, canon: DataFrame, aliases: DataFrame, now: Column,
+    rules=fixed.CAPABILITY_RULES,
+) -> DataFrame:
+    """Review queue after a batch of sightings."""
+    return queue.unionByName(novel_queue_rows(queue, sightings, canon, aliases, now, rules))

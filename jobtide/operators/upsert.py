@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobtide.operators.firsts import first_per_key
+from jobtide.sources.documents import stage
 
 Merge = Callable[[Column, Column], Column]
 
@@ -115,6 +116,17 @@ def upsert_entities(state: DataFrame, sightings: DataFrame) -> DataFrame:
     return insert_missing(state, batch, ["normalized_name"])
 
 
+def changed_names(state: DataFrame, sightings: DataFrame) -> DataFrame:
+    """normalized_name of the sightings that ``upsert_skills`` or ``upsert_entities`` would add or fill in."""
+    seen = sightings.groupBy("normalized_name")
+    if "category" not in state.columns:
+        return missing_rows(state, seen.agg(F.count(F.lit(1)).alias("_n")), ["normalized_name"]).select("normalized_name")
+    first = seen.agg(F.min_by("category", F.struct("file", "pos")).alias("category"))
+    fresh = missing_rows(state, first, ["normalized_name"]).select("normalized_name")
+    open_ = state.filter("category IS NULL").select("normalized_name")
+    return fresh.union(open_.join(first.filter("category IS NOT NULL"), "normalized_name", "left_semi"))
+
+
 def upsert_job_capabilities(state: DataFrame, job_capabilities: DataFrame) -> DataFrame:
     batch = job_capabilities.select("job_id", F.col("normalized_name").alias("capability_id")).dropDuplicates()
     return insert_missing(state, batch, ["job_id", "capability_id"])
@@ -150,24 +162,25 @@ def merge_duplicate_skills(
     Pairs of which either side is missing are ignored.
     """
     ids = skills.select(F.col("normalized_name").alias("id"))
-    pairs = (
+    # The pairs that hold are few and stored: everything below looks them up.
+    pairs = stage(
         duplicates.join(ids.withColumnRenamed("id", "duplicate_id"), "duplicate_id", "left_semi")
         .join(ids.withColumnRenamed("id", "canonical_id"), "canonical_id", "left_semi")
+        .select("duplicate_id", "canonical_id")
     )
-    gone = pairs.select(F.col("duplicate_id").alias("skill_id"))
-    targets = pairs.select(F.col("canonical_id").alias("skill_id")).distinct()
-    stay = job_skills.join(gone, "skill_id", "left_anti")
-    moved = (
-        job_skills.join(pairs.withColumnRenamed("duplicate_id", "skill_id"), "skill_id")
-        .withColumn("_from", F.col("skill_id"))
-        .withColumn("skill_id", F.col("canonical_id"))
-        .drop("canonical_id")
+    gone = pairs.select(F.col("duplicate_id").alias("skill_id")).distinct()
+    targets = pairs.select(F.col("canonical_id").alias("skill_id"), F.lit(True).alias("_target")).distinct()
+    tagged = job_skills.join(pairs.withColumnRenamed("duplicate_id", "skill_id"), "skill_id", "left").join(targets, "skill_id", "left")
+    moved = F.col("canonical_id").isNotNull()
+    # Rows of no skill involved pass by; the others meet per job and target, the canonical row first.
+    apart = tagged.filter(~moved & F.col("_target").isNull()).select(*job_skills.columns)
+    involved = tagged.filter(moved | F.col("_target")).withColumns(
+        {"_moved": moved, "_from": F.col("skill_id"), "skill_id": F.coalesce("canonical_id", "skill_id")}
     )
-    moved = first_per_key(moved, ["job_id", "skill_id"], ["_from"]).drop("_from")
-    taken = stay.join(targets, "skill_id", "left_semi").select("job_id", "skill_id")
-    moved = moved.join(taken, ["job_id", "skill_id"], "left_anti").select(*job_skills.columns)
+    kept = first_per_key(involved, ["job_id", "skill_id"], ["_moved", "_from"]).select(*job_skills.columns)
+    names = gone.withColumnRenamed("skill_id", "normalized_name")
     return (
-        stay.select(*job_skills.columns).unionByName(moved),
-        skills.join(gone.withColumnRenamed("skill_id", "normalized_name"), "normalized_name", "left_anti").select(*skills.columns),
+        apart.unionByName(kept),
+        skills.join(names, "normalized_name", "left_anti").select(*skills.columns),
         skill_metrics.join(gone, "skill_id", "left_anti").select(*skill_metrics.columns),
     )

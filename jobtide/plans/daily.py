@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import datetime as dt
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobtide.operators import daily, project, upsert
+from jobtide.operators.counts import snapshot_from_counts, snapshots_from_counts
 from jobtide.operators.health import apply_health, market_health, upsert_market_row
-from jobtide.operators.taxonomy import queue_novel
+from jobtide.operators.taxonomy import novel_queue_rows, queue_novel
 from jobtide.sources import tables
-from jobtide.sources.documents import accepted, ingest_summary, read_analysis_dir, stage_documents, statuses
+from jobtide.sources.documents import accepted, changed_files, ingest_summary, read_analysis_dir, stage, stage_documents, statuses
 
 
 def canon_of(state: dict[str, DataFrame]) -> DataFrame:
@@ -29,55 +33,131 @@ def canon_of(state: dict[str, DataFrame]) -> DataFrame:
     )
 
 
-def apply_documents(state: dict[str, DataFrame], docs: DataFrame, now: Column) -> dict[str, DataFrame]:
-    """State after a batch of accepted documents, as if read in file order."""
-    jobs = project.project_jobs(docs)
-    skills = project.project_job_skills(docs)
-    capabilities = project.project_job_capabilities(docs)
-    roles = project.project_job_roles(docs)
-    used_roles = roles.filter("actual_role IS NOT NULL").select(
-        "file", "job_id", F.lit(0).alias("pos"), F.col("actual_role").alias("name"),
-        daily.norm_key("actual_role").alias("normalized_name"),
-    )
+#: The tables that share the job buckets.
+JOB_TABLES = [name for name, key in tables.BUCKET_KEYS.items() if key in ("job_id", "external_job_id")]
 
-    def sighting(df: DataFrame, dimension: str, raw: str) -> DataFrame:
-        return df.select(F.lit(dimension).alias("dimension"), F.col(raw).alias("raw_value"), "job_id", "file", "pos")
 
-    sightings = (
-        sighting(skills, "skill", "name")
-        .unionByName(sighting(capabilities, "capability", "raw_value"))
-        .unionByName(sighting(used_roles, "role", "name"))
-    )
-    queue = queue_novel(
-        state["taxonomy_review_queue"], sightings, canon_of(state), state["taxonomy_aliases"], now
-    )
-    return {
-        **state,
-        "jobs": upsert.upsert_jobs(state["jobs"], jobs, now),
-        "job_analysis": upsert.upsert_analysis(state["job_analysis"], project.project_analysis(docs)),
-        "skills": upsert.upsert_skills(state["skills"], skills),
-        "job_skills": upsert.upsert_job_skills(state["job_skills"], skills),
-        "capabilities": upsert.upsert_entities(state["capabilities"], capabilities),
-        "job_capabilities": upsert.upsert_job_capabilities(state["job_capabilities"], capabilities),
-        "roles": upsert.upsert_entities(state["roles"], used_roles),
-        "job_roles": upsert.upsert_satellite(state["job_roles"], roles),
-        "job_attributes": upsert.upsert_satellite(state["job_attributes"], project.project_job_attributes(docs)),
-        "job_ai_lifecycle": upsert.upsert_lifecycle(state["job_ai_lifecycle"], project.project_ai_lifecycle(docs)),
-        "taxonomy_review_queue": queue,
-    }
+@dataclass
+class Batch:
+    """The rows that a batch of accepted documents brings for each table."""
+
+    jobs: DataFrame
+    analysis: DataFrame
+    skills: DataFrame
+    capabilities: DataFrame
+    job_roles: DataFrame
+    roles: DataFrame
+    attributes: DataFrame
+    lifecycle: DataFrame
+
+    @classmethod
+    def of(cls, docs: DataFrame) -> Batch:
+        job_roles = project.project_job_roles(docs)
+        roles = job_roles.filter("actual_role IS NOT NULL").select(
+            "file", "job_id", F.lit(0).alias("pos"), F.col("actual_role").alias("name"),
+            daily.norm_key("actual_role").alias("normalized_name"),
+        )
+        return cls(
+            project.project_jobs(docs), project.project_analysis(docs), project.project_job_skills(docs),
+            project.project_job_capabilities(docs), job_roles, roles, project.project_job_attributes(docs), project.project_ai_lifecycle(docs),
+        )
 
+    def sightings(self) -> DataFrame:
+        """Raw values in the order in which their documents are read."""
 
-def ingest_files(files: DataFrame, base: str, now: Column, stream: str = "", batch_id: int = -1) -> DataFrame:
+        def sighting(df: DataFrame, dimension: str, raw: str) -> DataFrame:
+            return df.select(F.lit(dimension).alias("dimension"), F.col(raw).alias("raw_value"), "job_id", "file", "pos")
+
+        return (
+            sighting(self.skills, "skill", "name")
+            .unionByName(sighting(self.capabilities, "capability", "raw_value"))
+            .unionByName(sighting(self.roles, "role", "name"))
+        )
+
+    def upserted(self, state: dict[str, DataFrame], now: Column) -> dict[str, DataFrame]:
+        """The tables of the state, but for the review queue, after the batch."""
+        return {
+            "jobs": upsert.upsert_jobs(state["jobs"], self.jobs, now),
+            "job_analysis": upsert.upsert_analysis(state["job_analysis"], self.analysis),
+            "skills": upsert.upsert_skills(state["skills"], self.skills),
+            "job_skills": upsert.upsert_job_skills(state["job_skills"], self.skills),
+            "capabilities": upsert.upsert_entities(state["capabilities"], self.capabilities),
+            "job_capabilities": upsert.upsert_job_capabilities(state["job_capabilities"], self.capabilities),
+            "roles": upsert.upsert_entities(state["roles"], self.roles),
+            "job_roles": upsert.upsert_satellite(state["job_roles"], self.job_roles),
+            "job_attributes": upsert.upsert_satellite(state["job_attributes"], self.attributes),
+            "job_ai_lifecycle": upsert.upsert_lifecycle(state["job_ai_lifecycle"], self.lifecycle),
+        }
+
+
+def apply_documents(state: dict[str, DataFrame], docs: DataFrame, now: Column) -> dict[str, DataFrame]:
+    """State after a batch of accepted documents, as if read in file order."""
+    batch = Batch.of(docs)
+    queue = queue_novel(state["taxonomy_review_queue"], batch.sightings(), canon_of(state), state["taxonomy_aliases"], now)
+    return {**state, **batch.upserted(state, now), "taxonomy_review_queue": queue}
+
+
+def update_state(
+    spark: SparkSession, base: str, docs: DataFrame, now: Column, stream: str = "", batch_id: int = -1, buckets: int | None = None,
+    ledger: DataFrame | None = None,
+) -> int:
+    """Publish the state after a batch of accepted documents; only the buckets that the batch changes are written.
+
+    Of the tables of jobs those buckets are read that hold a job of the batch. Names already known change nothing, so
+    only the buckets of new ones (and of skills that get their first category) are touched. Rows of ``ledger`` (path,
+    modified, length, digest) become part of the same version.
+    """
+    writer = tables.StateWriter(spark, base, buckets)
+    state, batch = tables.read_state(spark, base), Batch.of(docs)
+    novel = stage(novel_queue_rows(state["taxonomy_review_queue"], batch.sightings(), canon_of(state), state["taxonomy_aliases"], now))
+    entities = {"skills": batch.skills, "capabilities": batch.capabilities, "roles": batch.roles}
+    changed = {name: upsert.changed_names(state[name], rows) for name, rows in entities.items()}
+    ids = docs.select("job_id").distinct()
+    keys = {"jobs": ids, **changed, "taxonomy_review_queue": novel.select("normalized_raw_value")}
+    if ledger is not None:
+        keys["file_ledger"] = ledger.select("path")
+    touched = tables.touched_buckets(keys, writer.buckets)
+    touched |= dict.fromkeys(JOB_TABLES, touched["jobs"])
+    held = tables.read_state(spark, base, only=touched)
+    new = batch.upserted(held, now)
+    for name, rows in entities.items():
+        fresh = rows.join(changed[name], "normalized_name", "left_semi")
+        new[name] = (upsert.upsert_skills if name == "skills" else upsert.upsert_entities)(held[name], fresh)
+    new["taxonomy_review_queue"] = held["taxonomy_review_queue"].unionByName(novel)
+    if ledger is not None:
+        new["file_ledger"] = upsert.merge_rows(held["file_ledger"], ledger, ["path"], {})
+    writer.write_all(new, touched)
+    return writer.publish(stream, batch_id)
+
+
+def ingest_files(
+    files: DataFrame, base: str, now: Column, stream: str = "", batch_id: int = -1, buckets: int | None = None
+) -> DataFrame:
     """Bring the state at ``base`` up to date; returns the status per file."""
-    spark = files.sparkSession
     staged = stage_documents(files)
-    state = apply_documents(tables.read_state(spark, base), accepted(staged), now)
-    tables.write_state(spark, base, state, stream, batch_id)
+    update_state(files.sparkSession, base, accepted(staged), now, stream, batch_id, buckets)
+    return statuses(staged)
+
+
+def ingest_changes(spark: SparkSession, source_dir: str, base: str, now: Column, buckets: int | None = None) -> DataFrame:
+    """Bring the state up to date with a folder whose files may change in place; returns the status per file read.
+
+    The state keeps a ledger of path, time, size and digest of every file. A file that is new, or whose time or size
+    differs, is read again, and its document upserted if its content differs; a file that was only touched changes the
+    ledger alone. The ledger is published with the state: a run that fails is simply run again.
+    """
+    known = tables.read_state(spark, base)["file_ledger"]
+    found = stage(changed_files(spark, source_dir, known))
+    rows = found.select(F.col("file").alias("path"), "modified", "length", "digest")
+    same = known.select(F.col("path").alias("file"), "digest")
+    staged = stage_documents(found.join(same, ["file", "digest"], "left_anti").select("file", "raw"))
+    if not found.isEmpty():
+        update_state(spark, base, accepted(staged), now, buckets=buckets, ledger=rows)
     return statuses(staged)
 
 
 def snapshot_frames(state: dict[str, DataFrame], day: str) -> dict[str, DataFrame]:
-    """The seven metric frames of a date."""
+    """The seven metric frames of a date, counted from the facts."""
     jobs = state["jobs"].withColumnRenamed("external_job_id", "job_id")
     market = daily.daily_market_metrics(jobs, day).withColumn("market_health_score", F.lit(None).cast("double"))
     return {
@@ -91,22 +171,32 @@ def snapshot_frames(state: dict[str, DataFrame], day: str) -> dict[str, DataFram
     }
 
 
-def aggregate(spark: SparkSession, base: str, day: str) -> None:
-    """Publish the snapshot of a date, then its health score."""
+def aggregate(spark: SparkSession, base: str, start: str, end: str | None = None) -> None:
+    """Publish the snapshot of a date, or of every date of a range, then the health scores.
+
+    The figures come from the counts that the state keeps of its facts: neither jobs nor bridges are read.
+    """
+    end = end or start
     state = tables.read_state(spark, base)
-    orphans = [r[0] for r in daily.unmatched_roles(state["job_roles"], state["roles"]).take(1)]
+    counts, roles = state["job_counts"], state["roles"]
+    used = counts.filter("dimension = 'role'").select(F.col("value").alias("actual_role"))
+    orphans = [r[0] for r in daily.unmatched_roles(used, roles).take(1)]
     if orphans:
         raise ValueError(f"actual role without a roles row: {orphans[0]}")
-    frames = snapshot_frames(state, day)
-    this_day = F.col("metric_date") == F.lit(day).cast("date")
-    before = tables.read_metrics(spark, base, "daily_market_metrics").filter(this_day)
-    frames["daily_market_metrics"] = upsert_market_row(before, frames["daily_market_metrics"])
-    tables.publish_snapshot(spark, base, frames, day)
+    frames = snapshot_from_counts(counts, roles, start) if start == end else snapshots_from_counts(counts, roles, start, end)
+    market = frames["daily_market_metrics"].withColumn("market_health_score", F.lit(None).cast("double"))
+    first, last = daily.as_date(start), daily.as_date(end)
+    asked = F.col("metric_date").between(F.lit(first), F.lit(last))
+    before = tables.read_metrics(spark, base, "daily_market_metrics").filter(asked)
+    frames["daily_market_metrics"] = upsert_market_row(before, market)
+    days = [first + dt.timedelta(days=n) for n in range((last - first).days + 1)]
+    tables.publish_snapshots(spark, base, frames, days)
 
     market = tables.read_metrics(spark, base, "daily_market_metrics")
-    health = market_health(market, tables.read_metrics(spark, base, "daily_role_metrics"), state["job_roles"])
-    scored = apply_health(market.filter(this_day), health.filter(this_day))
-    tables.publish_snapshot(spark, base, {"daily_market_metrics": scored}, day)
+    seniority = counts.filter("dimension = 'seniority'").select(F.col("value").alias("seniority"), "n")
+    health = market_health(market, tables.read_metrics(spark, base, "daily_role_metrics"), seniority)
+    scored = apply_health(market.filter(asked), health.filter(asked))
+    tables.publish_snapshots(spark, base, {"daily_market_metrics": scored}, days)
 
 
 def run_daily(spark: SparkSession, source_dir: str, base: str, day: str, now: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import os
 import shutil
 import tempfile
@@ -47,6 +48,32 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def _file_system(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def list_folders(spark: SparkSession, path: str, before: dt.datetime | None = None) -> list[str]:
+    """Folders right below ``path``, if asked those last written before a time; none if there is no such path."""
+    files, target = _file_system(spark, path)
+    if not files.exists(target):
+        return []
+    limit = before.timestamp() * 1000 if before else float("inf")
+    return [f.getPath().toString() for f in files.listStatus(target) if f.isDirectory() and f.getModificationTime() < limit]
+
+
+def existing_path(spark: SparkSession, path: str) -> str | None:
+    """The path as the scans name it, with its file system; null if nothing is there."""
+    files, target = _file_system(spark, path)
+    return files.getFileStatus(target).getPath().toUri().toString() if files.exists(target) else None
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder by its path, whatever file system it lies on."""
+    files, target = _file_system(spark, path)
+    files.delete(target, True)
+
+
 _SHIPPED: set[str] = set()
 
 

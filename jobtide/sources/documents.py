@@ -22,6 +22,33 @@ def read_analysis_dir(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def changed_files(spark: SparkSession, path: str, ledger: DataFrame) -> DataFrame:
+    """*.json files of a folder that the ledger does not know as they are: file, raw, modified, length, digest.
+
+    The folder is listed, not read: what the ledger (path, modified, length) knows with the same time and size is
+    left out. Of the rest the oldest time is pushed into the scan, so that files last written before it are not opened.
+    """
+
+    def files() -> DataFrame:
+        return spark.read.format("binaryFile").option("pathGlobFilter", "*.json").option("recursiveFileLookup", True).load(path)
+
+    modified = F.unix_millis("modificationTime").alias("modified")
+    listed = files().select("path", modified, "length")
+    unknown = listed.join(ledger.select("path", "modified", "length"), ["path", "modified", "length"], "left_anti")
+    oldest = unknown.agg(F.min("modified")).first()[0]
+    if oldest is None:
+        return listed.limit(0).select(
+            F.col("path").alias("file"), F.lit("").alias("raw"), "modified", "length", F.lit("").alias("digest")
+        )
+    opened = files().filter(F.col("modificationTime") >= F.timestamp_millis(F.lit(oldest)))
+    return (
+        opened.join(unknown.select("path"), "path", "left_semi")
+        .select(
+            F.col("path").alias("file"), F.col("content").cast("string").alias("raw"), modified, "length", F.sha2("content", 256).alias("digest")
+        )
+    )
+
+
 def _document_schema() -> str:
     """Sections of a document: text fields as strings, polymorphic ones as VARIANT.
 
@@ -272,15 +299,17 @@ def parse_documents(classified: DataFrame) -> DataFrame:
     )
 
 
-def stage_documents(files: DataFrame) -> DataFrame:
-    """Parsed documents, written once to the shared folder and read back.
-
-    A lost executor costs no second parse of the source.
-    """
-    spark = files.sparkSession
+def stage(df: DataFrame) -> DataFrame:
+    """A frame written once to the shared folder and read back, so that a lost executor costs no second run."""
+    spark = df.sparkSession
     path = f"{shared_dir(spark)}/staged-{uuid.uuid4().hex}"
-    parse_documents(classify_documents(files)).write.parquet(path)
-    return spark.read.parquet(path)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def stage_documents(files: DataFrame) -> DataFrame:
+    """Parsed documents, staged."""
+    return stage(parse_documents(classify_documents(files)))
 
 
 def accepted(staged: DataFrame) -> DataFrame:

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import re
+from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from jobtide.operators.firsts import dedup_postings
+from jobtide.session import existing_path
+from jobtide.sources.documents import stage
+
 FIELDS = {
     "jobId": "job_id", "title": "title", "company": "company", "companyUrl": "company_url",
     "location": "location", "postedAt": "posted_at", "url": "url", "description": "description",
@@ -16,57 +20,68 @@ FIELDS = {
     "jobFunction": "job_function", "industries": "industries", "applicants": "applicants",
 }
 SCHEMA = T.StructType([T.StructField(f, T.StringType()) for f in FIELDS])
-FAILURES = "dataset string, error string"
+FAILURES = "dataset string, error string, rows long"
+POSITION = "struct<file_path:string,file_block_start:bigint,row:bigint>"
+CORRUPT = "_corrupt"
 
 
-def _parsed(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
-    """(item, position, corrupt): one row per posting of a dataset."""
-    rows = spark.read.text(path, wholetext=multi_line).filter(F.trim("value") != "")
-    place = [
-        F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("row")
-    ]
-    corrupt = F.try_parse_json("value").isNull().alias("corrupt")
-    if multi_line:
-        items = rows.select(F.from_json("value", T.ArrayType(SCHEMA)).alias("items"), *place, corrupt)
-        return items.select(
-            F.posexplode_outer("items").alias("pos", "item"), "file_path", "file_block_start", "row", "corrupt"
-        ).select("item", F.struct("file_path", "file_block_start", "row", "pos").alias("position"), "corrupt")
-    item = F.from_json("value", SCHEMA).alias("item")
-    return rows.select(item, F.struct(*place, F.lit(0).alias("pos")).alias("position"), corrupt)
+@dataclass
+class Datasets:
+    """Postings of several datasets, what could not be read of them, and how many postings came twice."""
+
+    #: The fields, dataset, dataset_no and position, which is the reading order inside a dataset.
+    postings: DataFrame
+    #: dataset, error and rows: a missing dataset (no rows), or its rows (with ``multi_line`` files) that are no posting.
+    failures: DataFrame
 
+    def unique(self) -> DataFrame:
+        """The first posting of every id over all datasets; postings without an id all stay."""
+        return dedup_postings(self.postings)
 
-def read_datasets(spark: SparkSession, paths: list[str], multi_line: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(postings, failures) of several JSON datasets, each path read once.
+    def skipped(self) -> DataFrame:
+        """One row: ``duplicates``, the postings that ``unique`` leaves out."""
+        has_id = F.coalesce(F.col("job_id") != "", F.lit(False))
+        copies = self.postings.filter(has_id).groupBy("job_id").agg((F.count(F.lit(1)) - 1).alias("n"))
+        return copies.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("duplicates"))
 
-    A dataset is JSON lines, or with ``multi_line`` one JSON array per file. A
-    missing dataset, or one holding broken JSON, is left out as a whole and
-    reported. ``dataset_no`` and ``position`` give the reading order.
+
+def read_datasets(spark: SparkSession, paths: list[str], multi_line: bool = False) -> Datasets:
+    """Several JSON datasets, files or folders, in one scan over all of them.
+
+    A dataset is JSON lines, or with ``multi_line`` JSON arrays of postings, a file each. Broken lines (or files) are set
+    aside in the same job and reported, the good ones are kept; a path that doesn't exist is left out and reported.
+    What was read is staged, so no file is opened twice.
     """
-    frames, failures = [], []
-    for number, path in enumerate(dict.fromkeys(p.strip() for p in paths if p.strip())):
-        try:
-            frame = _parsed(spark, path, multi_line)
-        except AnalysisException as err:
-            failures.append((path, err.getCondition() or "unreadable"))
-            continue
-        frames.append(
-            frame.select(
-                *[F.col(f"item.{k}").alias(v) for k, v in FIELDS.items()],
-                F.lit(path).alias("dataset"),
-                F.lit(number).alias("dataset_no"),
-                "position",
-                "corrupt",
-            )
-        )
-    missing = spark.createDataFrame(failures, FAILURES)
-    if not frames:
-        names = [*FIELDS.values(), "dataset"]
-        empty = spark.createDataFrame([], ", ".join(f"{n} string" for n in names) + ", dataset_no int, position string")
-        return empty, missing
-    rows = reduce(DataFrame.unionByName, frames)
-    broken = rows.groupBy("dataset").agg(F.bool_or("corrupt").alias("corrupt")).filter("corrupt").select("dataset")
-    good = rows.join(broken, "dataset", "left_anti").drop("corrupt")
-    return good, missing.unionByName(broken.withColumn("error", F.lit("broken JSON")))
+    asked = list(dict.fromkeys(p.strip() for p in paths if p.strip()))
+    # Local files are written with one slash or three.
+    there = {p: re.sub("^file:/+", "file:/", found) for p in asked if (found := existing_path(spark, p))}
+    missing = spark.createDataFrame([(p, "PATH_NOT_FOUND", 0) for p in asked if p not in there], FAILURES)
+    if not there:
+        empty = ", ".join(f"{n} string" for n in FIELDS.values())
+        return Datasets(spark.createDataFrame([], f"{empty}, dataset string, dataset_no int, position {POSITION}"), missing)
+    # The datasets are few: the longest path that a file lies below is its own.
+    number, path = F.lit(None).cast("int"), F.lit(None).cast("string")
+    file = F.regexp_replace("_metadata.file_path", "^file:/+", "file:/")
+    for name in sorted(there, key=lambda p: len(there[p])):
+        below = (file == there[name]) | file.startswith(there[name] + "/")
+        number = F.when(below, asked.index(name)).otherwise(number)
+        path = F.when(below, name).otherwise(path)
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row")).cast(POSITION)
+    if multi_line:
+        reader = spark.read.schema(T.StructType([*SCHEMA, T.StructField(CORRUPT, T.StringType())])).option("columnNameOfCorruptRecord", CORRUPT)
+        items = reader.json(list(there), multiLine=True, encoding="UTF-8")
+        fields, corrupt = [F.col(k) for k in FIELDS], F.col(CORRUPT).isNotNull()
+    else:
+        # Parsed as the only element of an array, so that text after the posting is an error.
+        items = spark.read.text(list(there)).filter(F.trim("value") != "")
+        parsed = F.from_json(F.concat(F.lit("["), "value", F.lit("]")), T.ArrayType(SCHEMA))
+        items = items.withColumn("_items", parsed)
+        fields = [F.get("_items", F.lit(0))[k] for k in FIELDS]
+        corrupt = F.coalesce((F.size("_items") != 1) | F.get("_items", F.lit(0)).isNull(), F.lit(True))
+    named = [c.alias(v) for c, v in zip(fields, FIELDS.values())]
+    rows = stage(items.select(*named, corrupt.alias(CORRUPT), path.alias("dataset"), number.alias("dataset_no"), place.alias("position")))
+    broken = rows.filter(CORRUPT).groupBy("dataset").agg(F.lit("broken JSON").alias("error"), F.count(F.lit(1)).alias("rows"))
+    return Datasets(rows.filter(f"NOT {CORRUPT}").drop(CORRUPT), missing.unionByName(broken))
 
 
 def latest_batch(postings: DataFrame, runs: DataFrame) -> DataFrame:

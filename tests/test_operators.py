@@ -3,6 +3,7 @@
 import datetime as dt
 import io
 import os
+import shutil
 import random
 import re
 from contextlib import redirect_stdout
@@ -266,18 +267,118 @@ def test_dedup_keeps_rows_without_id(spark):
 
 
 def test_datasets(spark, tmp_path):
-    good, bad = tmp_path / "good.json", tmp_path / "bad.json"
-    good.write_text('{"jobId": "1", "title": "x"}\n{"title": "no id"}\n')
-    bad.write_text('{"jobId": "2"}\n{broken\n')
-    rows_, failures = postings.read_datasets(spark, [str(good), str(bad), str(tmp_path / "none.json"), str(good)])
-    assert sorted(str(r["job_id"]) for r in rows_.collect()) == ["1", "None"]
-    assert sorted(r["dataset"] for r in failures.collect()) == sorted([str(bad), str(tmp_path / "none.json")])
-    assert firsts.dedup_postings(rows_).count() == 2
-    array = tmp_path / "array.json"
+    good, bad, folder = tmp_path / "good.json", tmp_path / "bad one.json", tmp_path / "folder"
+    folder.mkdir()
+    good.write_text('{"jobId": "1", "title": "x"}\n{"title": "no id"}\n\n')
+    bad.write_text('{"jobId": "2"}\n{broken\n{"jobId": 1, "title": "late"}\n')
+    (folder / "a.json").write_text('{"jobId": "3"}\n{"jobId": "2"}\n')
+    gone = str(tmp_path / "none.json")
+    found = postings.read_datasets(spark, [str(good), f" {bad} ", gone, str(good), str(folder)])
+    got = sorted(tuple(r) for r in found.postings.select("dataset_no", F.coalesce("job_id", F.lit("")), "dataset").collect())
+    assert got == [(0, "", str(good)), (0, "1", str(good)), (1, "1", str(bad)), (1, "2", str(bad)), (3, "2", str(folder)), (3, "3", str(folder))]
+    assert sorted(map(tuple, found.failures.collect())) == sorted([(str(bad), "broken JSON", 1), (gone, "PATH_NOT_FOUND", 0)])
+    unique = sorted(tuple(r) for r in found.unique().select(F.coalesce("job_id", F.lit("")), "dataset_no").collect())
+    assert unique == [("", 0), ("1", 0), ("2", 1), ("3", 3)]
+    assert found.skipped().first().duplicates == 2
+    array, torn = tmp_path / "array.json", tmp_path / "torn.json"
     array.write_text('[{"jobId": "5"},\n {"jobId": "4"}, {"jobId": "5", "title": "again"}]')
-    many, none = postings.read_datasets(spark, [str(array)], multi_line=True)
-    assert none.count() == 0
-    assert sorted(tuple(r) for r in firsts.dedup_postings(many).select("job_id", "title").collect()) == [("4", None), ("5", None)]
+    torn.write_text('[{"jobId": "7"},\n {"jobId"')
+    many = postings.read_datasets(spark, [str(array), str(torn)], multi_line=True)
+    assert [tuple(r) for r in many.failures.collect()] == [(str(torn), "broken JSON", 1)]
+    assert sorted(tuple(r) for r in many.unique().select("job_id", "title").collect()) == [("4", None), ("5", None)]
+    none = postings.read_datasets(spark, [gone])
+    assert none.unique().count() == 0 and none.failures.count() == 1 and none.skipped().first().duplicates == 0
+
+
+def test_datasets_are_scanned_once(spark, tmp_path):
+    for i in range(3):
+        (tmp_path / f"{i}.json").write_text(f'{{"jobId": "{i}"}}\n{{bad\n')
+    found = postings.read_datasets(spark, [str(tmp_path / f"{i}.json") for i in range(3)])
+    for df in (found.postings, found.failures):
+        # What is left is the staged table; the text was read before.
+        assert "json" not in plan_of(df).lower() and not any(f.endswith(".json") for f in df.inputFiles())
+
+
+def test_terms_by_the_thousand_equal_a_pattern_each(spark):
+    from jobtide.functions.checks import matches_title
+    from jobtide.operators.terms import label_by_rules, matching_titles
+
+    random.seed(4)
+    pieces = ["c", "C++", "++", ".NET", "ml", "ML-Ops", "data engineer", "Data", "é", "x y", r"a\Eb", r"\Qz", "$", "(r)", "sr.", "_u", "9"]
+    terms = [random.choice(pieces) + random.choice(["", " ", "-", " dev"]) + random.choice(pieces) for _ in range(60)] + pieces + ["", None]
+    titles = [" ".join(random.choices([*pieces, "senior", "Dev", ","], k=random.randint(1, 5))) for _ in range(300)] + ["", None, "a.net b", "a++b"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(titles)], "id int, title string")
+    table = spark.createDataFrame([(t,) for t in terms], "term string")
+    want = {r.id for r in df.filter(matches_title("title", [t for t in terms if t])).collect()}
+    assert {r.id for r in matching_titles(df, table).collect()} == want and 0 < len(want) < 300
+    plan = plan_of(matching_titles(df, table))
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    # The same again where a term is blank, where all are, and where none is given.
+    blank = table.union(spark.createDataFrame([(" ",)], "term string"))
+    assert {r.id for r in matching_titles(df, blank).collect()} == {r.id for r in df.filter(matches_title("title", [t for t in terms if t] + [" "])).collect()}
+    assert matching_titles(df, table.filter("term = ''")).count() == 0
+    assert matching_titles(df, table.limit(0)).count() == len(titles)
+
+    rules = [(0, "data", "Data", r"\bdata\b"), (1, "dev", "Builds", "dev$"), (2, "ml", "Learns", "ml"), (3, "data", "More data", "data")]
+    labels = label_by_rules(df, spark.createDataFrame(rules, "rank int, term string, label string, pattern string"), "title")
+
+    def first(title):
+        for _, term, label, pattern in rules:
+            if re.search(rf"\b{term}\b", title or "", re.I | re.A) and re.search(pattern, title, re.I | re.A):
+                return label
+
+    assert {r.id: r.rule_label for r in labels.collect()} == {i: first(t) for i, t in enumerate(titles)}
+
+
+def test_append_log_takes_every_batch_once(spark, tmp_path, monkeypatch):
+    from jobtide.sources import appends
+
+    path, schema = str(tmp_path / "log"), "id int, v string"
+
+    def batch(*ids):
+        return spark.createDataFrame([(i, f"v{i}") for i in ids], schema)
+
+    def held():
+        return sorted(r.id for r in appends.read_appended(spark, path, schema).collect())
+
+    assert held() == []
+    assert appends.append(batch(1, 2), path, "a", 0) and appends.append(batch(3), path, "b", 0)
+    assert not appends.append(batch(1, 2), path, "a", 0)  # replayed
+    assert appends.append(batch(), path, "a", 1) and appends.append(batch(4), path, "a", 2)
+    assert held() == [1, 2, 3, 4]
+    # Two writers of one batch that don't see each other: the first holds.
+    monkeypatch.setattr(appends, "has_batch", lambda *_: False)
+    assert not appends.append(batch(9), path, "a", 2)
+    monkeypatch.undo()
+    assert held() == [1, 2, 3, 4]
+    assert appends.compact(spark, path, schema) and held() == [1, 2, 3, 4]
+    assert len(appends._folders(spark, path)) == 1 and not appends.compact(spark, path, schema)
+    assert not appends.append(batch(1, 2), path, "a", 0) and appends.append(batch(5), path, "c", 0)
+    assert appends.compact(spark, path, schema) and held() == [1, 2, 3, 4, 5]
+    with pytest.raises(ValueError, match="no name for a stream"):
+        appends.append(batch(1), path, "compaction", 0)
+
+
+def test_merge_chains_equal_a_walk(spark):
+    random.seed(6)
+    names = [f"r{i}" for i in range(40)]
+    into = {n: random.choice([None, None, *names, "gone"]) for n in names} | {"a": "a", "b": "c", "c": "b"}
+    into |= {f"chain{i}": f"chain{i + 1}" for i in range(9)} | {"chain9": None} | {f"lost{i}": f"lost{i + 1}" for i in range(7)}
+    roles = spark.createDataFrame([(n, n.upper(), t) for n, t in into.items()], "id string, name string, merged_into_id string")
+
+    def walk(start, most):
+        at, hops = start, 0
+        while into[at] is not None:
+            if hops == most:
+                return None, None, hops, "too_many_hops"
+            if into[at] not in into:
+                return None, None, hops, "missing_target"
+            at, hops = into[at], hops + 1
+        return at, at.upper(), hops, None
+
+    for most in (1, 2, 5):
+        got = {r.id: tuple(r)[1:] for r in taxonomy.follow_merges(roles, most).collect()}
+        assert got == {n: walk(n, most) for n in into}
 
 
 def test_run_updates(spark):
@@ -331,24 +432,27 @@ def test_replayed_batch_and_missing_folder(spark, tmp_path):
     base = str(tmp_path / "base")
     state = tables.read_state(spark, base)
     assert all(t.count() == 0 for t in state.values())
-    assert tables.write_state(spark, base, state, "one", 0) == 1
+    skills = spark.createDataFrame([("RAG", "rag", None), ("SQL", "sql", "db")], tables.STATE_SCHEMAS["skills"])
+    assert tables.write_state(spark, base, {"skills": skills}, "one", 0) == 1
     assert tables.has_batch(spark, base, "one", 0) and not tables.has_batch(spark, base, "two", 0)
+    assert tables.read_state(spark, base)["skills"].count() == 2 and not tables.read_state(spark, base)["jobs"].count()
     with pytest.raises(ValueError, match="never published"):
         tables.read_state(spark, base, 7)
-    folder = next(p for p in (tmp_path / "base" / "state").iterdir() if p.name != "_manifest")
-    (folder / "jobs").rename(tmp_path / "gone")
+    (tmp_path / "base" / "state" / "skills").rename(tmp_path / "gone")
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         tables.read_state(spark, base)
 
 
 def test_first_writer_of_a_version_holds(spark, tmp_path, monkeypatch):
     base = str(tmp_path / "base")
-    state = tables.read_state(spark, base)
-    tables.write_state(spark, base, state, "a", 0)
-    monkeypatch.setattr(tables, "state_version", lambda *_: 0)
+    rows = [spark.createDataFrame([(name, "rag", None)], tables.STATE_SCHEMAS["skills"]) for name in ("RAG", "late")]
+    tables.write_state(spark, base, {"skills": rows[0]}, "a", 0)
+    monkeypatch.setattr(tables, "_newest", lambda *_: (0, None))
     with pytest.raises(RuntimeError, match="another writer"):
-        tables.write_state(spark, base, state, "b", 0)
-    assert not tables.read_state(spark, base)["jobs"].count()
+        tables.write_state(spark, base, {"skills": rows[1]}, "b", 0)
+    monkeypatch.undo()
+    assert [r.name for r in tables.read_state(spark, base)["skills"].collect()] == ["RAG"]
+    assert not tables.has_batch(spark, base, "b", 0)
 
 
 def test_stream_dedup_keeps_the_first_and_late_new_ids(spark, tmp_path):
@@ -359,3 +463,28 @@ def test_stream_dedup_keeps_the_first_and_late_new_ids(spark, tmp_path):
         stream_dedup(spark.readStream.schema(schema).parquet(f"{base}/in"), base, f"{base}/cp", ["n"]).awaitTermination()
     got = sorted(((r.job_id or "", r.n) for r in read_unique(spark, base, schema).collect()))
     assert got == [("", 3), ("", 4), ("", 9), ("a", 1), ("b", 5), ("late", 1)]
+
+
+def test_stream_dedup_reads_only_the_buckets_of_its_ids(spark, tmp_path):
+    """After many ids, a batch of few opens few buckets; a replayed batch changes nothing."""
+    base, cp, schema = tmp_path / "dedup", tmp_path / "dedup" / "cp", "job_id string, n int"
+
+    def run(rows_=()):
+        if rows_:
+            spark.createDataFrame(list(rows_), schema).coalesce(1).write.mode("append").parquet(f"{base}/in")
+        stream_dedup(spark.readStream.schema(schema).parquet(f"{base}/in"), str(base), str(cp), ["n"], buckets=64).awaitTermination()
+
+    run([(f"a{i}", i) for i in range(300)])
+    own = {r[0] for r in spark.createDataFrame([("a5",), ("new",)], "k string").select(tables.bucket_of("k", 64)).collect()}
+    others = [p for p in (base / "seen").glob("bucket=*") if int(p.name.split("=")[1]) not in own]
+    assert len(others) > 40
+    for folder in others:
+        (folder / "batch=0" / "broken.parquet").write_text("not to be opened")
+    shutil.copytree(cp, tmp_path / "before")
+    run([("a5", 9), ("new", 1), ("", 3)])
+    want = sorted(map(str, read_unique(spark, str(base), schema).collect()))
+    assert len(want) == 302
+    shutil.rmtree(cp)
+    shutil.copytree(tmp_path / "before", cp)
+    run()
+    assert sorted(map(str, read_unique(spark, str(base), schema).collect())) == want
