@@ -31,7 +31,7 @@ from jobtide.llm.byte_bpe import CHARACTERS
 from jobtide.llm.common import by_bytes, extended, prepare
 
 #: Words that a worker remembers, and the longest of them in characters.
-REMEMBERED, LONGEST = 250_000, 64
+REMEMBERED, LONGEST = 600_000, 64
 #: Characters of text, and ids, worked on at a time.
 SLICE = 1 << 20
 #: What splits words; the file must state the same pattern.
@@ -41,31 +41,35 @@ PLAIN = regex.compile(r"[\x00-\x7f\xa1-ɏ‐-‧‰-⁞]*")
 SPACE = regex.compile(r"\s+")
 
 
+#: Above every rank and place: what a place without a mergeable pair holds.
+NONE = 1 << 50
+NO_PAIR = (NONE, 0)
+
+
 class PairTree:
     """Minimum segment tree over the places of one word; a place holds the rank of the pair that begins there."""
 
-    def __init__(self, ranks: list[int | None]):
+    def __init__(self, ranks: list[int]):
         self.size = size = 1 << max(len(ranks) - 1, 0).bit_length()
-        self.none = none = 1 << 62
-        level = [none if rank is None else rank * size + place for place, rank in enumerate(ranks)]
-        level += [none] * (size - len(level))
+        level = [rank * size + place for place, rank in enumerate(ranks)]
+        level += [NONE * size] * (size - len(level))
         levels = [level]
         while len(level) > 1:
             level = list(map(min, level[::2], level[1::2]))
             levels.append(level)
         # Node i has the children 2 i and 2 i + 1; the root is node 1.
-        self.nodes = [none]
+        self.nodes = [0]
         for level in reversed(levels):
             self.nodes += level
 
     def least(self) -> int | None:
         """The place of the leftmost pair of the lowest rank."""
-        return None if self.nodes[1] == self.none else self.nodes[1] % self.size
+        return self.nodes[1] % self.size if self.nodes[1] < NONE else None
 
-    def put(self, place: int, rank: int | None) -> None:
+    def put(self, place: int, rank: int) -> None:
         """Set a place's rank, and the path above it as far as it changes."""
         nodes, at = self.nodes, self.size + place
-        nodes[at] = value = self.none if rank is None else rank * self.size + place
+        nodes[at] = value = rank * self.size + place
         while at > 1:
             beside = nodes[at ^ 1]
             if beside < value:
@@ -102,6 +106,7 @@ class Codec:
         self.words = regex.compile(WORDS).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         self.seen: dict[str, bytes] = {}
+        self.earlier: dict[str, bytes] = {}
 
     def merge(self, word: bytes) -> list[int]:
         """The ids of a word."""
@@ -110,26 +115,27 @@ class Codec:
         n, known = len(ids), self.merges.get
         if n == 1:
             return ids
-        pairs = list(map(known, zip(ids, ids[1:])))
-        tree = PairTree([p and p[0] for p in pairs])
-        put, nodes, none, size = tree.put, tree.nodes, tree.none, tree.size
+        pairs = [known(pair, NO_PAIR) for pair in zip(ids, ids[1:])]
+        tree = PairTree([rank for rank, _ in pairs])
+        put, nodes, size = tree.put, tree.nodes, tree.size
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        while nodes[1] != none:
-            at = nodes[1] % size
+        while (least := nodes[1]) < NONE:
+            at = least % size
             gone = after[at]
-            ids[at], ids[gone] = pairs[at][1], None
+            ids[at] = merged = pairs[at][1]
+            ids[gone] = None
             after[at] = behind = after[gone]
             if behind < n:
                 before[behind] = at
-                put(gone, None)
-                pairs[at] = pair = known((ids[at], ids[behind]))
-                put(at, pair and pair[0])
+                put(gone, NONE)
+                pairs[at] = pair = known((merged, ids[behind]), NO_PAIR)
+                put(at, pair[0])
             else:
-                put(at, None)
+                put(at, NONE)
             left = before[at]
             if left >= 0:
-                pairs[left] = pair = known((ids[left], ids[at]))
-                put(left, pair and pair[0])
+                pairs[left] = pair = known((ids[left], merged), NO_PAIR)
+                put(left, pair[0])
         return [i for i in ids if i is not None]
 
     def _library_words(self, piece: str) -> list[str]:
@@ -150,17 +156,21 @@ class Codec:
         fresh = set(words).difference(seen)
         if not fresh:
             return b"".join([seen[w] for w in words])
-        if len(seen) + len(fresh) > REMEMBERED:
-            seen.clear()
-            fresh = set(words)
+        if 2 * (len(seen) + len(fresh)) > REMEMBERED:
+            # The words before the last ones are forgotten; those still in use come back as they are met.
+            self.earlier, self.seen = seen, {}
+            seen, fresh = self.seen, set(words)
         for word in fresh:
-            ids = self.merge(word.encode())
-            seen[word] = struct.pack(f"<{len(ids)}i", *ids)
-        found = b"".join([seen[w] for w in words])
+            found = self.earlier.get(word)
+            if found is None:
+                ids = self.merge(word.encode())
+                found = struct.pack(f"<{len(ids)}i", *ids)
+            seen[word] = found
+        joined = b"".join([seen[w] for w in words])
         for word in fresh:
-            if len(word) > LONGEST or len(fresh) > REMEMBERED:
+            if len(word) > LONGEST or 2 * len(fresh) > REMEMBERED:
                 del seen[word]
-        return found
+        return joined
 
     def _section(self, text: str) -> bytes:
         if not any(token in text for token in self.special):

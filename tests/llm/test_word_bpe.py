@@ -30,15 +30,16 @@ def ids(codec, text):
 
 def test_tree_names_the_leftmost_lowest_rank():
     random.seed(1)
+    none = word_bpe.NONE
     for n in (0, 1, 2, 5, 8, 33):
-        ranks = [random.choice([None, 0, 1, 2, 3]) for _ in range(n)]
+        ranks = [random.choice([none, 0, 1, 2, 3]) for _ in range(n)]
         tree = word_bpe.PairTree(ranks)
         for _ in range(60):
-            known = [(r, i) for i, r in enumerate(ranks) if r is not None]
+            known = [(r, i) for i, r in enumerate(ranks) if r != none]
             assert tree.least() == (min(known)[1] if known else None)
             if n:
                 place = random.randrange(n)
-                ranks[place] = random.choice([None, 0, 1, 2, 3])
+                ranks[place] = random.choice([none, 0, 1, 2, 3])
                 tree.put(place, ranks[place])
 
 
@@ -79,11 +80,12 @@ def test_odd_and_random_texts_equal_the_library(codec, library, monkeypatch):
 
 
 def test_memory_is_bounded(codec, library, monkeypatch):
-    monkeypatch.setattr(word_bpe, "REMEMBERED", 3)
+    monkeypatch.setattr(word_bpe, "REMEMBERED", 8)
     codec.seen.clear()
-    text = "one two three four five six two one " * 3
-    assert ids(codec, text) == library.encode(text, add_special_tokens=False).ids
-    assert len(codec.seen) <= 3
+    codec.earlier.clear()
+    for text in ["one two three four five six two one " * 3, *"one two four seven one eight nine two ten four".split(), "x" * 100]:
+        assert ids(codec, text) == library.encode(text, add_special_tokens=False).ids
+        assert len(codec.seen) + len(codec.earlier) <= 8 and "x" * 100 not in codec.seen
 
 
 def test_tables_with_nulls_and_clashing_columns(spark, library, monkeypatch):
