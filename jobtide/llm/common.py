@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import gc
-import time
 import uuid
 from collections.abc import Iterator
 
@@ -14,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from jobtide.session import shared_dir, ship_package
+from jobtide.session import delete_path, shared_dir, ship_package
 
 
 #: Rows and bytes that travel to a Python worker at a time: Spark's defaults, and what is set in their place.
@@ -49,27 +47,14 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = staging_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written.staged_at = path
+    return written
 
 
-def release(spark: SparkSession) -> None:
-    """Let go of the shuffle files of finished jobs before the next large step.
-
-    Spark removes them once the driver's collector finds that nobody refers to them, which on a driver with little
-    work of its own may be long after. The second round finds what the listeners held during the first.
-    """
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.4)
-
-
-def discard(df: DataFrame) -> None:
-    """Remove the files of a staged frame that nothing reads any more."""
-    spark = df.sparkSession
-    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+def discard(written: DataFrame) -> None:
+    """Delete the folder of a staged frame that nothing reads any more."""
+    delete_path(written.sparkSession, written.staged_at)
 
 
 def prepare(spark: SparkSession) -> int:

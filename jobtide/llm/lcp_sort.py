@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from jobtide.llm.common import prepare
 
 #: Bytes of strings that a task sorts at a time, bytes of a block of a run, and compressed bytes of blocks that meet in one merge.
-RUN_BYTES, BLOCK_BYTES, RANGE_BYTES = 16 << 20, 64 << 10, 6 << 20
+RUN_BYTES, BLOCK_BYTES, RANGE_BYTES = 12 << 20, 64 << 10, 6 << 20
 #: Rounds of splitting ranges that measure above twice RANGE_BYTES.
 ROUNDS = 4
 #: What travels with a string: whether it is known to occur twice, its text (two halves of a 128-bit key; none if

@@ -10,7 +10,6 @@ with replicas per anchor finds every pair.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Iterator
 from itertools import combinations, islice
 
@@ -20,10 +19,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from jobtide.llm.common import cell_pairs, differing, group_starts, merge_labels, prepare, release, staged, utf8, whole_groups
+from jobtide.llm.common import by_bytes, cell_pairs, differing, group_starts, merge_labels, prepare, staged, utf8, whole_groups
 from jobtide.llm.components import components
 
 SEED = 42
+#: Words of a shingle, and bits in which near copies may differ.
+WORDS, BITS_APART = 4, 4
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 CODE_LENGTH = 15
 #: Rows of one anchor that are compared in one piece; larger anchors are dealt out as a grid of such pieces.
@@ -59,16 +60,6 @@ def shingle_simhash(text: bytes, n: int, width: int = 8) -> bytes:
     return np.packbits(2 * total > count).tobytes()
 
 
-def word_simhash(text: bytes) -> bytes:
-    """64 majority bits over the distinct words, weighted by the logarithm of their frequency."""
-    counts = Counter(text.lower().split())
-    if not counts:
-        return bytes(8)
-    weights = np.log1p(np.fromiter(counts.values(), float))
-    bits = np.unpackbits(np.frombuffer(b"".join([xxhash.xxh64_digest(w, SEED) for w in counts]), np.uint8).reshape(-1, 8), axis=1)
-    return np.packbits(2 * (weights @ bits) > weights.sum()).tobytes()
-
-
 def fingerprints(df: DataFrame, text: str, methods: dict[str, Callable[[bytes], bytes]], *keep: Column) -> DataFrame:
     """The columns ``keep`` and one binary fingerprint per entry of ``methods``, row by row."""
     prepare(df.sparkSession)
@@ -78,7 +69,7 @@ def fingerprints(df: DataFrame, text: str, methods: dict[str, Callable[[bytes],
         schema = schema.add(name, "binary")
 
     def apply(batches):
-        for batch in batches:
+        for batch in by_bytes(batches, len(schema) - len(methods)):
             texts = batch.column("_text").to_pylist()
             columns = [batch.column(i) for i in range(batch.num_columns - 1)]
             columns += [pa.array([f(x) for x in texts], pa.binary()) for f in methods.values()]
@@ -138,7 +129,7 @@ def anchors_of(values: np.ndarray, bits: int, t: int) -> tuple[np.ndarray, np.nd
 
 
 def replicate(distinct: DataFrame, t: int, n_blocks: int) -> DataFrame:
-    """(anchor, home, node, fp, more) for every anchor of every row of ``distinct`` (node, fp long, more binary)."""
+    """(anchor, home, node, fp) for every anchor of every row of ``distinct`` (node, fp long)."""
     blocks = _blocks(n_blocks)
 
     def apply(batches):
@@ -151,25 +142,21 @@ def replicate(distinct: DataFrame, t: int, n_blocks: int) -> DataFrame:
                     rows, anchor, home = anchors_of(values, bits, t)
                     take = pa.array(rows)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(anchor | (k << 40)), pa.array(home), *(part.column(c).take(take) for c in ("node", "fp", "more"))],
-                        names=["anchor", "home", "node", "fp", "more"],
+                        [pa.array(anchor | (k << 40)), pa.array(home), *(part.column(c).take(take) for c in ("node", "fp"))],
+                        names=["anchor", "home", "node", "fp"],
                     )
 
     kind = distinct.schema["node"].dataType.simpleString()
-    return distinct.select("node", "fp", "more").mapInArrow(apply, f"anchor long, home boolean, node {kind}, fp long, more binary")
+    return distinct.select("node", "fp").mapInArrow(apply, f"anchor long, home boolean, node {kind}, fp long")
 
 
-def link(
-    distinct: DataFrame, threshold: int, n_blocks: int, agree: Callable | None = None, cell_rows: int = CELL_ROWS, limit: int | None = None
-) -> DataFrame:
-    """Links (a, b) between nodes that connect all rows of ``distinct`` (node, fp long, more binary) within ``threshold`` bits.
+def link(distinct: DataFrame, threshold: int, n_blocks: int, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """Links (a, b) between nodes that connect all rows of ``distinct`` (node, fp long) within ``threshold`` bits.
 
     A link may pass through others: every anchor gives the spanning forest of its pairs, so that a dense group of k
-    fingerprints costs k - 1 rows. ``agree(more_a, more_b)`` may refuse pairs by their other bytes, given as
-    matrices of one row per pair. ``node`` is a unique long or binary key. Pairs beyond the threshold that meet all the
-    same are linked up to ``limit`` bits.
+    fingerprints costs k - 1 rows. ``node`` is a unique long or binary key.
     """
-    n, most = prepare(distinct.sparkSession), threshold if limit is None else limit
+    n = prepare(distinct.sparkSession)
     rows = replicate(distinct, threshold // n_blocks, n_blocks)
     # An anchor with more rows than one piece holds is dealt out: chunk i of homes meets chunk j of replicas.
     crowded = staged(
@@ -182,7 +169,7 @@ def link(
     members = F.transform(others, lambda x: piece(F.lit(False), x, c))
     homes = F.transform(F.when(F.col("home"), others).otherwise(F.array().cast("array<int>")), lambda x: piece(F.lit(True), c, x))
     pieces = F.when(F.col("k").isNull(), F.array(piece(F.col("home"), F.lit(0), F.lit(0)))).otherwise(F.concat(members, homes))
-    cells = rows.join(crowded, "anchor", "left").select("anchor", "node", "fp", "more", F.inline(pieces))
+    cells = rows.join(crowded, "anchor", "left").select("anchor", "node", "fp", F.inline(pieces))
     keys = ["anchor", "i", "j"]
     kind = distinct.schema["node"].dataType.simpleString()
 
@@ -192,18 +179,11 @@ def link(
             sizes = np.diff(np.append(starts, rows.num_rows))
             fp, nodes = rows["fp"].to_numpy(), rows["node"].combine_chunks()
             number = nodes.dictionary_encode().indices.to_numpy()
-            more = None
-            if agree:
-                more = np.frombuffer(b"".join(rows["more"].to_pylist()), np.uint8).reshape(rows.num_rows, -1)
             homes = np.flatnonzero(rows["home"].to_numpy())
             labels = np.arange(rows.num_rows)
             for a, b in cell_pairs(homes, starts, sizes):
-                near = (differing(fp[a], fp[b]) <= most) & (number[a] != number[b])
-                a, b = a[near], b[near]
-                if agree and len(a):
-                    same = agree(more[a], more[b])
-                    a, b = a[same], b[same]
-                merge_labels(labels, a, b)
+                near = (differing(fp[a], fp[b]) <= threshold) & (number[a] != number[b])
+                merge_labels(labels, a[near], b[near])
             linked = np.flatnonzero(number[labels] != number)
             yield pa.RecordBatch.from_arrays([nodes.take(pa.array(labels[linked])), nodes.take(pa.array(linked))], names=["a", "b"])
 
@@ -216,148 +196,37 @@ def as_long(column: str) -> Column:
     return F.shiftleft(high, 32).bitwiseOR(low)
 
 
-def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 4, threshold: int = 4) -> DataFrame:
-    """doc_id, fp (long) and component_id, the smallest id reachable through links of ``threshold`` or fewer bits.
+def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, threshold: int = BITS_APART, *keep: Column) -> DataFrame:
+    """doc_id, fp (long), component_id, the smallest id reachable through links of ``threshold`` or fewer bits, root and ``keep``.
 
-    One row per row of ``docs``; only the two named columns are read. Null or blank texts have fingerprint zero and
-    are linked like any other. Repeated rows and equal texts share a fingerprint and so a component. A null id
-    stays null and never names a component unless all ids of the component are null. An empty table gives no rows.
+    One row per row of ``docs``; only the named columns are read. ``root`` is a fingerprint that names the component.
+    Null or blank texts have fingerprint zero and are linked like any other. Repeated rows and equal texts share a
+    fingerprint and so a component. A null id stays null and never names a component unless all ids of the component
+    are null. Ids may be of any type that has an order. An empty table gives no rows.
     """
-    rows = fingerprints(docs, text, {"bits": lambda x: shingle_simhash(x, words)}, F.col(doc_id).alias("doc_id"))
-    prints = staged(rows.select("doc_id", as_long("bits").alias("fp")), "prints")
+    rows = fingerprints(docs, text, {"bits": lambda x: shingle_simhash(x, words)}, F.col(doc_id).alias("doc_id"), *keep)
+    kept = [c for c in rows.columns if c not in ("doc_id", "bits")]
+    prints = staged(rows.select("doc_id", as_long("bits").alias("fp"), *kept), "prints")
     distinct = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
-    roots = components(link(distinct.select(F.col("fp").alias("node"), "fp", F.lit(None).cast("binary").alias("more")), threshold, 3))
+    roots = components(link(distinct.select(F.col("fp").alias("node"), "fp"), threshold, 3))
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     named = staged(named, "named")
     smallest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    labels = named.join(smallest, "root").select("fp", "component_id")
-    return prints.join(labels, "fp").select("doc_id", "fp", "component_id")
-
-
-#: Near copies: words of a shingle, and independent 64-bit fingerprints of the shingles. Shingle sets of Jaccard similarity
-#: J have a cosine of about 2J / (1 + J), so that at 0.8 a bit differs with probability 0.152.
-SHINGLE_WORDS, PRINTS = 5, 6
-#: Each fingerprint is covered for 5 bits in 3 blocks: whatever differs in at most one bit of any of the 18 blocks meets, at
-#: J = 0.8 about 95 % of pairs, at 0.85 about 99 %.
-PRINT_BITS, PRINT_BLOCKS = 5, 3
-#: Bits in which pairs that meet may differ: of the fingerprint, and of the two that follow it. Both limits lie about 3.6
-#: standard deviations above the mean at 0.8.
-PRINT_LIMIT, SKETCH_LIMIT = 20, 35
-#: Jaccard similarity of near copies, and texts of one cluster that are compared in one piece.
-SIMILARITY, CLUSTER_ROWS = 0.8, 256
-
-
-def similar_sketches(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether the further fingerprints of pairs may be those of near copies."""
-    return np.bitwise_count(a ^ b).sum(axis=1) <= SKETCH_LIMIT
-
-
-def alike(prints: DataFrame) -> DataFrame:
-    """Links (a, b) that connect the rows of ``prints`` (node, sketch: PRINTS fingerprints) that may be near copies."""
-    found = None
-    for k in range(PRINTS):
-        part = lambda i: F.substring("sketch", 8 * (i % PRINTS) + 1, 8)
-        rows = prints.select("node", part(k).alias("bits"), F.concat(part(k + 1), part(k + 2)).alias("more"))
-        # One fingerprint at a time: the replicas of one are let go before the next.
-        links = staged(link(rows.select("node", as_long("bits").alias("fp"), "more"), PRINT_BITS, PRINT_BLOCKS, similar_sketches, limit=PRINT_LIMIT), "alike")
-        release(prints.sparkSession)
-        found = found.union(links) if found else links
-    return found
-
-
-def shingle_set(text: bytes) -> bytes:
-    """The distinct XXH64 values of the shingles, ascending."""
-    hashes = {xxhash.xxh64_intdigest(s, SEED) for s in shingles(text.lower().split(), SHINGLE_WORDS)}
-    return np.sort(np.fromiter(hashes, np.uint64, len(hashes))).tobytes()
-
-
-def near(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether two shingle sets are similar enough; two empty ones are."""
-    low, high = sorted((len(a), len(b)))
-    if low < SIMILARITY * high:
-        return False
-    both = np.sort(np.concatenate([a, b]))
-    common = int((both[1:] == both[:-1]).sum())
-    return common >= SIMILARITY * (low + high - common)
-
-
-def exact_links(rows: DataFrame, cell_rows: int | None = None) -> DataFrame:
-    """Links (a, b) of texts of one cluster with a Jaccard similarity of SIMILARITY or more; ``rows`` are (root, node, shingles).
-
-    All pairs of a cluster are compared but those that are connected already. A cluster with more rows than
-    one piece holds is dealt out: chunk i meets chunk j.
-    """
-    n, cell_rows = prepare(rows.sparkSession), cell_rows or CLUSTER_ROWS
-    large = staged(
-        rows.groupBy("root").count().filter(F.col("count") > cell_rows)
-        .select("root", F.ceil(F.col("count") / cell_rows).cast("int").alias("k")), "clusters"
-    )
-    c = F.pmod(F.xxhash64("node"), F.col("k")).cast("int")
-    pieces = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda x: F.struct(F.least(x, c).alias("i"), F.greatest(x, c).alias("j"), c.alias("chunk")))
-    zero = F.lit(0)
-    alone = F.array(F.struct(zero.alias("i"), zero.alias("j"), zero.alias("chunk")))
-    cells = rows.join(large, "root", "left").select("root", "node", "shingles", F.inline(F.when(F.col("k").isNull(), alone).otherwise(pieces)))
-    keys = ["root", "i", "j"]
+    labels = named.join(smallest, "root").select("fp", "component_id", "root")
+    return prints.join(labels, "fp").select("doc_id", "fp", "component_id", "root", *kept)
 
-    def compare(batches):
-        for (i, j), members in _cells(batches, keys):
-            sets = [np.frombuffer(m["shingles"], np.uint64) for m in members]
-            # Larger texts first: a text is compared with one of each group before the others.
-            order = sorted(range(len(sets)), key=lambda x: -len(sets[x]))
-            groups: list[list[int]] = []
-            pairs = []
-            for x in order:
-                joined = None
-                apart = []
-                for group in groups:
-                    hit = next((y for y in group if (i == j or members[x]["chunk"] != members[y]["chunk"]) and near(sets[x], sets[y])), None)
-                    if hit is None:
-                        apart.append(group)
-                        continue
-                    pairs.append((members[hit]["node"], members[x]["node"]))
-                    joined = group if joined is None else joined + group
-                groups = [*apart, [*(joined or []), x]]
-            if pairs:
-                yield pa.RecordBatch.from_arrays([pa.array(p, pa.binary()) for p in zip(*pairs)], names=["a", "b"])
-
-    return cells.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(compare, "a binary, b binary").distinct()
-
-
-def _cells(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple[int, int], list[dict]]]:
-    """((i, j), rows) of each piece out of batches that are sorted by ``keys``; one piece is held at a time."""
-    last, members = None, []
-    for batch in batches:
-        for begin in range(0, batch.num_rows, 256):
-            for row in batch.slice(begin, 256).to_pylist():
-                key = tuple(row[k] for k in keys)
-                if key != last and members:
-                    yield last[1:], members
-                    members = []
-                last = key
-                members.append(row)
-    if members:
-        yield last[1:], members
-
-
-def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without near copies: of each group of texts of similarity 0.8 or more the row with the smallest id stays.
-
-    Clusters of candidates are found by several fingerprints of the five-word shingles, each covered by anchors; within
-    a cluster texts are linked by the exact Jaccard similarity of their sets of shingles. Equal texts, null
-    and empty ones as well, are one group; so are blank texts. Of rows that tie on id and text one stays; null ids come
-    last. Other columns stay as they are.
+
+def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, threshold: int = BITS_APART) -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest id, then of the smallest hash of its text.
+
+    Null ids come last. Rows that tie on id and text are alike; one of them stays. All blank texts are one component.
+    Columns of any name stay as they are but ``_node``, which is not allowed. An empty table gives no rows.
     """
-    key, rank = F.unhex(F.md5(utf8(text))), F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1))
-    rows = docs.select(key.alias("node"), rank.alias("rank"), F.col(text).alias("text"))
-    found = fingerprints(rows, "text", {"sketch": lambda x: shingle_simhash(x, SHINGLE_WORDS, 8 * PRINTS)}, F.col("node"), F.col("rank"))
-    distinct = staged(found.groupBy("node").agg(F.min("rank").alias("rank"), F.first("sketch").alias("sketch")), "distinct")
-    clusters = staged(components(alike(distinct)), "clusters")
-    # One row for each distinct text of a cluster.
-    texts = rows.select("node", "text").join(clusters, "node").groupBy("node").agg(F.first("root").alias("root"), F.first("text").alias("text"))
-    sets = staged(fingerprints(texts, "text", {"shingles": shingle_set}, F.col("root"), F.col("node")), "shingles")
-    roots = components(exact_links(sets))
-    grouped = distinct.select("node", "rank").join(roots, "node", "left").select(F.struct("rank", "node").alias("row"), F.coalesce("root", "node").alias("root"))
-    kept = grouped.groupBy("root").agg(F.min("row").alias("row")).select("row.node", "row.rank")
-    whole = docs.select(key.alias("node"), rank.alias("rank"), F.struct("*").alias("doc"))
-    first = F.row_number().over(Window.partitionBy("node", "rank").orderBy(F.lit(0)))
-    return whole.join(kept, ["node", "rank"]).withColumn("nth", first).filter("nth = 1").select("doc.*")
+    key = F.unhex(F.md5(utf8(text)))
+    found = simhash_components(docs, doc_id, text, words, threshold, key.alias("_node"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_node")).alias("row")
+    kept = found.groupBy("root").agg(first).select(F.col("row.doc_id").alias("_id"), F.col("row._node").alias("_kept"))
+    whole = docs.withColumn("_node", key)
+    joined = whole.join(kept, (F.col("_node") == F.col("_kept")) & F.col(doc_id).eqNullSafe(F.col("_id")))
+    nth = F.row_number().over(Window.partitionBy("_node", doc_id).orderBy(F.lit(0)))
+    return joined.withColumn("_nth", nth).filter("_nth = 1").select(*docs.columns)

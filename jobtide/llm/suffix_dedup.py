@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobtide.llm.common import by_bytes, discard, extended, prepare, release, staged, utf8
+from jobtide.llm.common import by_bytes, discard, extended, prepare, staged, utf8
 from jobtide.llm.lcp_sort import BLOCKS, ENTRY, make_runs, merge_ranges
 
 LENGTH = 400
@@ -279,12 +279,10 @@ def repeated_windows(docs: DataFrame, text: str, length: int = LENGTH) -> DataFr
     chunk = CHUNK
     units = staged(rows.mapInArrow(lambda batches: make_runs(_units(batches, length, chunk)), BLOCKS), "runs")
     discard(found)
-    release(docs.sparkSession)
     settled = staged(merge_ranges(units, settle_units(length), UNITS), "units")
     witnesses = settled.filter("core IS NOT NULL")
     open_cores = witnesses.groupBy("core").agg(F.count("*").alias("n"), F.max("asked").alias("open")).filter("open AND n > 1").select("core")
     ends = staged(witnesses.join(open_cores, "core").select(settled.columns).mapInArrow(lambda batches: make_runs(_windows(batches, length)), BLOCKS), "runs")
-    release(docs.sparkSession)
     columns = ["k1", "k2", "at", "starts"]
     repeated = (
         settled.filter("core IS NULL").select(columns).union(_answered(units)).union(_answered(ends))
@@ -295,7 +293,6 @@ def repeated_windows(docs: DataFrame, text: str, length: int = LENGTH) -> DataFr
     repeats = staged(per_text.join(multiple, ["k1", "k2"], "full"), "repeats")
     for finished in (units, settled, ends):
         discard(finished)
-    release(docs.sparkSession)
     return repeats
 
 

@@ -33,8 +33,8 @@ ASSOCIATION, PURITY = 30.0, 0.98
 FEATURE_TEXTS = 4
 ROUNDS, RATE, PENALTY = 50, 0.5, 3e-4
 #: Tokens whose marginals are computed at once; the blocks of a longer text hand their vectors on.
-BLOCK_TOKENS = 400_000
-REMEMBERED = 500_000
+BLOCK_TOKENS = 100_000
+REMEMBERED = 200_000
 
 
 def features(word: str) -> list[str]:

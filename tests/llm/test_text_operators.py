@@ -171,74 +171,30 @@ def test_anchors_cover_every_pair_within_the_threshold(spark, threshold, blocks)
         assert (labels == want).all()
 
 
-def test_near_copies_leave_one_row_and_all_columns(spark):
+def test_copies_leave_one_row_and_all_columns(spark):
+    """Kept rows again by brute force over the fingerprints of all texts."""
     random.seed(3)
-    base = [" ".join(f"w{random.randint(0, 3000)}" for _ in range(300)) for _ in range(4)]
-    edited = [" ".join("zzz" if i in (50, 200) else w for i, w in enumerate(b.split())) for b in base]
-    texts = base + edited + [base[0], "", None, "short", "short"]
-    df = frame(spark, texts, [10, 11, 12, 13, 1, 21, 22, 23, None, 30, 31, 41, 40]).union(frame(spark, ["short"], [40]))
-    left = simhash_anchors.drop_near_duplicates(df)
+    base = [" ".join(f"w{random.randint(0, 3000)}" for _ in range(300)) for _ in range(6)]
+    edited = [" ".join("zzz" if i == 150 else w for i, w in enumerate(b.split())) for b in base]
+    texts = base + edited + [b.upper() for b in base[:3]] + [base[0], "", None, " \t", "short", "short", "word " * 50_000]
+    ids = [10, 11, 12, 13, None, 15, 1, 21, 22, 23, 24, 25, 31, 32, 9, 5, 41, None, 40, 51, 50, 60]
+    df = frame(spark, texts, ids).union(frame(spark, ["short"], [50]))
+    rows = [(i, t) for i, t in zip([*ids, 50], [*texts, "short"])]
+    prints = [plain_simhash(t or "") for _, t in rows]
+    root = groups_of(len(rows), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 4)
+    want = set()
+    for group in set(root):
+        own = [rows[i] for i in range(len(rows)) if root[i] == group]
+        best = min((i is None, i or 0) for i, _ in own)
+        want.add(None if best[0] else best[1])
+    left = simhash_anchors.drop_copies(df)
     assert left.columns == df.columns
-    assert sorted(r.doc_id for r in left.collect()) == [1, 11, 12, 13, 30, 40]
-    assert simhash_anchors.drop_near_duplicates(df.limit(0)).count() == 0
-
-
-def near_copy(words, kind, j):
-    """A text whose five-word shingles have about the similarity ``j`` to those of ``words``."""
-    fresh = lambda k: [f"new{random.random()}" for _ in range(k)]
-    n = len(words) - 4
-    lost = round(n * (1 - j) / (1 + j))
-    at = random.randrange(len(words) - lost)
-    if kind == "block":
-        return words[:at] + fresh(lost - 4) + words[at + lost - 4 :]
-    if kind == "tail":
-        return words + fresh(round(n * (1 / j - 1)))
-    if kind == "cut":
-        return words[: len(words) - round(n * (1 - j))]
-    places = {round((i + 0.5) * len(words) / (lost // 5)) for i in range(lost // 5)}
-    return [fresh(1)[0] if i in places else w for i, w in enumerate(words)]
-
-
-def test_near_copies_after_contiguous_edits(spark):
-    random.seed(8)
-    base = [[f"w{random.randint(0, 3000)}" for _ in range(400)] for _ in range(80)]
-    copies = [near_copy(b, ("block", "tail", "cut")[i % 3], 0.83) for i, b in enumerate(base)]
-    left = simhash_anchors.drop_near_duplicates(frame(spark, [" ".join(t) for t in base + copies]))
-    ids = {r.doc_id for r in left.collect()}
-    assert ids >= set(range(80)) and len(ids) <= 84
-
-
-def shingle_words(text, n=5):
-    words = (text or "").lower().split()
-    return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} or ({tuple(words)} if words else set())
-
-
-def test_near_copies_are_decided_by_exact_similarity(spark):
-    random.seed(9)
-    base = [[f"w{random.randint(0, 3000)}" for _ in range(random.randint(200, 600))] for _ in range(60)]
-    copies = [near_copy(b, kind, random.uniform(0.7, 0.95)) for b in base for kind in ("block", "tail", "cut", "scattered")]
-    texts = [" ".join(t) for t in base + copies]
-    sets = [shingle_words(t) for t in texts]
-    similar = [[len(a & b) >= 0.8 * len(a | b) for b in sets] for a in sets]
-    want = groups_of(len(texts), lambda a, b: similar[a][b])
-    ids = {r.doc_id for r in simhash_anchors.drop_near_duplicates(frame(spark, texts)).collect()}
-    wanted = {want[i] for i in range(len(texts))}
-    # Nothing is dropped that brute force keeps; of what it drops at most one in fifty stays.
-    assert wanted <= ids and len(ids - wanted) <= (len(texts) - len(wanted)) / 50
-
-
-@pytest.mark.parametrize("cell_rows", [256, 7])
-def test_exact_links_equal_brute_force(spark, cell_rows):
-    random.seed(10)
-    base = [f"w{k}" for k in range(150)]
-    texts = [" ".join(near_copy(base, random.choice(["block", "cut", "scattered"]), random.uniform(0.7, 0.9))) for _ in range(60)] + ["", " ", "one two", "One  two"]
-    sets = [shingle_words(t) for t in texts]
-    rows = [(bytearray(b"r"), bytearray([i]), bytearray(simhash_anchors.shingle_set(t.encode()))) for i, t in enumerate(texts)]
-    links = simhash_anchors.exact_links(spark.createDataFrame(rows, "root binary, node binary, shingles binary"), cell_rows).collect()
-    found = {frozenset((r.a[0], r.b[0])) for r in links}
-    alike = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
-    assert all(alike(*sorted(pair)) for pair in found)
-    assert groups_of(len(texts), lambda a, b: frozenset((a, b)) in found) == groups_of(len(texts), alike)
+    got = [r.doc_id for r in left.collect()]
+    assert len(got) == len(set(root)) and set(got) == want
+    assert simhash_anchors.drop_copies(df.limit(0)).count() == 0
+    # Ids may be texts.
+    named = df.withColumn("doc_id", F.concat(F.lit("id"), F.coalesce("doc_id", F.lit(99)).cast("string")))
+    assert simhash_anchors.drop_copies(named).count() == len(set(root))
 
 
 # Native fingerprints
