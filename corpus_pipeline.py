@@ -23,8 +23,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies: the one with the smallest id."""
-    return simhash_anchors.drop_near_duplicates(docs)
+    """One row of each group of SimHash near copies (four-word shingles, four bits): the one with the smallest id."""
+    return simhash_anchors.drop_copies(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
