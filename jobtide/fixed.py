@@ -146,3 +146,6 @@ REMOTE_CODES = {"onSite": "1", "remote": "2", "hybrid": "3"}
 # Texts stored or shown with results.
 INSUFFICIENT = "Insufficient historical data"
 MISSING_JOB_ID = "Missing job_metadata.job_id"
+
+# Fixed value: the note stored with a value whose rule names an entity that doesn't exist yet.
+RULE_NOTE = 'Deterministic rule suggests canonical name "%s", which has no matching row yet in the canonical table.'

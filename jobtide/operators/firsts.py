@@ -2,7 +2,8 @@
 
 All are ``row_number() <= n``: Spark keeps at most n rows per key in every
 input task before the shuffle (WindowGroupLimit), so a key holding a large
-part of the table never gathers in one task.
+part of the table never gathers in one task. Beyond Spark's threshold for
+that, rows are cut down in salted parts of their keys first.
 """
 
 from __future__ import annotations
@@ -10,14 +11,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from jobtide import fixed
 
 
+#: Rows per key up to which Spark cuts down before the shuffle, and parts that a key's rows are dealt into beyond.
+GROUP_LIMIT, PARTS = 1000, 32
+
+
 def top_per_key(df: DataFrame, keys: list, order: list, n: int = 1) -> DataFrame:
     """First n rows of every key in the given order."""
-    rank = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank")
+
+    def first(rows: DataFrame, by: list) -> DataFrame:
+        rank = F.row_number().over(W.partitionBy(*by).orderBy(*order))
+        return rows.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank")
+
+    if n > GROUP_LIMIT:
+        # The part follows from the row alone, so a task that is run again deals its rows alike.
+        plain = [f.name for f in df.schema if isinstance(f.dataType, (T.NumericType, T.StringType, T.DatetimeType, T.BooleanType))]
+        part = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in plain]), F.lit(PARTS)) if plain else F.lit(0)
+        df = first(df.withColumn("_part", part), [*keys, "_part"]).drop("_part")
+    return first(df, keys)
 
 
 def first_per_key(df: DataFrame, keys: list, order: list) -> DataFrame:

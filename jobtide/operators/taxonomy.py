@@ -196,10 +196,7 @@ def resolve_taxonomy(
 def review_rows(resolved: DataFrame) -> DataFrame:
     """Queue rows for the outcomes that need a review."""
     missing = F.col("normalization_method") == "rule_match_entity_missing"
-    note = F.format_string(
-        'Deterministic rule suggests canonical name "%s", which has no matching row yet in the canonical table.',
-        "canonical_name",
-    )
+    note = F.format_string(fixed.RULE_NOTE, "canonical_name")
     job = F.col("job_id").cast("string") if "job_id" in resolved.columns else F.lit(None).cast("string")
     order = [c for c in ("file", "pos") if c in resolved.columns]
     return resolved.filter("requires_review AND error IS NULL").select(

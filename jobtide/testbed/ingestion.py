@@ -44,6 +44,32 @@ _SRC = """SELECT o_orderkey AS k, lpad(CAST(o_orderkey AS VARCHAR), 12, '0') ||
 _OK = f"(SELECT * FROM ({_SRC}) WHERE k % 17 > 4)"
 
 
+# Columns with a width: one value of each as long as its column, or one character longer.
+_WIDE = {
+    "external_job_id": ("external_job_id", "job_id"), "city": ("city", "city"), "state": ("state", "state"), "country": ("country", "country"),
+    "employment_type": ("employment_type", "employment_type"), "advertised_role": ("role", "advertised_role"), "actual_role": ("role", "actual_role_category"),
+    "seniority": ("seniority", "seniority_inferred"), "skill": ("skill", None), "category": ("category", None),
+}
+
+
+def _wide(name: str, otherwise: str) -> str:
+    width = fixed.WIDTHS[_WIDE[name][0]]
+    return f"CASE WHEN c_custkey % {len(_WIDE)} = {list(_WIDE).index(name)} THEN repeat('w', {width} + CAST(floor(c_custkey / {len(_WIDE)}) % 2 AS INT)) ELSE {otherwise} END"
+
+
+def _wide_struct(*names: str) -> str:
+    return "named_struct(" + ", ".join(f"'{_WIDE[n][1]}', {_wide(n, 'CAST(c_custkey AS STRING)')}" for n in names) + ")"
+
+
+_WIDE_DOCS = f"""SELECT c_custkey AS k, CAST(c_custkey AS STRING) AS file, to_json(named_struct('job_metadata', {_wide_struct("external_job_id", "city", "state", "country", "employment_type")},
+    'role_analysis', {_wide_struct("advertised_role", "actual_role", "seniority")}, 'skills', map({_wide("category", "'k'")}, array({_wide("skill", "'RAG'")})))) AS raw FROM {{customer}}"""
+
+
+def _widths(s, d):
+    parsed = D.stage_documents(portable(s, d, _WIDE_DOCS).select("file", "raw"))
+    return D.statuses(parsed).select(F.col("file").cast("long").alias("k"), "status", "error")
+
+
 _STAGED: dict[tuple[str, str], str] = {}
 
 
@@ -128,6 +154,11 @@ QUERIES = {
             WHEN k % 17 = 3 THEN 'error' ELSE 'ok' END AS status, CASE WHEN k % 17 IN (0, 4) THEN 'Invalid JSON'
             WHEN k % 17 IN (1, 2) THEN 'Missing job_metadata.job_id' WHEN k % 17 = 3 THEN 'Value does not fit: city' END AS error FROM ({_SRC})""",
     ),
+    "document_widths": (
+        _widths,
+        f"""SELECT c_custkey AS k, CASE WHEN wide THEN 'error' ELSE 'ok' END AS status, CASE WHEN wide THEN 'Value does not fit: ' || name END AS error
+            FROM (SELECT c_custkey, floor(c_custkey / {len(_WIDE)}) % 2 = 1 AS wide, ['{"', '".join(_WIDE)}'][c_custkey % {len(_WIDE)} + 1] AS name FROM customer)""",
+    ),
     "ingest_summary": (
         lambda s, d: D.ingest_summary(staged(s, d)),
         f"""SELECT count(*) AS total, count(*) FILTER (WHERE k % 17 > 4) AS succeeded, count(*) FILTER (WHERE k % 17 <= 4) AS failed FROM ({_SRC})""",

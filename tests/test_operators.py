@@ -381,6 +381,15 @@ def test_merge_chains_equal_a_walk(spark):
         assert got == {n: walk(n, most) for n in into}
 
 
+def test_many_rows_per_key_are_cut_down_in_parts(spark, monkeypatch):
+    df = spark.createDataFrame([(i % 3 if i % 7 else None, (i * 37) % 101, i, [i]) for i in range(300)], "k int, o int, i int, l array<int>")
+    want = sorted(map(str, firsts.top_per_key(df, ["k"], ["o", F.desc("i")], 20).collect()))
+    monkeypatch.setattr(firsts, "GROUP_LIMIT", 5)
+    salted = firsts.top_per_key(df, ["k"], ["o", F.desc("i")], 20)
+    assert sorted(map(str, salted.collect())) == want and salted.columns == df.columns
+    assert firsts.top_per_key(df.select("l"), ["l"], ["l"], 20).count() == 300
+
+
 def test_run_updates(spark):
     schema = "id int, status string, jobs_scraped int, completed_at timestamp"
     state = spark.createDataFrame([(1, "pending", None, None), (2, "pending", None, None)], schema)
