@@ -201,14 +201,16 @@ def _codec(digest: str, pattern: str, load) -> Codec:
     return Codec(load.value, pattern)
 
 
-def _by_row(df: DataFrame, column: str, name: str, work: Column, model, digest: str, pattern: str, method: str) -> DataFrame:
-    """``df`` with the binary column ``name``: the codec's ``method`` of ``work``; a column of that name is replaced."""
-    kept = df.drop(name)
+def _by_row(df: DataFrame, names: list[str], work: Column, model, digest: str, pattern: str, methods: list[str]) -> DataFrame:
+    """``df`` with binary columns: what the codec's methods make of ``work``, each of the one before; columns of their names are replaced."""
+    kept = df.drop(*names)
     rows = kept.select("*", work.alias("_codec_input"))
-    schema = kept.schema.add(name, "binary")
+    schema = kept.schema
+    for name in names:
+        schema = schema.add(name, "binary")
 
     def apply(batches):
-        run = getattr(_codec(digest, pattern, model), method)
+        codec = _codec(digest, pattern, model)
         for batch in batches:
             ends = np.cumsum(pc.binary_length(batch.column(batch.num_columns - 1)).to_numpy(zero_copy_only=False).astype(np.int64))
             begin = 0
@@ -216,8 +218,11 @@ def _by_row(df: DataFrame, column: str, name: str, work: Column, model, digest:
                 # Rows of about BATCH_BYTES, one at least.
                 upto = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + BATCH_BYTES)))
                 part = batch.slice(begin, upto - begin)
-                results = run(part.column(part.num_columns - 1).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(results, pa.binary())], names=schema.names)
+                results, columns = part.column(part.num_columns - 1).to_pylist(), []
+                for method in methods:
+                    results = getattr(codec, method)(results)
+                    columns.append(pa.array(results, pa.binary()))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *columns], names=schema.names)
                 begin = upto
 
     return rows.mapInArrow(apply, schema)
@@ -238,8 +243,12 @@ class Vocabulary:
         A null or empty text has no ids. Rows keep their order, number and other columns; a column called
         ``name`` is replaced. Repeated rows and empty tables need no care.
         """
-        return _by_row(df, text, name, F.coalesce(F.col(text), F.lit("")), self.model, self.digest, self.pattern, "encode")
+        return _by_row(df, [name], F.coalesce(F.col(text), F.lit("")), self.model, self.digest, self.pattern, ["encode"])
+
+    def round_trip(self, df: DataFrame, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+        """Adds the ids of the whole text and the bytes they decode to, in one worker; as ``encode`` and ``decode`` in turn."""
+        return _by_row(df, [ids, decoded], F.coalesce(F.col(text), F.lit("")), self.model, self.digest, self.pattern, ["encode", "decode"])
 
     def decode(self, df: DataFrame, ids: str = "ids", name: str = "decoded") -> DataFrame:
         """Adds the bytes that the ids stand for; null ids decode to no bytes."""
-        return _by_row(df, ids, name, F.coalesce(F.col(ids), F.lit(b"")), self.model, self.digest, self.pattern, "decode")
+        return _by_row(df, [name], F.coalesce(F.col(ids), F.lit(b"")), self.model, self.digest, self.pattern, ["decode"])

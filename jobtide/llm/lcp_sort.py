@@ -24,8 +24,6 @@ from jobtide.llm.common import prepare
 
 #: Bytes of strings that a task sorts at a time, bytes of a block of a run, and compressed bytes of blocks that meet in one merge.
 RUN_BYTES, BLOCK_BYTES, RANGE_BYTES = 12 << 20, 64 << 10, 6 << 20
-#: Rounds of splitting ranges that measure above twice RANGE_BYTES.
-ROUNDS = 4
 #: What travels with a string: whether it is known to occur twice, its text (two halves of a 128-bit key; none if
 #: nobody asks for it), its place there, the number of starts it stands for, and the place of its anchor.
 ENTRY = np.dtype([("twin", "?"), ("asked", "?"), ("k1", "<i8"), ("k2", "<i8"), ("at", "<i8"), ("starts", "<i4"), ("anchor", "<i4")])
@@ -234,21 +232,23 @@ def _samples(stored: DataFrame, borders: list[bytes], rates: dict[int, float]) -
 
 
 def place_borders(stored: DataFrame, least: int) -> list[bytes]:
-    """Borders of ranges of about RANGE_BYTES; only equal strings can make a range larger than twice that."""
+    """Borders of ranges of about RANGE_BYTES; only equal strings can make a range larger than twice that.
+
+    Ranges that measure more are split again until no sample of one yields another border.
+    """
     total = stored.agg(F.sum(F.length("body") + F.length("entries")), F.count("*")).first()
     ranges = max(least, math.ceil((total[0] or 0) / RANGE_BYTES))
     # About 40 block heads a range place the first borders.
     sampled = stored.filter(F.rand(7) < min(1.0, 40 * ranges / max(total[1], 1))).select("first")
     borders = shortest_borders(sorted(bytes(r["first"]) for r in sampled.collect()), ranges)
-    for _ in range(ROUNDS):
+    while True:
         large = {k: size for k, size in _measured(stored, borders).items() if size > 2 * RANGE_BYTES}
         # Again about 40 strings for each range that is to be.
         samples = _samples(stored, borders, {k: 40 / RANGE_BYTES for k in large}) if large else {}
         new = {b for k, size in large.items() for b in shortest_borders(samples.get(k, []), math.ceil(size / RANGE_BYTES))} - set(borders)
         if not new:
-            break
+            return borders
         borders = sorted({*borders, *new})
-    return borders
 
 
 def merge_ranges(blocks: DataFrame, answer: Callable, schema: str) -> DataFrame:

@@ -20,7 +20,7 @@ def op1_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = Vocabulary(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    coded = vocabulary.decode(vocabulary.encode(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
+    coded = vocabulary.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return coded.select(
         "doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
     )

@@ -31,7 +31,7 @@ from jobtide.llm.lcp_sort import BLOCKS, ENTRY, make_runs, merge_ranges
 
 LENGTH = 400
 #: Bytes whose hash orders positions, and bytes of text worked on at a time.
-GRAM, CHUNK = 16, 1 << 20
+GRAM, CHUNK = 16, 1 << 19
 POSITION = (1 << 24) - 1
 #: Units whose windows are spelled out at a time, and answers that are put into one batch.
 UNIT_ROWS, ANSWER_ROWS = 500, 10_000

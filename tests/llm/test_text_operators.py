@@ -109,6 +109,8 @@ def test_bpe_equals_the_library(spark):
     texts += ["", "<|endoftext|>", "a" * 20_000, " " * 3000 + "x", "word " * 30_000, None, None]
     vocabulary = byte_bpe.Vocabulary(spark, RANKS, public_tokenizers.PATTERN)
     coded = vocabulary.decode(vocabulary.encode(frame(spark, texts))).orderBy("doc_id").collect()
+    both = vocabulary.round_trip(frame(spark, texts)).orderBy("doc_id")
+    assert both.collect() == coded and both.columns == [*frame(spark, []).columns, "ids", "decoded"]
     for text, row in zip(texts, coded):
         want = library.encode_ordinary(text or "")
         assert bytes(row.ids) == struct.pack(f"<{len(want)}I", *want)
@@ -332,7 +334,7 @@ def test_cut_passages_leaves_all_else_as_it_was(spark):
 
 def test_repeats_a_piece_apart(spark):
     rng = random.Random(5)
-    passage, long = rng.randbytes(200).hex(), rng.randbytes(1_100_000).hex()
+    passage, long = rng.randbytes(200).hex(), rng.randbytes(600_000).hex()
     text = f"{long[:1000]}({passage}){long[1000:]}[{passage}]"
     (found,) = suffix_dedup.remove_repeats(frame(spark, [text]), "text", F.col("doc_id")).collect()
     assert bytes(found.kept).decode() == f"{long[:1000]}(){long[1000:]}[]"
@@ -601,6 +603,26 @@ def test_embedding_links_equal_brute_force(spark):
     assert got[206] == (1, 206, True) and got[207] == (1, 206, False)
 
 
+def test_recall_by_cosine_band(spark):
+    """Planted pairs in 64 dimensions: nearly all just above the threshold are found, all well above, none below."""
+    rng = np.random.default_rng(5)
+    bands = [(0.90, 0.929), (0.931, 0.94), (0.94, 0.96), (0.96, 1.0)]
+    rows, wanted = [], []
+    for i in range(1200):
+        a, b = rng.normal(size=(2, 64))
+        a /= np.linalg.norm(a)
+        b -= b @ a * a
+        b /= np.linalg.norm(b)
+        c = rng.uniform(*bands[i % 4])
+        rows += [(2 * i, a.tolist(), i % 3), (2 * i + 1, (c * a + np.sqrt(1 - c * c) * b).tolist(), i % 3)]
+        wanted.append(i % 4)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    root = {r.vec_id: r.component_id for r in embedding_dedup.embedding_components(df).collect()}
+    hit = np.array([root[2 * i + 1] == 2 * i for i in range(1200)])
+    recall = [hit[np.array(wanted) == k].mean() for k in range(4)]
+    assert recall[0] == 0 and recall[1] >= 0.96 and recall[2] >= 0.98 and recall[3] >= 0.995
+
+
 def test_crowded_buckets_are_dealt_out(spark):
     rng = np.random.default_rng(1)
     vectors = rng.normal(size=64) + rng.normal(size=(40, 64)) * 0.05
