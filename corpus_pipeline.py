@@ -45,7 +45,7 @@ def sample_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, lang, n_tokens, ids (little-endian unsigned 32-bit integers) and whether decoding gives the text back."""
     vocabulary = Vocabulary(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    coded = vocabulary.decode(vocabulary.encode(docs.select("doc_id", "source", "lang", "text")))
+    coded = vocabulary.round_trip(docs.select("doc_id", "source", "lang", "text"))
     same = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
     return coded.select("doc_id", "source", "lang", (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
 
