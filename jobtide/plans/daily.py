@@ -108,7 +108,7 @@ def update_state(
     modified, length, digest) become part of the same version.
     """
     writer = tables.StateWriter(spark, base, buckets)
-    state, batch = tables.read_state(spark, base), Batch.of(docs)
+    state, batch = tables.read_state(spark, base, names=["skills", "capabilities", "roles", "taxonomy_aliases", "taxonomy_review_queue"]), Batch.of(docs)
     novel = stage(novel_queue_rows(state["taxonomy_review_queue"], batch.sightings(), canon_of(state), state["taxonomy_aliases"], now))
     entities = {"skills": batch.skills, "capabilities": batch.capabilities, "roles": batch.roles}
     changed = {name: upsert.changed_names(state[name], rows) for name, rows in entities.items()}
@@ -118,7 +118,7 @@ def update_state(
         keys["file_ledger"] = ledger.select("path")
     touched = tables.touched_buckets(keys, writer.buckets)
     touched |= dict.fromkeys(JOB_TABLES, touched["jobs"])
-    held = tables.read_state(spark, base, only=touched)
+    held = tables.read_state(spark, base, only=touched, names=list(touched))
     new = batch.upserted(held, now)
     for name, rows in entities.items():
         fresh = rows.join(changed[name], "normalized_name", "left_semi")
@@ -146,7 +146,7 @@ def ingest_changes(spark: SparkSession, source_dir: str, base: str, now: Column,
     differs, is read again, and its document upserted if its content differs; a file that was only touched changes the
     ledger alone. The ledger is published with the state: a run that fails is simply run again.
     """
-    known = tables.read_state(spark, base)["file_ledger"]
+    known = tables.read_state(spark, base, names=["file_ledger"])["file_ledger"]
     found = stage(changed_files(spark, source_dir, known))
     rows = found.select(F.col("file").alias("path"), "modified", "length", "digest")
     same = known.select(F.col("path").alias("file"), "digest")
@@ -177,7 +177,7 @@ def aggregate(spark: SparkSession, base: str, start: str, end: str | None = None
     The figures come from the counts that the state keeps of its facts: neither jobs nor bridges are read.
     """
     end = end or start
-    state = tables.read_state(spark, base)
+    state = tables.read_state(spark, base, names=["job_counts", "roles"])
     counts, roles = state["job_counts"], state["roles"]
     used = counts.filter("dimension = 'role'").select(F.col("value").alias("actual_role"))
     orphans = [r[0] for r in daily.unmatched_roles(used, roles).take(1)]

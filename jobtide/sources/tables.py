@@ -163,20 +163,20 @@ def _folders(spark: SparkSession, base: str, version: int | None = None) -> list
 
 
 def read_state(
-    spark: SparkSession, base: str, version: int | None = None, only: dict[str, list[int]] | None = None
+    spark: SparkSession, base: str, version: int | None = None, only: dict[str, list[int]] | None = None, names: list[str] | None = None
 ) -> dict[str, DataFrame]:
-    """Tables of a published state; empty ones before the first. A published table whose folder is gone is an error.
+    """Tables of a published state, all or those named; empty ones before the first. A published folder that is gone is an error.
 
     With ``only``, the given tables hold no more than the given buckets; other buckets are not listed or read.
     """
     if version and version > state_version(spark, base):
         raise ValueError(f"state {version} was never published")
-    paths: dict[str, list[str]] = {name: [] for name in STATE_SCHEMAS}
+    paths: dict[str, list[str]] = {name: [] for name in names or STATE_SCHEMAS}
     for row in _folders(spark, base, version):
         name = row["table_name"]
-        if row["filled"] and (only is None or name not in only or row["bucket"] in only[name]):
+        if name in paths and row["filled"] and (only is None or name not in only or row["bucket"] in only[name]):
             paths[name].append(_bucket_path(base, name, row["folder"], row["bucket"]))
-    return {name: _read(spark, base, name, paths[name]) for name in STATE_SCHEMAS}
+    return {name: _read(spark, base, name, found) for name, found in paths.items()}
 
 
 def _bucket_path(base: str, name: str, folder: str, bucket: int) -> str:

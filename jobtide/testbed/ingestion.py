@@ -122,7 +122,10 @@ _CYCLE_BATCH = """SELECT 'f1' AS file, o_orderkey AS job_id, o_orderkey % 5 = 0
     UNION ALL SELECT 'f2', o_orderkey, false, CAST(NULL AS BOOLEAN), CAST(NULL AS BOOLEAN) FROM {orders} WHERE o_orderkey % 2 = 0"""
 _ROLE_STATE = "SELECT o_orderkey AS job_id, o_orderpriority AS actual_role, 'Junior' AS seniority FROM {orders} WHERE o_orderkey % 3 <> 0"
 _ROLE_BATCH = "SELECT 'f1' AS file, o_orderkey AS job_id, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderstatus END AS actual_role, 'Senior' AS seniority FROM {orders} WHERE o_orderkey % 3 = 0 OR o_orderkey % 2 = 0"
-_DUPES = "SELECT 'brand#1' AS duplicate_id, 'brand#2' AS canonical_id UNION ALL SELECT 'brand#3', 'brand#2' UNION ALL SELECT 'brand#4', 'gone' UNION ALL SELECT 'brand#11', 'brand#12'"
+# Every third brand is a duplicate of the next one; the last one may lack its canonical brand.
+_DUPES = """SELECT DISTINCT lower(p_brand) AS duplicate_id, 'brand#' || CAST(CAST(substr(p_brand, 7) AS INT) + 1 AS STRING) AS canonical_id
+    FROM {part} WHERE CAST(substr(p_brand, 7) AS INT) % 3 = 1"""
+_PAIRS = "SELECT * FROM dupes WHERE canonical_id IN (SELECT lower(p_brand) FROM part)"
 _POSTINGS = """SELECT event_id AS position, CAST(event_id % 3 AS INT) AS dataset_no, event_type AS title,
       CASE WHEN event_id % 50 = 0 THEN NULL WHEN event_id % 51 = 0 THEN '' WHEN event_id % 3 = 1 THEN 'hot' ELSE CAST(event_id % 997 AS STRING) END AS job_id FROM {events}"""
 _NOW = "2030-01-01 00:00:00"
@@ -140,7 +143,7 @@ def _dupes(s, d, part):
     skills = M.model(s, d, "skills").withColumn("category", F.lit("x"))
     bridge = M.job_skills(s, d)
     metrics = bridge.groupBy("skill_id").agg(F.count(F.lit(1)).alias("job_count"))
-    return upsert.merge_duplicate_skills(bridge, skills, metrics, s.sql(_DUPES))[part]
+    return upsert.merge_duplicate_skills(bridge, skills, metrics, portable(s, d, _DUPES))[part]
 
 
 def _posting_batch(s, d):
@@ -263,19 +266,18 @@ QUERIES = {
     ),
     "duplicate_merge": (
         lambda s, d: _dupes(s, d, 0),
-        with_model("job_skills") + """, mapped AS (SELECT *, CASE skill_id WHEN 'brand#1' THEN 'brand#2' WHEN 'brand#3' THEN 'brand#2'
-              WHEN 'brand#11' THEN 'brand#12' ELSE skill_id END AS to_id FROM job_skills)
+        with_model("job_skills", dupes=_DUPES, pairs=_PAIRS) + """, mapped AS (SELECT j.*, coalesce(canonical_id, skill_id) AS to_id FROM job_skills j LEFT JOIN pairs ON duplicate_id = skill_id)
             SELECT job_id, to_id AS skill_id, category, priority FROM mapped
             QUALIFY row_number() OVER (PARTITION BY job_id, to_id ORDER BY skill_id <> to_id, skill_id) = 1""",
     ),
     "duplicate_merge_entities": (
         lambda s, d: _dupes(s, d, 1),
-        with_model("skills") + "SELECT name, normalized_name, 'x' AS category FROM skills WHERE normalized_name NOT IN ('brand#1', 'brand#3', 'brand#11')",
+        with_model("skills", dupes=_DUPES, pairs=_PAIRS) + "SELECT name, normalized_name, 'x' AS category FROM skills WHERE normalized_name NOT IN (SELECT duplicate_id FROM pairs)",
     ),
     "duplicate_merge_metrics": (
         lambda s, d: _dupes(s, d, 2),
-        with_model("job_skills") + """SELECT skill_id, count(*) AS job_count FROM job_skills
-            WHERE skill_id NOT IN ('brand#1', 'brand#3', 'brand#11') GROUP BY 1""",
+        with_model("job_skills", dupes=_DUPES, pairs=_PAIRS) + """SELECT skill_id, count(*) AS job_count FROM job_skills
+            WHERE skill_id NOT IN (SELECT duplicate_id FROM pairs) GROUP BY 1""",
     ),
     "dedup_postings": (
         lambda s, d: firsts.dedup_postings(_posting_batch(s, d)),

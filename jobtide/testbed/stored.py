@@ -88,7 +88,7 @@ def all_tables(state: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, lines)
 
 
-def _tables_sql(
+def tables_sql(
     source: str = I._SRC, category: str = "category", first: str = f"'{FIRST}'", last: str = f"'{FIRST}'", cicd: str = "'false'", ok: str = "k % 17 > 4"
 ) -> str:
     """The same lines, from the documents' rules; ``source`` gives k, file, job_id and what the documents are made of."""
@@ -116,7 +116,7 @@ def _tables_sql(
 
 
 _BOTH = f"SELECT * FROM ({I._SRC}) WHERE {_IN_FIRST} OR {_IN_SECOND}"
-_AFTER_BOTH = _tables_sql(
+_AFTER_BOTH = tables_sql(
     _BOTH, f"CASE WHEN {_IN_SECOND} AND category = 'zeta' THEN 'eta' ELSE category END",
     f"CASE WHEN {_IN_FIRST} THEN '{FIRST}' ELSE '{SECOND}' END", f"CASE WHEN {_IN_SECOND} THEN '{SECOND}' ELSE '{FIRST}' END",
     f"CASE WHEN {_IN_SECOND} THEN 'true' ELSE 'false' END",
