@@ -31,7 +31,8 @@ def job_counts(jobs: DataFrame, job_skills: DataFrame, job_capabilities: DataFra
     """Counts of jobs (external_job_id, company, city, industry, applicants, first_seen_at) and their bridges.
 
     ``by`` names columns that all four frames share, such as a bucket: counts are kept apart by them, and a job and its
-    bridges meet within them. The jobs are read once, the bridges once and together.
+    bridges meet within them. The jobs are read twice, for their own columns and for the days of the bridges, which are
+    read once and together.
     """
     by = by or []
     day = F.col("first_seen_at").cast("date").alias("day")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from jobtide import fixed
 from jobtide.operators import backfill, daily, health
+from jobtide.operators.counts import job_counts, snapshots_from_counts
 from jobtide.operators.emerging import emerging_skills
 from jobtide.operators.trend import jobs_trend, role_trend, skill_trend, trend_details, with_trends
 from jobtide.testbed import model as M
@@ -339,3 +340,20 @@ QUERIES = {
             CASE WHEN day(metric_date) <= 20 THEN CAST(day(metric_date) AS DOUBLE) END AS market_health_score FROM m""",
     ),
 }
+
+
+def _from_counts(table: str):
+    """The figures of every date out of counts per (first day, value), which are stored with a state."""
+
+    def query(s, d):
+        counts = job_counts(jobs(s, d).withColumnRenamed("job_id", "external_job_id"), M.job_skills(s, d), M.job_capabilities(s, d), M.job_roles(s, d))
+        return snapshots_from_counts(counts, M.model(s, d, "roles"), START, END)[table]
+
+    return query
+
+
+# The same figures as the backfill of each name, on another way.
+QUERIES |= {
+    f"counted_{name}": (_from_counts(f"daily_{name}_metrics"), QUERIES[f"backfill_{name}"][1])
+    for name in ("market", "skill", "role", "capability", "seniority", "location", "industry")
+}
