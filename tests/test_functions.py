@@ -173,3 +173,26 @@ def test_actor_input(spark):
         "experienceLevels": ["director"], "titleKeywordFilter": ["k"],
     }
     assert got[1] == {"keywords": '"x"', "maxItems": 25, "fetchFullDescription": True}
+
+
+def test_years_are_worked_out_once_per_value(spark):
+    from jobtide.functions import clean
+
+    rows = spark.sql("SELECT parse_json(j) AS v FROM VALUES ('\"3-5\"'), ('[\"8+\"]'), ('7') AS t(j)")
+    years = clean.parse_years(F.col("v"))
+    found = rows.select(clean.combine_experience(years, years, years).alias("e"))
+    # The same text was spelled out for each of its uses, until the generated code no longer compiled.
+    assert found._jdf.queryExecution().analyzed().toString().count("regexp_extract(") <= 60
+    assert [tuple(r["e"]) for r in found.collect()] == [(3.0, 5.0), (8.0, None), (7.0, 7.0)]
+
+
+def test_documents_are_spread_before_their_texts_are_made(spark, tmp_path, monkeypatch):
+    from jobtide.testbed import ingestion
+
+    spark.sql("SELECT id AS o_orderkey, id AS o_custkey, DATE '2024-01-01' AS o_orderdate FROM range(400)").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.sql("SELECT id AS c_custkey, id % 2 AS c_nationkey, 'c' AS c_name, 'M' AS c_mktsegment FROM range(400)").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.sql("SELECT id AS n_nationkey, 'N' AS n_name FROM range(2)").write.parquet(str(tmp_path / "nation.parquet"))
+    monkeypatch.setattr(ingestion, "DOCS_PER_TASK", 20)
+    docs = ingestion.documents_of(spark, str(tmp_path))
+    assert docs.rdd.getNumPartitions() == 20 and docs.count() == 400
+    assert "raw" not in next(line for line in docs._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Repartition" in line)
