@@ -14,12 +14,22 @@ from jobtide.functions.text import first_defined, let, nullify_literal_null
 from jobtide.session import shared_dir
 
 
+#: Shares of a folder, as Spark packs files for a task, that a task takes.
+SHARES = 16
+
+
 def read_analysis_dir(spark: SparkSession, path: str) -> DataFrame:
-    """One row per *.json file: ``file`` (its path), ``raw``."""
-    return (
+    """One row per *.json file: ``file`` (its path), ``raw``.
+
+    Spark packs some thirty small files into a task, and the parse takes longer to set up than to read them. So a task
+    takes the share of many: the rows pass one by one, and enough tasks stay to keep the cores busy.
+    """
+    files = (
         spark.read.text(path, wholetext=True, pathGlobFilter="*.json")
         .select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("raw"))
     )
+    packed = files.rdd.getNumPartitions()
+    return files.coalesce(max(1, min(packed, max(2 * spark.sparkContext.defaultParallelism, packed // SHARES))))
 
 
 def changed_files(spark: SparkSession, path: str, ledger: DataFrame) -> DataFrame:

@@ -196,3 +196,14 @@ def test_documents_are_spread_before_their_texts_are_made(spark, tmp_path, monke
     docs = ingestion.documents_of(spark, str(tmp_path))
     assert docs.rdd.getNumPartitions() == 20 and docs.count() == 400
     assert "raw" not in next(line for line in docs._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Repartition" in line)
+
+
+def test_many_small_files_share_few_tasks(spark, tmp_path):
+    from jobtide.sources.documents import read_analysis_dir
+
+    for n in range(400):
+        (tmp_path / f"{n}.json").write_text(f'{{"n": {n}}}')
+    files = read_analysis_dir(spark, str(tmp_path))
+    # Packed by Spark alone they take a task for each thirty-odd files.
+    assert files.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
+    assert sorted(r["raw"] for r in files.collect()) == sorted(f'{{"n": {n}}}' for n in range(400))
