@@ -240,8 +240,9 @@ def _appended_profiles(s, d):
 def _appended_configs(s, d):
     """Two configurations of every profile, in two batches of one stream; both stay."""
     path = _folder(s, "configs")
-    queries = S._configs(s, d).withColumns({"user_profile_id": F.col("c_custkey"), "created_at": F.lit(None).cast("timestamp_ntz")})
-    filters = plan_filters(s, d)
+    # Both batches take their rows from the same profiles and queries: they are parsed once.
+    queries = documents.stage(S._configs(s, d).withColumns({"user_profile_id": F.col("c_custkey"), "created_at": F.lit(None).cast("timestamp_ntz")}))
+    filters = documents.stage(plan_filters(s, d))
     for number in (0, 1, 1):
         batch = queries.withColumn("id", F.col("c_custkey") * 2 + number)
         failed = batch.filter(f"c_custkey % 10 = {number}").select("id", "user_profile_id", "created_at")
