@@ -22,35 +22,38 @@ def read_analysis_dir(spark: SparkSession, path: str) -> DataFrame:
     """One row per *.json file: ``file`` (its path), ``raw``.
 
     Spark packs some thirty small files into a task, and the parse takes longer to set up than to read them. So a task
-    takes the share of many: the rows pass one by one, and enough tasks stay to keep the cores busy.
+    takes the share of many.
     """
     files = (
         spark.read.text(path, wholetext=True, pathGlobFilter="*.json")
         .select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("raw"))
     )
+    return _in_shares(files)
+
+
+def _in_shares(files: DataFrame) -> DataFrame:
+    """Rows of a folder of many small files, each task taking the share of many; enough tasks stay for the cores."""
     packed = files.rdd.getNumPartitions()
-    return files.coalesce(max(1, min(packed, max(2 * spark.sparkContext.defaultParallelism, packed // SHARES))))
+    return files.coalesce(max(1, min(packed, max(2 * files.sparkSession.sparkContext.defaultParallelism, packed // SHARES))))
 
 
 def changed_files(spark: SparkSession, path: str, ledger: DataFrame) -> DataFrame:
     """*.json files of a folder that the ledger does not know as they are: file, raw, modified, length, digest.
 
-    The folder is listed, not read: what the ledger (path, modified, length) knows with the same time and size is
+    The folder is listed once, not read: what the ledger (path, modified, length) knows with the same time and size is
     left out. Of the rest the oldest time is pushed into the scan, so that files last written before it are not opened.
     """
 
-    def files() -> DataFrame:
-        return spark.read.format("binaryFile").option("pathGlobFilter", "*.json").option("recursiveFileLookup", True).load(path)
-
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").option("recursiveFileLookup", True).load(path)
     modified = F.unix_millis("modificationTime").alias("modified")
-    listed = files().select("path", modified, "length")
+    listed = stage(_in_shares(files.select("path", modified, "length")))
     unknown = listed.join(ledger.select("path", "modified", "length"), ["path", "modified", "length"], "left_anti")
     oldest = unknown.agg(F.min("modified")).first()[0]
     if oldest is None:
         return listed.limit(0).select(
             F.col("path").alias("file"), F.lit("").alias("raw"), "modified", "length", F.lit("").alias("digest")
         )
-    opened = files().filter(F.col("modificationTime") >= F.timestamp_millis(F.lit(oldest)))
+    opened = _in_shares(files.filter(F.col("modificationTime") >= F.timestamp_millis(F.lit(oldest))))
     return (
         opened.join(unknown.select("path"), "path", "left_semi")
         .select(

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import uuid
 from functools import reduce
+from itertools import groupby
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -265,8 +266,24 @@ def plan_filters(s, d):
 
 
 def _as_files(docs: DataFrame, path: str) -> None:
-    """A JSON file for each document, in a folder of its own key; files of a key that is written again are replaced."""
-    docs.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("k").json(path)
+    """A JSON file for each key; the file of a key that is written again is replaced. ``docs`` is partitioned by k.
+
+    A file is written by its name as one stream of bytes. Spark's writer would set up a folder, an attempt and a
+    checksum for each, and the driver would move them one by one.
+    """
+    lines = docs.select("k", F.to_json(F.struct(*[c for c in docs.columns if c != "k"])).alias("line")).sortWithinPartitions("k")
+
+    def write(rows) -> None:
+        from pyarrow import fs
+
+        files, root = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+        files.create_dir(root, recursive=True)
+        for k, group in groupby(rows, lambda r: r["k"]):
+            name = "__HIVE_DEFAULT_PARTITION__" if k is None else k
+            with files.open_output_stream(f"{root}/k={name}.json", compression=None) as out:
+                out.write("".join(f"{r['line']}\n" for r in group).encode())
+
+    lines.foreachPartition(write)
 
 
 _FILE_DOC = """SELECT c_custkey AS k, named_struct('job_id', CASE WHEN c_custkey % 7 = 0 THEN '' ELSE CAST(c_custkey AS STRING) END, 'title', c_name, 'city', c_mktsegment,
@@ -286,7 +303,7 @@ def _analysis_folder(s, d):
     _as_files(docs.repartition(s.sparkContext.defaultParallelism, "k"), path)
     M.table(s, d, "region").select("r_name").write.mode("append").option("compression", "none").text(path)
     found = documents.statuses(documents.stage_documents(documents.read_analysis_dir(s, path)))
-    return found.select(F.regexp_extract("file", "k=(\\d+)/", 1).cast("long").alias("k"), "status", "error")
+    return found.select(F.regexp_extract("file", "k=(\\d+)\\.json", 1).cast("long").alias("k"), "status", "error")
 
 
 def _edited_folder(s, d):

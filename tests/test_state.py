@@ -8,10 +8,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from jobtide.operators.backfill import backfill_dimension, backfill_market, backfill_skills
+from jobtide.operators import project, upsert
 from jobtide.operators.counts import job_counts, snapshot_from_counts, snapshots_from_counts
 from jobtide.plans import daily as plan
 from jobtide.sources import tables
 from jobtide.sources.documents import stage_documents
+from jobtide.testbed import stored
 
 NOW = "2024-01-0{} 08:00:00"
 
@@ -217,3 +219,54 @@ def test_changed_files_are_read_again(spark, tmp_path):
     assert {"graph", "rag"} <= skills
     assert held["taxonomy_review_queue"].filter("raw_value = 'Graph'").count() == 1
     assert run() == [] and tables.state_version(spark, base) == 2
+
+
+def test_names_of_a_batch_are_cut_down_to_their_first_sighting(spark):
+    docs = {f"f{i}": document(f"j{i}", i) for i in range(12)}
+    staged = stage_documents(files(spark, docs)).filter("status = 'ok'")
+    batch = plan.Batch.of(staged)
+    first = [r.asDict() for r in batch.first_names().collect()]
+    assert len({(r["dimension"], r["raw_value"]) for r in first}) == len(first)
+    seen = {}
+    for r in sorted(batch.sightings().collect(), key=lambda r: (r["file"], r["pos"])):
+        seen.setdefault((r["dimension"], r["raw_value"]), (r["job_id"], r["file"], r["pos"]))
+    assert {(r["dimension"], r["raw_value"]): (r["job_id"], r["file"], r["pos"]) for r in first} == seen
+
+
+def test_rules_of_capabilities_are_matched_once(spark):
+    rows = project.project_job_capabilities(spark.createDataFrame([("f", "j", ["Build RAG bots", " Do  it "])], "file string, job_id string, capabilities array<string>"))
+    assert [tuple(r)[4:] for r in rows.orderBy("pos").collect()] == [("Build RAG Systems", "Build RAG Systems", "build rag systems"), (None, "Do  it", "do it")]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("observab") == 1
+
+
+def test_lifecycle_rows_meet_the_state_in_one_merge(spark):
+    state = spark.createDataFrame([("a", True), ("b", True), ("c", None), (None, True)], "job_id string, evaluation boolean")
+    rows = [("f1", "a", True, False), ("f2", "a", False, None), ("f1", "b", False, None), ("f1", "d", False, None), ("f1", "e", True, True), ("f1", "g", None, True), ("f1", None, True, False)]
+    batch = spark.createDataFrame(rows, "file string, job_id string, replaces boolean, evaluation boolean")
+    new = upsert.upsert_lifecycle(state, batch)
+    want = [("a", False), ("b", True), ("c", None), ("d", None), ("e", True), (None, False), (None, True)]
+    assert sorted(map(tuple, new.collect()), key=str) == sorted(want, key=str)
+    assert new._jdf.queryExecution().optimizedPlan().toString().count("Join") == 3
+
+
+def test_a_file_for_each_key_is_replaced_in_place(spark, tmp_path):
+    path = str(tmp_path / "files")
+    docs = spark.createDataFrame([(1, "x"), (2, "y"), (2, "z"), (None, "n")], "k long, a string").repartition(2, "k")
+    stored._as_files(docs, path)
+    stored._as_files(docs.filter("k = 1").withColumn("a", F.lit("new")), path)
+    found = {p.name: sorted(p.read_text().splitlines()) for p in (tmp_path / "files").iterdir()}
+    assert found == {"k=1.json": ['{"a":"new"}'], "k=2.json": ['{"a":"y"}', '{"a":"z"}'], "k=__HIVE_DEFAULT_PARTITION__.json": ['{"a":"n"}']}
+
+
+def test_appended_configurations_are_parsed_once(spark, tmp_path, monkeypatch):
+    rows = [(k, f"Customer {k}", "BUILDING") for k in range(20)]
+    spark.createDataFrame(rows, "c_custkey long, c_name string, c_mktsegment string").write.parquet(str(tmp_path / "customer.parquet"))
+    plans, append = [], stored.appends.append_search_configs
+
+    def spied(queries, filters, *rest):
+        plans.extend(f._jdf.queryExecution().optimizedPlan().toString().lower() for f in (queries, filters))
+        return append(queries, filters, *rest)
+
+    monkeypatch.setattr(stored.appends, "append_search_configs", spied)
+    assert stored._appended_configs(spark, str(tmp_path)).count() == 40
+    assert plans and not any("json" in p for p in plans)
