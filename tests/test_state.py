@@ -270,3 +270,32 @@ def test_appended_configurations_are_parsed_once(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(stored.appends, "append_search_configs", spied)
     assert stored._appended_configs(spark, str(tmp_path)).count() == 40
     assert plans and not any("json" in p for p in plans)
+
+
+# --- large batches
+
+
+def test_large_batches_meet_the_state_in_one_join(spark, state, tmp_path, monkeypatch):
+    base, batches = state
+    monkeypatch.setattr(plan, "LARGE_BATCH", 1)
+    for day, docs in enumerate(batches[:2], 1):
+        ingest(spark, str(tmp_path), docs, day, 2)
+    small, large = (content({n: f for n, f in tables.read_state(spark, b, 2).items() if n not in ("job_counts", "taxonomy_review_queue")}) for b in (base, str(tmp_path)))
+    assert small == large
+
+
+def test_one_full_join_merges_as_the_small_joins_do(spark):
+    old = spark.createDataFrame([("a", 1, 2), ("a", 3, 4), ("b", None, 5), (None, 6, 7), ("z", 1, 1)], "k string, x int, y int")
+    new = spark.createDataFrame([("a", 9, None), ("b", 8, 8), (None, 7, 7), ("c", 1, None)], "k string, x int, y int")
+    rules = {"x": upsert.keep_old, "y": upsert.new_else_old}
+    large = upsert.merge_rows(old, new, ["k"], rules, large=True)
+    assert content({"x": large}) == content({"x": upsert.merge_rows(old, new, ["k"], rules)})
+    assert content({"x": upsert.insert_missing(old, new, ["k"], large=True)}) == content({"x": upsert.insert_missing(old, new, ["k"])})
+    assert large._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
+def test_the_first_batch_is_joined_with_nothing(spark, tmp_path):
+    nothing = tables.read_state(spark, str(tmp_path), names=["job_attributes"])["job_attributes"]
+    batch = spark.range(3).select(F.col("id").cast("string").alias("job_id"), *[F.lit(True).alias(c) for c in nothing.columns[1:]])
+    merged = upsert.merge_rows(nothing, batch, ["job_id"], {})
+    assert merged.count() == 3 and "Join" not in merged._jdf.queryExecution().optimizedPlan().toString()
