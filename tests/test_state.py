@@ -290,3 +290,39 @@ def test_the_first_batch_is_joined_with_nothing(spark, tmp_path):
     batch = spark.range(3).select(F.col("id").cast("string").alias("job_id"), *[F.lit(True).alias(c) for c in nothing.columns[1:]])
     merged = upsert.merge_rows(nothing, batch, ["job_id"], {})
     assert merged.count() == 3 and "Join" not in merged._jdf.queryExecution().optimizedPlan().toString()
+
+
+def _large_batches():
+    """Two batches; jobs of one document, and jobs of several that differ."""
+    first = {f"a{i:02}.json": document(f"j{i}", i) for i in range(12)} | {f"b{i}.json": document(f"j{i}", 100 + i, title="later") for i in (3, 5)}
+    second = {f"c{i:02}.json": document(f"j{i}", 200 + i) for i in range(4, 16)} | {"d.json": document("j5", 300), "e.json": document("j20", 301), "f.json": document("j20", 302)}
+    return [first, second]
+
+
+@pytest.mark.parametrize("limit", [1, 3])
+def test_large_batches_give_the_state_of_small_ones(spark, tmp_path, monkeypatch, limit):
+    """With a limit of 1 the jobs of several documents are too many to be told apart, with 3 they are few."""
+    bases = [str(tmp_path / name) for name in ("small", "large")]
+    for base, least in zip(bases, (20_000, limit)):
+        monkeypatch.setattr(plan, "LARGE_BATCH", least)
+        for day, docs in enumerate(_large_batches(), 1):
+            ingest(spark, base, docs, day, 4)
+    small, large = (content(tables.read_state(spark, base)) for base in bases)
+    assert small == large
+
+
+def test_jobs_of_one_document_pass_a_large_batch_without_a_sort(spark):
+    rows = spark.createDataFrame([("f", "a", "v1", "x"), ("g", "b", "v1", "y"), ("h", None, "v1", "z")], "file string, job_id string, analysis_version string, analysis string")
+    none = upsert.repeated_jobs(rows).limit(0)
+    state = tables.empty(spark, tables.STATE_SCHEMAS["job_analysis"])
+    large = upsert.upsert_analysis(state, rows, large=True, repeated=none)
+    assert content({"x": large}) == content({"x": upsert.upsert_analysis(state, rows)})
+    plan_ = large._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan_ and "Join" not in plan_
+
+
+def test_repeated_jobs_are_cut_down_and_keys_may_be_null(spark):
+    rows = spark.createDataFrame([("f", "a", "x"), ("g", "a", "y"), ("f", None, "u"), ("g", None, "v"), ("f", "b", "z")], "file string, job_id string, actual_role string")
+    state = spark.createDataFrame([("b", "old"), ("c", "old")], "job_id string, actual_role string")
+    large = upsert.upsert_satellite(state, rows, large=True, repeated=upsert.repeated_jobs(rows))
+    assert content({"x": large}) == content({"x": upsert.upsert_satellite(state, rows)})
