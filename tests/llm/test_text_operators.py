@@ -670,3 +670,26 @@ def test_language_by_compression(spark):
     assert [r.reliable for r in got] == [True, True, False, False, False]
     assert {r.lang_pred for r in language_id.classify(probe, "text", {}, F.col("doc_id")).collect()} == {"und"}
     assert language_id.learn(docs.limit(0), "text", "lang") == {}
+
+
+# --- staging
+
+
+def test_a_staged_table_leaves_no_shuffle_files(spark):
+    import time
+
+    from jobtide.llm import common
+
+    def shuffled():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {n for i in range(files.size()) if (n := files.apply(i).getName()).startswith("shuffle_")}
+
+    before, setting = shuffled(), spark.conf.get(common.CLEANUP, None)
+    rows = spark.range(1000).repartition(4, "id")
+    kept = common.staged(rows, "cleaned")
+    until = time.time() + 20
+    while shuffled() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffled() - before
+    assert kept.count() == 1000 and rows.count() == 1000
+    assert spark.conf.get(common.CLEANUP, None) == setting
