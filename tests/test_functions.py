@@ -207,3 +207,26 @@ def test_many_small_files_share_few_tasks(spark, tmp_path):
     # Packed by Spark alone they take a task for each thirty-odd files.
     assert files.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
     assert sorted(r["raw"] for r in files.collect()) == sorted(f'{{"n": {n}}}' for n in range(400))
+
+
+def test_flags_and_kinds_of_a_document_are_columns(spark):
+    from jobtide.sources import documents
+
+    docs = [
+        '{"job_metadata": {"job_id": 7, "title": " NULL ", "url": "null", "job_url": "u"}, "skills": {"a": ["RAG", null, " x "], "b": ["rag", 5, ""], "a": ["LangChain"]}, '
+        '"skill_priority": {"critical": ["lang chain"], "preferred": 3}, "production_requirements": {"cloud": " Implied", "cicd": "true", "monitoring": [null]}, '
+        '"role_analysis": {"experience_required": {"minimum_years": ["3-5"], "maximum_years": 7.5}}, "ai_lifecycle_coverage": {"evaluation": true}}',
+        "]", "], [", " ", '{"job_metadata": {"job_id": 2.0}} x',
+    ]
+    parsed = documents.parse_documents(documents.classify_documents(spark.createDataFrame(list(enumerate(docs)), "file int, raw string")))
+    rows = {r["file"]: r for r in parsed.collect()}
+    assert [rows[n]["status"] for n in range(5)] == ["ok", *["skipped_invalid_json"] * 4]
+    first = rows[0]
+    assert first["job_id"] == "7" and first["job"]["title"] == "Untitled" and first["job"]["job_url"] == "u"
+    assert [tuple(s) for s in first["skills"]] == [("LangChain", "langchain", "a", "critical"), ("RAG", "rag", "b", None)]
+    assert (first["attributes"]["cloud"], first["attributes"]["cicd"], first["attributes"]["monitoring"]) == (True, None, True)
+    assert (first["role"]["minimum_experience"], first["role"]["maximum_experience"]) == (3.0, 7.5)
+    assert first["lifecycle"]["replaces"] and first["lifecycle"]["evaluation"]
+    # They were worked out in functions of arrays of one element, value by value, outside generated code.
+    plan = parsed.select("attributes", "lifecycle")._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan and "_kind_cloud" in plan
