@@ -326,3 +326,38 @@ def test_repeated_jobs_are_cut_down_and_keys_may_be_null(spark):
     state = spark.createDataFrame([("b", "old"), ("c", "old")], "job_id string, actual_role string")
     large = upsert.upsert_satellite(state, rows, large=True, repeated=upsert.repeated_jobs(rows))
     assert content({"x": large}) == content({"x": upsert.upsert_satellite(state, rows)})
+
+
+# --- disk
+
+
+def test_a_batch_leaves_its_version_alone_on_the_disk(spark, tmp_path):
+    import pathlib
+    import time
+
+    from jobtide.session import CLEANUP, shared_dir
+    from jobtide.streaming.ingest import stream_ingest
+
+    source, staged = tmp_path / "in", pathlib.Path(shared_dir(spark))
+    source.mkdir()
+    for i in range(12):
+        (source / f"{i}.json").write_text(document(f"j{i}", i))
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+
+    def shuffled():
+        return {p for d in folders for p in pathlib.Path(d.getPath()).glob("*/shuffle_*.data")}
+
+    before, shuffles = set(staged.glob("staged-*")), shuffled()
+    stream_ingest(spark, str(source), str(tmp_path / "base"), str(tmp_path / "cp"), F.lit("2024-01-01").cast("timestamp_ntz"), buckets=4).awaitTermination()
+    assert tables.read_state(spark, str(tmp_path / "base"))["jobs"].count() == 12
+    # Rows that were staged for the batch have gone with it, and what was shuffled, too; files are deleted in the background.
+    assert set(staged.glob("staged-*")) == before
+    until = time.time() + 20
+    while shuffled() - shuffles and time.time() < until:
+        time.sleep(0.2)
+    assert len(shuffled() - shuffles) <= 8  # those of the count above and of the manifest it reads
+    # Of a batch of files the status of each stays.
+    kept = plan.ingest_files(files(spark, {"x": document("j0", 5), "y": "{"}), str(tmp_path / "base"), F.lit("2024-01-02").cast("timestamp_ntz"))
+    assert sorted(map(tuple, kept.select("file", "status").collect())) == [("x", "ok"), ("y", "skipped_invalid_json")]
+    assert len(set(staged.glob("staged-*")) - before) == 1
+    assert spark.conf.get(CLEANUP, "false") == "false"
