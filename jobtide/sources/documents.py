@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from jobtide import fixed
 from jobtide.functions import clean, names
 from jobtide.functions import variants as V
 from jobtide.functions.text import blank_to_null, first_defined, let, nullify_literal_null
-from jobtide.session import delete_path, shared_dir, shuffles_freed
+from jobtide.session import delete_path, glob_paths, shared_dir, shuffles_freed
 
 
 #: Shares of a folder, as Spark packs files for a task, that a task takes.
@@ -40,28 +41,128 @@ def _in_shares(files: DataFrame) -> DataFrame:
     return files.coalesce(max(1, min(packed, max(2 * files.sparkSession.sparkContext.defaultParallelism, packed // SHARES))))
 
 
+#: Files that a task opens at least, and bytes of a batch of their contents.
+FILES_PER_TASK, CONTENT_BYTES = 2_000, 8 << 20
+_LISTED = "path string, modified long, length long, folder boolean"
+
+
+def _lister():
+    """A function for tasks; as one of its own it takes along what it names, and needs no package there."""
+
+    def entries(batches):
+        """What lies right below each folder of a column of paths, as Spark's scans see it: files, and folders to look into."""
+        import os
+
+        import pyarrow as pa
+        from pyarrow import fs
+
+        names = ["path", "modified", "length", "folder"]
+        types = [pa.string(), pa.int64(), pa.int64(), pa.bool_()]
+
+        def below(root: str):
+            if root.startswith("file:") or "://" not in root:
+                # Read entry by entry: a folder may hold millions.
+                with os.scandir("/" + root.removeprefix("file:").lstrip("/")) as found:
+                    for entry in found:
+                        try:
+                            held = entry.stat()
+                        except FileNotFoundError:
+                            # Gone since, or a link to nothing.
+                            continue
+                        yield entry.name, held.st_mtime_ns // 1_000_000, held.st_size, entry.is_dir()
+                return
+            files, folder = fs.FileSystem.from_uri(root)
+            for info in files.get_file_info(fs.FileSelector(folder)):
+                yield info.base_name, (info.mtime_ns or 0) // 1_000_000, info.size or 0, info.type == fs.FileType.Directory
+
+        def wanted(name: str, folder: bool) -> bool:
+            hidden = name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_")
+            return not hidden and (folder or name.endswith(".json"))
+
+        rows = []
+        for batch in batches:
+            for root in batch.column(0).to_pylist():
+                for name, modified, length, folder in below(root):
+                    if wanted(name, folder):
+                        rows.append((f"{root}/{name}", modified, 0 if folder else length, folder))
+                    if len(rows) == 10_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+                        rows = []
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+
+    return entries
+
+
+def listed_files(spark: SparkSession, path: str) -> DataFrame:
+    """*.json files of a folder and of those below it: path, modified, length.
+
+    Tasks list the folders, level by level, and store what they find: Spark's own listing holds an object for each file
+    in the driver. A folder is listed by one task.
+    """
+    roots = glob_paths(spark, path)
+    if not roots:
+        # Spark's own error for a path that is not there.
+        return spark.read.format("binaryFile").load(path).selectExpr("path", "0L AS modified", "length")
+    single = [(p, modified, length) for p, modified, length, folder in roots if not folder and p.endswith(".json")]
+    found = [spark.createDataFrame(single, "path string, modified long, length long")]
+    folders = spark.createDataFrame([(p,) for p, _, _, folder in roots if folder], "path string")
+    while not folders.isEmpty():
+        level = stage(folders.mapInArrow(_lister(), _LISTED))
+        found.append(level.filter("NOT folder").drop("folder"))
+        folders = level.filter("folder").select("path")
+    return reduce(DataFrame.unionByName, found)
+
+
+def _opener():
+    """A function for tasks, as ``_lister``."""
+
+    def contents(batches):
+        """path, modified and length of files, and their contents."""
+        import pyarrow as pa
+        from pyarrow import fs
+
+        def packed(rows: list):
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.int64(), pa.binary()))]
+            return pa.RecordBatch.from_arrays(columns, ["path", "modified", "length", "content"])
+
+        rows, size, systems = [], 0, {}
+        for batch in batches:
+            for path, modified, length in zip(*(c.to_pylist() for c in batch.columns)):
+                if path.startswith("file:") or "://" not in path:
+                    with open("/" + path.removeprefix("file:").lstrip("/"), "rb") as file:
+                        content = file.read()
+                else:
+                    scheme, rest = path.split("://", 1)
+                    authority, _, inner = rest.partition("/")
+                    if (scheme, authority) not in systems:
+                        systems[scheme, authority] = fs.FileSystem.from_uri(f"{scheme}://{authority}/")
+                    files, top = systems[scheme, authority]
+                    with files.open_input_file(f"{top.rstrip('/')}/{inner}") as file:
+                        content = file.read()
+                rows.append((path, modified, length, content))
+                size += len(content)
+                if size >= CONTENT_BYTES or len(rows) == 10_000:
+                    yield packed(rows)
+                    rows, size = [], 0
+        if rows:
+            yield packed(rows)
+
+    return contents
+
+
 def changed_files(spark: SparkSession, path: str, ledger: DataFrame) -> DataFrame:
     """*.json files of a folder that the ledger does not know as they are: file, raw, modified, length, digest.
 
     The folder is listed once, not read: what the ledger (path, modified, length) knows with the same time and size is
-    left out. Of the rest the oldest time is pushed into the scan, so that files last written before it are not opened.
+    left out, and only the rest is opened. Neither the listing nor the contents pass the driver.
     """
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").option("recursiveFileLookup", True).load(path)
-    modified = F.unix_millis("modificationTime").alias("modified")
-    listed = stage(_in_shares(files.select("path", modified, "length")))
-    unknown = listed.join(ledger.select("path", "modified", "length"), ["path", "modified", "length"], "left_anti")
-    oldest = unknown.agg(F.min("modified")).first()[0]
-    if oldest is None:
-        return listed.limit(0).select(
-            F.col("path").alias("file"), F.lit("").alias("raw"), "modified", "length", F.lit("").alias("digest")
-        )
-    opened = _in_shares(files.filter(F.col("modificationTime") >= F.timestamp_millis(F.lit(oldest))))
-    return (
-        opened.join(unknown.select("path"), "path", "left_semi")
-        .select(
-            F.col("path").alias("file"), F.col("content").cast("string").alias("raw"), modified, "length", F.sha2("content", 256).alias("digest")
-        )
+    listed = listed_files(spark, path)
+    unknown = stage(listed.join(ledger.select("path", "modified", "length"), ["path", "modified", "length"], "left_anti").select("path", "modified", "length"))
+    tasks = max(1, min(unknown.count() // FILES_PER_TASK, SHARES * spark.sparkContext.defaultParallelism))
+    opened = unknown.repartition(tasks, "path").mapInArrow(_opener(), "path string, modified long, length long, content binary")
+    return opened.select(
+        F.col("path").alias("file"), F.col("content").cast("string").alias("raw"), "modified", "length", F.sha2("content", 256).alias("digest")
     )
 
 

@@ -361,3 +361,27 @@ def test_a_batch_leaves_its_version_alone_on_the_disk(spark, tmp_path):
     assert sorted(map(tuple, kept.select("file", "status").collect())) == [("x", "ok"), ("y", "skipped_invalid_json")]
     assert len(set(staged.glob("staged-*")) - before) == 1
     assert spark.conf.get(CLEANUP, "false") == "false"
+
+
+def test_folders_are_listed_by_tasks_as_spark_lists_them(spark, tmp_path):
+    from pyspark.errors import AnalysisException
+
+    from jobtide.sources import documents
+
+    root = tmp_path / "in put"
+    for name in ("a b.json", "k=1.json", "100%25.json", "é.json", "x.txt", "_hidden.json", ".dot.json", "_p=1.json", "deep/er/y.json", "_gone/z.json", ".git/z.json", "p=2/z.json"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(f'{{"n": "{name}"}}')
+    (root / "link.json").symlink_to(root / "nowhere.json")
+    known = spark.createDataFrame([], tables.STATE_SCHEMAS["file_ledger"])
+    found = documents.changed_files(spark, str(root), known)
+    scanned = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").option("recursiveFileLookup", True).load(str(root))
+    want = scanned.select("path", F.col("content").cast("string"), F.unix_millis("modificationTime"), "length", F.sha2("content", 256))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect())) and found.count() == 7
+    # Spark's scan held an object for every file of the folder in the driver.
+    assert "binaryFile" not in found._jdf.queryExecution().executedPlan().toString()
+    some = found.filter("NOT endswith(file, 'y.json')").select(F.col("file").alias("path"), "modified", "length", "digest")
+    rest = documents.changed_files(spark, f"{tmp_path}/in*", documents.stage(some))
+    assert [r["file"].rpartition("/")[2] for r in rest.collect()] == ["y.json"]
+    with pytest.raises(AnalysisException, match="PATH_NOT_FOUND"):
+        documents.changed_files(spark, str(tmp_path / "nowhere"), known)
