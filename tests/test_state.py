@@ -331,15 +331,18 @@ def test_repeated_jobs_are_cut_down_and_keys_may_be_null(spark):
 # --- disk
 
 
-def test_a_batch_leaves_its_version_alone_on_the_disk(spark, tmp_path):
+def test_a_batch_leaves_its_version_alone_on_the_disk(spark, tmp_path, monkeypatch):
     import pathlib
     import time
 
-    from jobtide.session import CLEANUP, shared_dir
+    from jobtide.session import CLEANUP
+    from jobtide.sources import documents
     from jobtide.streaming.ingest import stream_ingest
 
-    source, staged = tmp_path / "in", pathlib.Path(shared_dir(spark))
+    source, staged = tmp_path / "in", tmp_path / "shared"
     source.mkdir()
+    # A folder that no other test stages into.
+    monkeypatch.setattr(documents, "shared_dir", lambda _: str(staged))
     for i in range(12):
         (source / f"{i}.json").write_text(document(f"j{i}", i))
     folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
